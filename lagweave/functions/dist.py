@@ -47,7 +47,7 @@ def _beta_fraction(a, b, x):
             c = np.where(np.abs(c) < _TINY, _TINY, c)
             step = c * d
             h = h * step
-        if np.all(np.abs(step - 1) < 1e-16):
+        if np.all(np.abs(step - 1) < 4e-16):
             break
     return h
 
@@ -111,37 +111,52 @@ def chi2_tail(x, df) -> np.ndarray:
         c = b0 + an / c
         c = np.where(np.abs(c) < _TINY, _TINY, c)
         h = h * (c * d)
-        if np.all(np.abs(c * d - 1) < 1e-16):
+        if np.all(np.abs(c * d - 1) < 4e-16):
             break
     out[use] = np.clip(np.where(low, 1 - front * total, front * h), 0.0, 1.0)
     return out
 
 
-def _quantile(tail, level: np.ndarray) -> np.ndarray:
-    """Point whose upper tail is 1 - level, by bisection on a decreasing tail."""
+def _quantile(tail, log_density, level: np.ndarray) -> np.ndarray:
+    """Point whose upper tail is 1 - level: Newton steps, halved back into a bracket when they leave it."""
     target = 1 - level
-    hi = np.ones_like(target)
+    lo, hi = np.zeros_like(target), np.ones_like(target)
     for _ in range(1000):
         short = tail(hi) > target
         if not short.any():
             break
-        hi = np.where(short, hi * 2, hi)
-    lo = np.zeros_like(hi)
+        lo, hi = np.where(short, hi, lo), np.where(short, hi * 2, hi)
+    x = (lo + hi) / 2
     for _ in range(200):
-        mid = (lo + hi) / 2
-        above = tail(mid) > target
-        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-    return (lo + hi) / 2
+        gap = tail(x) - target
+        lo, hi = np.where(gap > 0, x, lo), np.where(gap > 0, hi, x)
+        with np.errstate(all="ignore"):
+            step = x + gap * np.exp(-log_density(x))
+        new = np.where((step > lo) & (step < hi), step, (lo + hi) / 2)
+        done = np.all(np.abs(new - x) <= 1e-14 * np.abs(new))
+        x = new
+        if done:
+            break
+    return x
 
 
 def f_quantile(level, d1, d2) -> np.ndarray:
     level, d1, d2 = (np.array(v, float) for v in np.broadcast_arrays(level, d1, d2))
-    return _quantile(lambda v: f_tail(v, d1, d2), level)
+    a, b = d2 / 2, d1 / 2
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    front = _lgamma_ratio(a, b) - lg(b) + b * np.log(d1 / d2)
+
+    def log_density(x):
+        return front + (b - 1) * np.log(x) - (a + b) * np.log1p(d1 * x / d2)
+
+    return _quantile(lambda v: f_tail(v, d1, d2), log_density, level)
 
 
 def chi2_quantile(level, df) -> np.ndarray:
     level, df = (np.array(v, float) for v in np.broadcast_arrays(level, df))
-    return _quantile(lambda v: chi2_tail(v, df), level)
+    a = df / 2
+    front = -np.vectorize(math.lgamma, otypes=[float])(a) - a * np.log(2)
+    return _quantile(lambda v: chi2_tail(v, df), lambda x: front + (a - 1) * np.log(x) - x / 2, level)
 
 
 def normal_quantile(level: float) -> float:

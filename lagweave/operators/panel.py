@@ -44,9 +44,28 @@ def _step_seconds(step: str) -> int:
     return int(count) * _UNIT_SECONDS[unit.rstrip("s")]
 
 
-def _epoch(col) -> Column:
-    """Seconds since 1970; a zone-less timestamp is read in the session zone."""
-    return F.unix_seconds(F.col(col).cast("timestamp") if isinstance(col, str) else col.cast("timestamp"))
+def _since_1970(df: DataFrame, name: str, unit: str = "second") -> Column:
+    """Units since 1970 of a time column; a zone-less time is counted on its own clock, whatever the session zone."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind == "timestamp":
+        return F.unix_seconds(name) if unit == "second" else F.unix_micros(name)
+    return F.expr(f"timestampdiff({unit}, timestamp_ntz'1970-01-01 00:00:00', cast(`{name}` as timestamp_ntz))")
+
+
+def _from_1970(seconds: str, kind: str) -> Column:
+    if kind == "timestamp":
+        return F.timestamp_seconds(seconds)
+    return F.expr(f"timestampadd(second, `{seconds}`, timestamp_ntz'1970-01-01 00:00:00')").cast(kind)
+
+
+def time_step(df: DataFrame, name: str, step: str) -> Column:
+    """Start of the ``step`` ("1 hour", "1 day", …, counted from 1970) a time falls in, in the column's own type."""
+    seconds = _step_seconds(step)
+    at = F.floor(_since_1970(df, name) / seconds).cast("long") * seconds
+    kind = df.schema[name].dataType.simpleString()
+    if kind == "timestamp":
+        return F.timestamp_seconds(at)
+    return F.timestamp_add("SECOND", at, F.lit("1970-01-01").cast("timestamp_ntz")).cast(kind)
 
 
 def chunk_of(idx: str = "idx", chunk_rows: int = CHUNK_ROWS) -> Column:
@@ -97,18 +116,16 @@ def long_panel(df: DataFrame, time: Column, variable: Column, variables: Mapping
 
 
 def densify(panel: DataFrame, time_col: str, step: str, keys: Sequence[str] = (), fill: float | None = 0.0,
-            start: Column | None = None, end: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Fill gaps to a regular grid from each panel's first to last step and add ``idx``.
 
     The grid is generated in chunks, one task slot per chunk rather than per panel.
     """
     seconds = _step_seconds(step)
     values = [c for c in panel.columns if c not in (*keys, time_col)]
-    dtype = panel.schema[time_col].dataType.simpleString()
-    bounds = panel.groupBy(*keys).agg(
-        (_epoch(F.min(time_col)) if start is None else _epoch(F.lit(start))).alias("_lo"),
-        (_epoch(F.max(time_col)) if end is None else _epoch(F.lit(end))).alias("_hi"),
-    )
+    kind = panel.schema[time_col].dataType.simpleString()
+    at = panel.select(*keys, _since_1970(panel, time_col).alias("_at"), *values)
+    bounds = at.groupBy(*keys).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
     chunks = bounds.where("_lo is not null").withColumn("_n", F.floor((F.col("_hi") - F.col("_lo")) / seconds) + 1).select(
         *keys, "_lo", "_n",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk_rows).cast("long"))).alias("_chunk"),
@@ -119,10 +136,9 @@ def densify(panel: DataFrame, time_col: str, step: str, keys: Sequence[str] = ()
         *keys, "_lo",
         F.explode(F.sequence(first, F.least(first + chunk_rows, F.col("_n").cast("long")) - 1)).alias("idx"),
     ).select(*keys, (F.col("_lo") + F.col("idx") * seconds).alias("_at"), "idx")
-    body = panel.select(*keys, _epoch(time_col).alias("_at"), *values)
-    joined = grid.join(body, [*keys, "_at"], "left")
+    joined = grid.join(at, [*keys, "_at"], "left")
     filled = [F.col(v) if fill is None else F.coalesce(F.col(v), F.lit(fill)).alias(v) for v in values]
-    return joined.select(*keys, F.timestamp_seconds("_at").cast(dtype).alias(time_col), "idx", *filled)
+    return joined.select(*keys, _from_1970("_at", kind).alias(time_col), "idx", *filled)
 
 
 def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str = "idx", buckets: int | None = None) -> DataFrame:
@@ -135,7 +151,7 @@ def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str
     """
     count = buckets or shuffle_partitions(df)
     kind = df.schema[time_col].dataType.simpleString()
-    at = F.unix_micros(F.col(time_col).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(time_col)
+    at = _since_1970(df, time_col, "microsecond") if kind.startswith(("timestamp", "date")) else F.col(time_col)
     rows = df.withColumn("_at", at.cast("double"))
     cuts = rows.approxQuantile("_at", [i / count for i in range(1, count)], 0.1 / count) if count > 1 else []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
