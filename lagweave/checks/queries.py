@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def hourly_events(spark, sf, keys=(), value=None) -> DataFrame:
     ev = table(spark, sf, "events").withColumn("grp", F.pmod("user_id", F.lit(8)))
     amount = None if value is None else F.col(value)
-    return pn.long_panel(ev, pn.time_step(ev, "ts", "1 hour"), F.col("event_type"), EVENTS, amount, keys)
+    return pn.long_panel(ev, "ts", "1 hour", F.col("event_type"), EVENTS, amount, keys)
 
 
 def event_counts(spark, sf, keys=()) -> DataFrame:
@@ -67,14 +67,13 @@ def event_values(spark, sf) -> DataFrame:
 
 def daily_shipments(spark, sf, keys=()) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    sums = pn.long_panel(li, pn.time_step(li, "l_shipdate", "1 day"), F.concat("l_returnflag", "l_linestatus"), SHIPMENTS,
-                         F.col("l_quantity"), keys)
+    sums = pn.long_panel(li, "l_shipdate", "1 day", F.concat("l_returnflag", "l_linestatus"), SHIPMENTS, F.col("l_quantity"), keys)
     return pn.densify(sums, "t", "1 day", keys)
 
 
 def daily_orders(spark, sf) -> DataFrame:
     od = table(spark, sf, "orders")
-    return pn.long_panel(od, pn.time_step(od, "o_orderdate", "1 day"), F.col("o_orderpriority"), PRIORITIES)
+    return pn.long_panel(od, "o_orderdate", "1 day", F.col("o_orderpriority"), PRIORITIES)
 
 
 def scaled_values(spark, sf) -> DataFrame:

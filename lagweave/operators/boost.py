@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import f_sf
-from ..plans.orders import check_variables, grow_orders
+from ..plans.orders import check_variables, explode_orders, grow_orders, text_array
 from .moments import _matrix
 from .panel import attach_by_panel, lag_names, shuffle_partitions
 
@@ -93,10 +93,10 @@ def boost_chains(moment_table: DataFrame, variables: Sequence[str], v: float = 1
         check_variables([*prefix, *names])
         # Two explicit steps give the cluster k(k-1) work items per panel; the rest grows inside the task.
         rows = grow_orders(base, names, min(2, len(names)))
-        rows = rows.withColumn("order", F.concat(F.array(*[F.lit(c) for c in prefix]).cast("array<string>"), "order"))
+        if prefix:
+            rows = rows.withColumn("order", F.expr(f"concat({text_array(prefix)}, `order`)"))
     else:
-        lists = F.array(*[F.array(*[F.lit(c) for c in o]) for o in orders])
-        rows = base.select("*", F.posexplode(lists).alias("test_id", "order")).withColumn("test_id", F.col("test_id").cast("long"))
+        rows = explode_orders(base, orders)
     rows = rows.repartition(shuffle_partitions(rows), *keys, "p", "test_id")
     complete = orders is None
 
@@ -141,11 +141,6 @@ def chain_rounds(chains: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def f_score(mse_prev: Column, mse_all: Column, d1: Column, d2: Column) -> Column:
-    """Relative MSE drop per degree of freedom; infinite when the last fit is exact."""
-    return F.when(mse_all > 0, (mse_prev - mse_all) / mse_all * (d2 / d1)).when(mse_prev > 0, F.lit(float("inf")))
-
-
 def chain_f_test(chains: DataFrame, k: int, keys: Sequence[str] = (), n: str = "all") -> DataFrame:
     """F test of the last round against the one before.
 
@@ -154,16 +149,22 @@ def chain_f_test(chains: DataFrame, k: int, keys: Sequence[str] = (), n: str = "
     """
     if n not in ("all", "fitted"):
         raise ValueError("n must be 'all' or 'fitted'")
-    size = F.col("n_rows" if n == "all" else "n")
-    d1, d2 = F.col("p").cast("double"), (size - F.lit(k) * F.col("p")).cast("double")
-    prev, last = F.element_at("rounds", -2), F.element_at("rounds", -1)
-    out = chains.select(
-        *keys, "test_id", "effect", "cause", "order", F.col("p").alias("maxlag"), size.alias("n"),
-        prev["mse"].alias("mse_prev"), last["mse"].alias("mse_all"),
-        prev["r2"].alias("r2_prev"), last["r2"].alias("r2_all"),
-        f_score(prev["mse"], last["mse"], d1, d2).alias("f_score"), d1.alias("_d1"), d2.alias("_d2"),
+    rounds = chains.selectExpr(
+        *[f"`{c}`" for c in keys], "test_id", "effect", "cause", "`order`", "p as maxlag", f"{'n_rows' if n == 'all' else 'n'} as n",
+        *[f"element_at(rounds, {at}).{c} as {c}_{name}" for c in ("mse", "r2") for at, name in ((-2, "prev"), (-1, "all"))],
     )
-    return out.withColumn("p_value", f_sf("f_score", "_d1", "_d2")).drop("_d1", "_d2")
+    return with_f_test(rounds, k)
+
+
+def with_f_test(tests: DataFrame, k: int) -> DataFrame:
+    """Add f_score and p_value from mse_prev, mse_all, n and maxlag.
+
+    F is the relative drop of the MSE per degree of freedom; infinite when the last fit is exact.
+    """
+    d2 = f"cast(n - {k} * maxlag as double)"
+    score = (f"case when mse_all > 0 then (mse_prev - mse_all) / mse_all * ({d2} / maxlag) "
+             "when mse_prev > 0 then double('Infinity') end as f_score")
+    return tests.selectExpr("*", score).withColumn("p_value", f_sf("f_score", "maxlag", F.expr(d2)))
 
 
 def ols_fit(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

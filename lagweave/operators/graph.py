@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dist import f_sf
-from .boost import _arrow_type, _moment_rows, _round, boost_chains, chain_f_test, f_score
+from ..plans.orders import text_array
+from .boost import _arrow_type, _moment_rows, _round, boost_chains, chain_f_test, with_f_test
 from .moments import moments
 from .staging import cut
 
@@ -115,14 +115,11 @@ def incremental_cause(state: DataFrame, moment_table: DataFrame, new_var: str, k
 
 def cause_tests(fits: DataFrame, new_var: str, k: int, keys: Sequence[str], n: str) -> DataFrame:
     """F test of new-as-cause fits; the new variable closes the order."""
-    size = F.col("n_rows" if n == "all" else "n")
-    d1, d2 = F.col("p").cast("double"), (size - F.lit(k) * F.col("p")).cast("double")
-    out = fits.select(
-        *keys, "test_id", "effect", F.lit(new_var).alias("cause"), F.concat("order", F.array(F.lit(new_var))).alias("order"),
-        F.col("p").alias("maxlag"), size.alias("n"), "mse_prev", "mse_all",
-        f_score(F.col("mse_prev"), F.col("mse_all"), d1, d2).alias("f_score"), d1.alias("_d1"), d2.alias("_d2"),
-    )
-    return out.withColumn("p_value", f_sf("f_score", "_d1", "_d2")).drop("_d1", "_d2")
+    added = text_array([new_var])
+    tests = fits.selectExpr(
+        *[f"`{c}`" for c in keys], "test_id", "effect", f"{added}[0] as cause", f"concat(`order`, {added}) as `order`",
+        "p as maxlag", f"{'n_rows' if n == 'all' else 'n'} as n", "mse_prev", "mse_all")
+    return with_f_test(tests, k)
 
 
 def merge_edges(effect: DataFrame, cause: DataFrame, existing: DataFrame) -> DataFrame:

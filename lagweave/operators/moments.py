@@ -12,8 +12,8 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..plans.orders import text_array
 from .panel import CHUNK_ROWS, lag_name, with_halo
 
 _MERGE = 1024
@@ -108,11 +108,12 @@ def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Seque
 
     key_ddl = "".join(f"`{k}` {panel.schema[k].dataType.simpleString()}, " for k in keys)
     stat_ddl = "p int, n long, n_rows long, means array<double>, g array<double>"
-    rows = panel.select(*keys, F.col(idx).cast("long").alias("_idx"), *[F.col(v).cast("double").alias(v) for v in names])
-    chunked = with_halo(rows, depth, "_idx", chunk_rows).withColumn("_super", F.floor(F.col("_chunk") / _MERGE).cast("long"))
+    quoted = [f"`{k}`" for k in keys]
+    rows = panel.selectExpr(*quoted, f"cast(`{idx}` as long) as _idx", *[f"cast(`{v}` as double) as `{v}`" for v in names])
+    chunked = with_halo(rows, depth, "_idx", chunk_rows).selectExpr("*", f"cast(floor(_chunk / {_MERGE}) as long) as _super")
     parts = chunked.groupBy(*keys, "_super", "_chunk").applyInArrow(chunk_stats, f"{key_ddl}_super long, {stat_ddl}")
     level1, level2 = [*keys, "_super", "p"], [*keys, "p"]
     parts = parts.groupBy(*level1).applyInArrow(merge(level1), f"{key_ddl}_super long, {stat_ddl}")
     total = parts.groupBy(*level2).applyInArrow(merge(level2), f"{key_ddl}{stat_ddl}")
-    cols = F.array(*[F.lit(c) for c in moment_columns(names, depth)])
-    return total.select(*keys, "p", "n", "n_rows", cols.alias("cols"), "means", "g")
+    cols = text_array(moment_columns(names, depth))
+    return total.selectExpr(*quoted, "p", "n", "n_rows", f"{cols} as cols", "means", "g")

@@ -44,32 +44,43 @@ def _step_seconds(step: str) -> int:
     return int(count) * _UNIT_SECONDS[unit.rstrip("s")]
 
 
-def _since_1970(df: DataFrame, name: str, unit: str = "second") -> Column:
-    """Units since 1970 of a time column; a zone-less time is counted on its own clock, whatever the session zone."""
-    kind = df.schema[name].dataType.simpleString()
+def _kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _seconds(kind: str, name: str, step: int = 1) -> str:
+    """Whole seconds since 1970, down to the units ``step`` needs.
+
+    A zone-less time is counted on its own clock, whatever the session zone.
+    """
     if kind == "timestamp":
-        return F.unix_seconds(name) if unit == "second" else F.unix_micros(name)
-    return F.expr(f"timestampdiff({unit}, timestamp_ntz'1970-01-01 00:00:00', cast(`{name}` as timestamp_ntz))")
+        return f"unix_seconds(`{name}`)"
+    parts = [f"unix_date(cast(`{name}` as date)) * 86400L"]
+    if kind != "date":
+        units = [f"hour(`{name}`) * 3600", f"minute(`{name}`) * 60", f"second(`{name}`)"]
+        parts += units[: _finest(step)]
+    return " + ".join(parts)
+
 
+def _finest(step: int) -> int:
+    """How many of hour, minute, second matter for a step."""
+    return 0 if step % 86400 == 0 else 1 if step % 3600 == 0 else 2 if step % 60 == 0 else 3
 
-def _from_1970(seconds: str, kind: str) -> Column:
+
+def _micros(kind: str, name: str) -> str:
     if kind == "timestamp":
-        return F.timestamp_seconds(seconds)
-    return F.expr(f"timestampadd(second, `{seconds}`, timestamp_ntz'1970-01-01 00:00:00')").cast(kind)
+        return f"unix_micros(`{name}`)"
+    return f"timestampdiff(microsecond, timestamp_ntz'1970-01-01 00:00:00', cast(`{name}` as timestamp_ntz))"
 
 
-def time_step(df: DataFrame, name: str, step: str) -> Column:
-    """Start of the ``step`` ("1 hour", "1 day", …, counted from 1970) a time falls in, in the column's own type."""
-    seconds = _step_seconds(step)
-    at = F.floor(_since_1970(df, name) / seconds).cast("long") * seconds
-    kind = df.schema[name].dataType.simpleString()
+def _from_seconds(kind: str, seconds: str) -> str:
     if kind == "timestamp":
-        return F.timestamp_seconds(at)
-    return F.timestamp_add("SECOND", at, F.lit("1970-01-01").cast("timestamp_ntz")).cast(kind)
+        return f"timestamp_seconds({seconds})"
+    return f"cast(timestampadd(second, {seconds}, timestamp_ntz'1970-01-01 00:00:00') as {kind})"
 
 
-def chunk_of(idx: str = "idx", chunk_rows: int = CHUNK_ROWS) -> Column:
-    return F.floor(F.col(idx) / F.lit(chunk_rows)).cast("long")
+def _quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{c}`" for c in names]
 
 
 def attach_by_panel(rows: DataFrame, table: DataFrame, keys: Sequence[str], idx: str = "idx") -> DataFrame:
@@ -79,8 +90,8 @@ def attach_by_panel(rows: DataFrame, table: DataFrame, keys: Sequence[str], idx:
     from the position, so a panel holding most rows is spread over many tasks.
     Spark still broadcasts the table when its size allows.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.col(idx), F.lit(SALTS)).cast("int"))
-    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.selectExpr("*", f"cast(pmod(`{idx}`, {SALTS}) as int) as _salt")
+    spread = table.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as _salt")
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
@@ -96,23 +107,23 @@ def assemble_panel(series: Mapping[str, DataFrame], time_col: str, keys: Sequenc
     )
 
 
-def long_panel(df: DataFrame, time: Column, variable: Column, variables: Mapping[str, str] | Sequence[str],
+def long_panel(df: DataFrame, time_col: str, step: str, variable: Column, variables: Mapping[str, str] | Sequence[str],
                value: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Sum a long table (one row per observation) into a wide panel with column ``t``.
+    """Sum a long table (one row per observation) into a wide panel, one row per ``step`` ("1 hour", "1 day", …) with column ``t``.
 
     ``variables`` maps column names to values of ``variable``; without ``value``
     the observations are counted. Sums are combined before the shuffle, so a hot
     key or time step costs one row per map task.
     """
     names = variables if isinstance(variables, Mapping) else {v: v for v in variables}
+    kind, seconds = _kind(df, time_col), _step_seconds(step)
     amount = F.lit(1.0) if value is None else value.cast("double")
-    rows = df.select(*keys, time.alias("t"), variable.alias("_variable"), amount.alias("_value"))
-    return rows.groupBy(*keys, "t").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("_variable") == v, F.col("_value"))), F.lit(0.0)).alias(name)
-            for name, v in names.items()
-        ]
+    at = F.expr(f"cast(floor(({_seconds(kind, time_col, seconds)}) / {seconds}) as long)")
+    rows = df.select(*keys, at.alias("_step"), variable.alias("_variable"), amount.alias("_value"))
+    sums = rows.groupBy(*keys, "_step").agg(
+        *[F.coalesce(F.sum(F.when(F.col("_variable") == v, F.col("_value"))), F.lit(0.0)).alias(name) for name, v in names.items()]
     )
+    return sums.selectExpr(*_quoted(keys), f"{_from_seconds(kind, f'_step * {seconds}')} as t", *_quoted(names))
 
 
 def densify(panel: DataFrame, time_col: str, step: str, keys: Sequence[str] = (), fill: float | None = 0.0,
@@ -121,24 +132,21 @@ def densify(panel: DataFrame, time_col: str, step: str, keys: Sequence[str] = ()
 
     The grid is generated in chunks, one task slot per chunk rather than per panel.
     """
-    seconds = _step_seconds(step)
+    seconds, kind, k = _step_seconds(step), _kind(panel, time_col), _quoted(keys)
     values = [c for c in panel.columns if c not in (*keys, time_col)]
-    kind = panel.schema[time_col].dataType.simpleString()
-    at = panel.select(*keys, _since_1970(panel, time_col).alias("_at"), *values)
-    bounds = at.groupBy(*keys).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-    chunks = bounds.where("_lo is not null").withColumn("_n", F.floor((F.col("_hi") - F.col("_lo")) / seconds) + 1).select(
-        *keys, "_lo", "_n",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk_rows).cast("long"))).alias("_chunk"),
-    )
+    at = panel.selectExpr(*k, f"{_seconds(kind, time_col)} as _at", *_quoted(values))
+    # The bounds drag the values along so that both uses of the panel share one shuffle, and its input is scanned once.
+    whole = f"struct(_at, {', '.join(_quoted(values))})" if values else "struct(_at)"
+    bounds = at.groupBy(*keys).agg(F.expr(f"min({whole})._at as _lo"), F.expr(f"max({whole})._at as _hi"))
+    chunks = bounds.where("_lo is not null").selectExpr(*k, "_lo", f"cast(floor((_hi - _lo) / {seconds}) as long) + 1 as _n").selectExpr(
+        *k, "_lo", "_n", f"explode(sequence(0L, cast(floor((_n - 1) / {chunk_rows}) as long))) as _chunk")
     chunks = chunks.repartition(shuffle_partitions(panel), *keys, "_chunk")
-    first = F.col("_chunk") * chunk_rows
-    grid = chunks.select(
-        *keys, "_lo",
-        F.explode(F.sequence(first, F.least(first + chunk_rows, F.col("_n").cast("long")) - 1)).alias("idx"),
-    ).select(*keys, (F.col("_lo") + F.col("idx") * seconds).alias("_at"), "idx")
+    last = f"least((_chunk + 1) * {chunk_rows}, _n) - 1"
+    grid = chunks.selectExpr(*k, "_lo", f"explode(sequence(_chunk * {chunk_rows}, {last})) as idx").selectExpr(
+        *k, f"_lo + idx * {seconds} as _at", "idx")
     joined = grid.join(at, [*keys, "_at"], "left")
-    filled = [F.col(v) if fill is None else F.coalesce(F.col(v), F.lit(fill)).alias(v) for v in values]
-    return joined.select(*keys, _from_1970("_at", kind).alias(time_col), "idx", *filled)
+    filled = [f"`{v}`" if fill is None else f"coalesce(`{v}`, {float(fill)}D) as `{v}`" for v in values]
+    return joined.selectExpr(*k, f"{_from_seconds(kind, '_at')} as `{time_col}`", "idx", *filled)
 
 
 def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str = "idx", buckets: int | None = None) -> DataFrame:
@@ -150,25 +158,22 @@ def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str
     of the earlier buckets. No task holds more than one bucket of a panel.
     """
     count = buckets or shuffle_partitions(df)
-    kind = df.schema[time_col].dataType.simpleString()
-    at = _since_1970(df, time_col, "microsecond") if kind.startswith(("timestamp", "date")) else F.col(time_col)
-    rows = df.withColumn("_at", at.cast("double"))
+    kind, k = _kind(df, time_col), _quoted(keys)
+    at = _micros(kind, time_col) if kind.startswith(("timestamp", "date")) else f"`{time_col}`"
+    rows = df.selectExpr("*", f"cast({at} as double) as _at")
     cuts = rows.approxQuantile("_at", [i / count for i in range(1, count)], 0.1 / count) if count > 1 else []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) > 2:
         rows = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(rows)
     else:
         rows = rows.withColumn("_bucket", F.lit(0.0))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows")).select(
-        *keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
-    )
-    rank = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(time_col))
-    return (
-        rows.withColumn("_rank", rank).join(offsets, [*keys, "_bucket"])
-        .withColumn(idx, (F.col("_offset") + F.col("_rank") - 1).cast("long"))
-        .select(*df.columns, idx)
-    )
+    by_panel = f"partition by {', '.join(k)} " if k else ""
+    before = f"{by_panel}order by _bucket rows between unbounded preceding and 1 preceding"
+    offsets = rows.groupBy(*keys, "_bucket").agg(F.expr("count(1) as _rows")).selectExpr(
+        *k, "_bucket", f"coalesce(sum(_rows) over ({before}), 0) as _offset")
+    within = ", ".join([*k, "_bucket"])
+    ranked = rows.selectExpr("*", f"row_number() over (partition by {within} order by `{time_col}`) as _rank")
+    return ranked.join(offsets, [*keys, "_bucket"]).selectExpr(*_quoted(df.columns), f"cast(_offset + _rank - 1 as long) as `{idx}`")
 
 
 def with_calendar(df: DataFrame, start: str, freq: str, idx: str = "idx", name: str = "date") -> DataFrame:
@@ -195,9 +200,9 @@ def with_halo(df: DataFrame, width: int, idx: str = "idx", chunk_rows: int = CHU
     """Add ``_chunk``, repeating the last ``width`` rows of each chunk in the next one."""
     if width > chunk_rows:
         raise ValueError("chunk_rows must be at least the largest lag")
-    own = chunk_of(idx, chunk_rows)
-    tail = F.col(idx) - own * chunk_rows >= chunk_rows - width
-    return df.withColumn("_chunk", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    own = f"cast(floor(`{idx}` / {chunk_rows}) as long)"
+    tail = f"`{idx}` - {own} * {chunk_rows} >= {chunk_rows - width}"
+    return df.selectExpr("*", f"explode(case when {tail} then array({own}, {own} + 1) else array({own}) end) as _chunk")
 
 
 def lag_panel(df: DataFrame, variables: Sequence[str], maxlag: int, keys: Sequence[str] = (), fill: float | None = None,
@@ -209,10 +214,11 @@ def lag_panel(df: DataFrame, variables: Sequence[str], maxlag: int, keys: Sequen
     """
     wanted = list(lags or range(1, maxlag + 1))
     depth = max(wanted)
-    w = Window.partitionBy(*keys, "_chunk").orderBy(idx)
-    rows = with_halo(df, depth, idx, chunk_rows)
-    rows = rows.select("*", *[F.lag(v, lag, fill).over(w).alias(lag_name(v, lag)) for v in variables for lag in wanted])
-    rows = rows.where(F.col("_chunk") == chunk_of(idx, chunk_rows)).drop("_chunk")
+    over = f"over (partition by {', '.join([*_quoted(keys), '_chunk'])} order by `{idx}`)"
+    default = "null" if fill is None else f"{float(fill)}D"
+    feats = [f"lag(`{v}`, {lag}, {default}) {over} as `{lag_name(v, lag)}`" for v in variables for lag in wanted]
+    rows = with_halo(df, depth, idx, chunk_rows).selectExpr("*", *feats)
+    rows = rows.where(f"_chunk = floor(`{idx}` / {chunk_rows})").drop("_chunk")
     return rows.where(F.col(idx) >= depth) if fill is None else rows
 
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.orders import check_variables
+from ..plans.orders import check_variables, text_array
 from .boost import chain_f_test
 from .graph import cause_tests, significant
 from .panel import SALTS, lag_name, lag_panel
@@ -30,10 +30,6 @@ def _ints(values: Sequence[int]) -> str:
     return f"array({', '.join(str(int(v)) for v in values)})"
 
 
-def _texts(values: Sequence[str]) -> str:
-    return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
-
-
 def _spread(table: DataFrame) -> DataFrame:
     return table.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as _salt")
 
@@ -151,7 +147,7 @@ def _tree_stats(rows: DataFrame, names: Sequence[str], number: int, keys: Sequen
     k = _cols(keys)
     return rows.selectExpr(*k, "posexplode(state) as (tree, s)").groupBy(*keys, "tree").agg(
         F.expr("count(1) as n"), F.expr("avg((s.label - s.pred) * (s.label - s.pred)) as mse"), F.expr("var_pop(s.label) as var"),
-    ).selectExpr(*k, f"{number} as round", "tree", f"{_texts(names)}[tree] as x_name", "n", "mse", "1 - try_divide(mse, var) as r2")
+    ).selectExpr(*k, f"{number} as round", "tree", f"{text_array(names)}[tree] as x_name", "n", "mse", "1 - try_divide(mse, var) as r2")
 
 
 def tree_round(panel: DataFrame, label: str, variable: str, maxlag: int, depth: int = 6, min_leaf: int = 10, max_bins: int = 32,
@@ -221,7 +217,7 @@ def _chains(stats: DataFrame, trie, orders, maxlag: int, dropped: int, keys: Seq
         "array(" + ", ".join(_ints([t for t, at in enumerate(of_order) if at == i]) for i in range(len(prefixes))) + ")"
         for prefixes, _, of_order in trie
     ) + ")"
-    k, listed = _cols(keys), "array(" + ", ".join(_texts(o) for o in orders) + ")"
+    k, listed = _cols(keys), "array(" + ", ".join(text_array(o) for o in orders) + ")"
     rows = stats.selectExpr("*", f"explode({uses}[round - 1][tree]) as test_id")
     rounds = rows.groupBy(*keys, "test_id").agg(
         F.expr("sort_array(collect_list(struct(round, x_name, mse, r2))) as rounds"), F.max("n").alias("n"))

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 MAX_VARIABLES = 8
 
 
-def _literal(names: Sequence[str]):
-    return F.array(*[F.lit(v) for v in names])
+def text_array(names: Sequence[str]) -> str:
+    """An array literal of texts, as a SQL expression."""
+    quoted = (v.replace("\\", "\\\\").replace("'", "\\'") for v in names)
+    return "array(" + ", ".join(f"'{v}'" for v in quoted) + ")"
 
 
 def grow_orders(df: DataFrame, variables: Sequence[str], upto: int) -> DataFrame:
@@ -25,15 +27,12 @@ def grow_orders(df: DataFrame, variables: Sequence[str], upto: int) -> DataFrame
     ``test_id`` is the lexicographic rank, by header position, of the first full
     order that starts with the prefix.
     """
-    k = len(variables)
-    out = df.withColumn("order", F.array().cast("array<string>")).withColumn("test_id", F.lit(0).cast("long"))
+    k, names = len(variables), text_array(variables)
+    kept = [f"`{c}`" for c in df.columns]
+    out = df.selectExpr(*kept, "cast(array() as array<string>) as `order`", "0L as test_id")
     for j in range(upto):
-        left = F.array_except(_literal(variables), F.col("order"))
-        out = out.select("*", F.posexplode(left).alias("_pos", "_next"))
-        out = (
-            out.withColumn("test_id", F.col("test_id") + F.col("_pos") * F.lit(math.factorial(k - 1 - j)))
-            .withColumn("order", F.concat("order", F.array("_next"))).drop("_pos", "_next")
-        )
+        out = out.selectExpr("*", f"posexplode(array_except({names}, `order`)) as (_pos, _next)").selectExpr(
+            *kept, "concat(`order`, array(_next)) as `order`", f"test_id + _pos * {math.factorial(k - 1 - j)}L as test_id")
     return out
 
 
@@ -51,10 +50,16 @@ def test_plan(spark: SparkSession, variables: Sequence[str], maxlag: int) -> Dat
     return _named(rows, maxlag)
 
 
+def explode_orders(df: DataFrame, orders: Sequence[Sequence[str]]) -> DataFrame:
+    """Add the given orders to each row, with their position as ``test_id``."""
+    lists = "array(" + ", ".join(text_array(o) for o in orders) + ")"
+    out = df.selectExpr("*", f"posexplode({lists}) as (test_id, `order`)")
+    return out.withColumn("test_id", F.col("test_id").cast("long"))
+
+
 def given_orders(spark: SparkSession, orders: Sequence[Sequence[str]], maxlag: int) -> DataFrame:
     """The same table for hand-picked orders."""
-    lists = F.array(*[_literal(o) for o in orders])
-    return _named(spark.range(1).select(F.posexplode(lists).alias("test_id", "order")), maxlag)
+    return _named(explode_orders(spark.range(1).select(), orders), maxlag)
 
 
 def _named(rows: DataFrame, maxlag: int) -> DataFrame:
@@ -75,7 +80,8 @@ def prepend_variable(plan: DataFrame, new_var: str) -> DataFrame:
 
 def explode_pairs(df: DataFrame, variables: Sequence[str], keep_self: bool = False) -> DataFrame:
     """Add every ordered (effect, cause) pair to each row."""
-    out = df.withColumn("effect", F.explode(_literal(variables))).withColumn("cause", F.explode(_literal(variables)))
+    names = text_array(variables)
+    out = df.selectExpr("*", f"explode({names}) as effect").selectExpr("*", f"explode({names}) as cause")
     return out if keep_self else out.where("effect != cause")
 
 
