@@ -51,23 +51,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def hourly_events(spark, sf, keys=(), value=None) -> DataFrame:
+def hourly_events(spark, sf, keys=(), value=None, names=EVENTS) -> DataFrame:
     ev = table(spark, sf, "events").withColumn("grp", F.pmod("user_id", F.lit(8)))
     amount = None if value is None else F.col(value)
-    return pn.long_panel(ev, "ts", "1 hour", F.col("event_type"), EVENTS, amount, keys)
+    return pn.long_panel(ev, "ts", "1 hour", F.col("event_type"), names, amount, keys)
 
 
-def event_counts(spark, sf, keys=()) -> DataFrame:
-    return pn.densify(hourly_events(spark, sf, keys), "t", "1 hour", keys)
+def event_counts(spark, sf, names=EVENTS, keys=()) -> DataFrame:
+    """Hourly counts of some event types. Asking for the needed ones only lets ``densify`` read the table once."""
+    return pn.densify(hourly_events(spark, sf, keys, names=names), "t", "1 hour", keys)
 
 
-def event_values(spark, sf) -> DataFrame:
-    return pn.densify(hourly_events(spark, sf, value="value"), "t", "1 hour")
+def event_values(spark, sf, names=EVENTS) -> DataFrame:
+    return pn.densify(hourly_events(spark, sf, value="value", names=names), "t", "1 hour")
 
 
-def daily_shipments(spark, sf, keys=()) -> DataFrame:
+def daily_shipments(spark, sf, keys=(), names=tuple(SHIPMENTS)) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    sums = pn.long_panel(li, "l_shipdate", "1 day", F.concat("l_returnflag", "l_linestatus"), SHIPMENTS, F.col("l_quantity"), keys)
+    sums = pn.long_panel(li, "l_shipdate", "1 day", F.concat("l_returnflag", "l_linestatus"),
+                         {n: SHIPMENTS[n] for n in names}, F.col("l_quantity"), keys)
     return pn.densify(sums, "t", "1 day", keys)
 
 
@@ -78,7 +80,7 @@ def daily_orders(spark, sf) -> DataFrame:
 
 def scaled_values(spark, sf) -> DataFrame:
     """Event values brought to the range of the known-graph models."""
-    ev = event_values(spark, sf)
+    ev = event_values(spark, sf, FOUR)
     return ev.select("idx", *[((F.col(v) - 150) / 100).alias(s) for s, v in zip(("s1", "s2", "s3", "s4"), FOUR)])
 
 
@@ -95,21 +97,21 @@ def csv_header_roundtrip(spark, sf):
 @query
 def csv_headerless_named(spark, sf):
     path = scratch_path(spark, "csv_named")
-    event_counts(spark, sf).select("idx", *TWO).write.csv(path, header=True)
+    event_counts(spark, sf, TWO).select("idx", *TWO).write.csv(path, header=True)
     return io.read_panel(spark, path, "idx", ["idx", "x1", "x2"], skip_rows=1)
 
 
 @query
 def matrix_roundtrip(spark, sf):
     path = scratch_path(spark, "matrix")
-    io.write_matrix(event_values(spark, sf).select("idx", *TWO), path)
+    io.write_matrix(event_values(spark, sf, TWO).select("idx", *TWO), path)
     return rounded(io.read_panel(spark, path, names=["idx", "x1", "x2"]), 4)
 
 
 @query
 def edges_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "edges")
-    edges = graph.causality_graph(event_counts(spark, sf), THREE, 2, alpha=0.9, v=1.0)
+    edges = graph.causality_graph(event_counts(spark, sf, THREE), THREE, 2, alpha=0.9, v=1.0)
     io.write_edges(edges.select("effect", "cause", "p_value", "order"), path)
     return rounded(io.read_panel(spark, path, schema="effect string, cause string, p_value double, `order` string"))
 
@@ -162,30 +164,30 @@ def calendar_daily(spark, sf):
 
 @query
 def lag_zero_fill(spark, sf):
-    return pn.lag_panel(event_counts(spark, sf).select("idx", *TWO), TWO, 2, fill=0.0)
+    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, fill=0.0)
 
 
 @query
 def lag_drop(spark, sf):
-    return pn.lag_panel(event_counts(spark, sf).select("idx", *TWO), TWO, 3)
+    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 3)
 
 
 @query
 def lag_features(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf).select("idx", *TWO), TWO, 2)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
     out = lagged.select("idx", pn.feature_array("view", 2).alias("features"))
     return out.select("idx", F.element_at("features", 1).alias("f1"), F.element_at("features", 2).alias("f2"))
 
 
 @query
 def lag_grouped(spark, sf):
-    days = daily_shipments(spark, sf, ["l_linenumber"]).select("l_linenumber", "idx", "af", "no")
+    days = daily_shipments(spark, sf, ["l_linenumber"], ["af", "no"]).select("l_linenumber", "idx", "af", "no")
     return pn.lag_panel(days, ["af", "no"], 2, ["l_linenumber"])
 
 
 @query
 def lag_chunked(spark, sf):
-    days = daily_shipments(spark, sf).select("idx", "af", "no")
+    days = daily_shipments(spark, sf, names=["af", "no"]).select("idx", "af", "no")
     return pn.lag_panel(days, ["af", "no"], 3, chunk_rows=100)
 
 
@@ -222,13 +224,13 @@ QUERIES["structural_mean_nonlinear2"] = _structural("nonlinear2")
 
 
 def _click_round(spark, sf) -> DataFrame:
-    lagged = pn.lag_panel(event_counts(spark, sf).select("idx", *TWO), TWO, 2)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
     return boost.boost_round(lagged, "click", "click", 2)
 
 
 @query
 def ols_fit_lag2(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf).select("idx", *TWO), TWO, 2)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
     fit = boost.ols_fit(lagged, "click", pn.lag_names("view", 2))
     return rounded(fit.select("n", "intercept", F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2"), "mse", "r2"))
 
@@ -240,7 +242,7 @@ def ols_residual_lag2(spark, sf):
 
 @query
 def shrunk_residual(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf).select("idx", *TWO), TWO, 2)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
     fit = boost.boost_round(lagged, "click", "view", 2, v=0.1)
     return rounded(fit.select("idx", metrics.residual("click", "predicted", 0.1).alias("by_rule"), "residual"))
 
@@ -252,7 +254,7 @@ def fit_metrics(spark, sf):
 
 @query
 def cumulative_prediction(spark, sf):
-    panel = event_counts(spark, sf).select("idx", *THREE)
+    panel = event_counts(spark, sf, THREE).select("idx", *THREE)
     chains = boost.boost_chains(moments(panel, THREE, 2), THREE, 0.1, orders=[["click", "view", "error"]])
     rows = boost.chain_predictions(pn.lag_panel(panel, THREE, 2), chains, ["click", "view", "error"], 2)
     preds = ["predicted_1", "predicted_2", "predicted_3"]
@@ -261,13 +263,13 @@ def cumulative_prediction(spark, sf):
 
 @query
 def joint_ols(spark, sf):
-    fit = boost.joint_ols(moments(event_counts(spark, sf), TWO, 1), "click", TWO)
+    fit = boost.joint_ols(moments(event_counts(spark, sf, TWO), TWO, 1), "click", TWO)
     return rounded(fit.select("n", "intercept", F.col("coef")[0].alias("b_click"), F.col("coef")[1].alias("b_view"), "mse", "r2"))
 
 
 @query
 def moment_matrix(spark, sf):
-    table = moments(event_counts(spark, sf), TWO, 2)
+    table = moments(event_counts(spark, sf, TWO), TWO, 2)
     cells = table.select("n", "n_rows", "cols", "means", F.posexplode("g").alias("at", "g"))
     q = F.size("cols")
     row, col = F.floor(F.col("at") / q).cast("int"), F.pmod(F.col("at"), q)
@@ -279,7 +281,7 @@ def moment_matrix(spark, sf):
 
 
 def _rounds(spark, sf, v: float) -> DataFrame:
-    chains = boost.boost_chains(moments(event_counts(spark, sf), THREE, 2), THREE, v)
+    chains = boost.boost_chains(moments(event_counts(spark, sf, THREE), THREE, 2), THREE, v)
     rows = joined_order(boost.chain_rounds(chains))
     return rounded(rows.select("test_id", "order", "round", "x_name", "mse", "r2", "intercept",
                                F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2")))
@@ -296,7 +298,7 @@ def boost_chain_shrunk(spark, sf):
 
 
 def _tests(spark, sf, **how) -> DataFrame:
-    return graph.chain_tests(event_counts(spark, sf), THREE, 2, **how)
+    return graph.chain_tests(event_counts(spark, sf, THREE), THREE, 2, **how)
 
 
 _TEST_COLS = ["test_id", "effect", "cause", "order", "n", "mse_prev", "mse_all", "f_score", "p_value"]
@@ -351,7 +353,7 @@ def variable_pairs(spark, sf):
 
 @query
 def causality_graph_linear(spark, sf):
-    edges = graph.causality_graph(event_counts(spark, sf), THREE, 2, alpha=0.5, v=0.1)
+    edges = graph.causality_graph(event_counts(spark, sf, THREE), THREE, 2, alpha=0.5, v=0.1)
     return rounded(joined_order(edges.select(*_TEST_COLS)))
 
 
@@ -363,13 +365,13 @@ def causality_graph_five(spark, sf):
 
 @query
 def causality_graph_grouped(spark, sf):
-    days = daily_shipments(spark, sf, ["l_linenumber"])
+    days = daily_shipments(spark, sf, ["l_linenumber"], ["af", "no", "ro"])
     edges = graph.causality_graph(days, ["af", "no", "ro"], 2, alpha=0.2, v=0.1, keys=["l_linenumber"])
     return rounded(joined_order(edges.select("l_linenumber", *_TEST_COLS)), 4)
 
 
 def _incremental(spark, sf, **how) -> DataFrame:
-    return graph.incremental_graph(event_counts(spark, sf), TWO, "error", 2, alpha=0.7, v=0.1, **how)
+    return graph.incremental_graph(event_counts(spark, sf, THREE), TWO, "error", 2, alpha=0.7, v=0.1, **how)
 
 
 def _edge_view(df: DataFrame) -> DataFrame:
@@ -378,20 +380,20 @@ def _edge_view(df: DataFrame) -> DataFrame:
 
 @query
 def incremental_effect(spark, sf):
-    table = moments(event_counts(spark, sf), THREE, 2)
+    table = moments(event_counts(spark, sf, THREE), THREE, 2)
     return rounded(joined_order(graph.incremental_effect(table, TWO, "error", 0.1).select(*_TEST_COLS)))
 
 
 @query
 def incremental_cause(spark, sf):
-    table = moments(event_counts(spark, sf), THREE, 2)
+    table = moments(event_counts(spark, sf, THREE), THREE, 2)
     state = graph.causality_state(table, TWO, 0.1)
     return rounded(joined_order(graph.incremental_cause(state, table, "error", 4).select(*_TEST_COLS)))
 
 
 @query
 def incremental_cause_conditioned(spark, sf):
-    table = moments(event_counts(spark, sf), THREE, 2)
+    table = moments(event_counts(spark, sf, THREE), THREE, 2)
     state = graph.causality_state(table, TWO, 0.1)
     return rounded(joined_order(graph.incremental_cause(state, table, "error", 3, mode="condition").select(*_TEST_COLS)))
 
@@ -412,37 +414,37 @@ def all_chain_tests(spark, sf) -> DataFrame:
 
 @query
 def tree_stump_round(spark, sf):
-    rows, _, _ = tree.tree_round(event_counts(spark, sf), "click", "click", 2, depth=1)
+    rows, _, _ = tree.tree_round(event_counts(spark, sf, ["click"]), "click", "click", 2, depth=1)
     return rounded(rows.select("idx", "prediction", "residual"))
 
 
 @query
 def tree_round(spark, sf):
-    rows, _, _ = tree.tree_round(event_counts(spark, sf), "click", "view", 2, depth=3)
+    rows, _, _ = tree.tree_round(event_counts(spark, sf, TWO), "click", "view", 2, depth=3)
     return rounded(rows.select("idx", "prediction", "residual"))
 
 
 @query
 def tree_round_grouped(spark, sf):
-    rows, _, _ = tree.tree_round(event_counts(spark, sf, ["grp"]), "click", "view", 2, depth=2, keys=["grp"])
+    rows, _, _ = tree.tree_round(event_counts(spark, sf, TWO, ["grp"]), "click", "view", 2, depth=2, keys=["grp"])
     return rounded(rows.select("grp", "idx", "prediction"))
 
 
 @query
 def tree_importances(spark, sf):
-    _, _, shares = tree.tree_round(event_counts(spark, sf), "click", "click", 2, depth=3)
+    _, _, shares = tree.tree_round(event_counts(spark, sf, ["click"]), "click", "click", 2, depth=3)
     return rounded(shares.select(F.col("lag").cast("long").alias("lag"), "importance"))
 
 
 @query
 def ar_tree(spark, sf):
-    _, fit, _ = tree.ar_tree(event_counts(spark, sf), "click", 3, depth=4)
+    _, fit, _ = tree.ar_tree(event_counts(spark, sf, ["click"]), "click", 3, depth=4)
     return rounded(fit.select("n", "mse", "r2"))
 
 
 @query
 def causality_graph_tree(spark, sf):
-    edges = graph.causality_graph(event_counts(spark, sf), THREE, 2, alpha=0.5, v=0.1, learner="tree", depth=2)
+    edges = graph.causality_graph(event_counts(spark, sf, THREE), THREE, 2, alpha=0.5, v=0.1, learner="tree", depth=2)
     return rounded(joined_order(edges.select(*_TEST_COLS)))
 
 
@@ -455,7 +457,7 @@ def incremental_tree(spark, sf):
 
 
 def _var1(spark, sf) -> DataFrame:
-    return var.var_fit(event_counts(spark, sf), TWO, 1)
+    return var.var_fit(event_counts(spark, sf, TWO), TWO, 1)
 
 
 @query
@@ -482,7 +484,7 @@ def var_residual_correlation(spark, sf):
 
 
 def _forecast(spark, sf, steps: int, alpha=None) -> DataFrame:
-    panel = event_counts(spark, sf)
+    panel = event_counts(spark, sf, TWO)
     fc = var.var_forecast(var.var_fit(panel, TWO, 1), pn.last_rows(panel, 1), TWO, steps, alpha=alpha)
     return fc.withColumn("step", F.col("step").cast("long"))
 
@@ -498,7 +500,7 @@ def forecast_bands(spark, sf):
 
 
 def _versus(spark, sf, offset: int) -> DataFrame:
-    panel = event_counts(spark, sf)
+    panel = event_counts(spark, sf, TWO)
     past = pn.slice_panel(panel, hi=499)
     fc = var.var_forecast(var.var_fit(past, TWO, 1), pn.slice_panel(panel, 499, 499), TWO, 50)
     table = var.forecast_vs_actual(fc, panel, "click", 500, offset=offset)
@@ -516,7 +518,7 @@ def forecast_vs_actual_shifted(spark, sf):
 
 
 def _causality(spark, sf, kind: str) -> DataFrame:
-    fit = var.var_fit(event_counts(spark, sf), TWO, 2)
+    fit = var.var_fit(event_counts(spark, sf, TWO), TWO, 2)
     out = var.var_causality(fit, TWO, "click", "view", kind)
     return out
 
@@ -539,7 +541,7 @@ def var_critical_values(spark, sf):
 
 @query
 def var_joint_causality(spark, sf):
-    fit = var.var_fit(event_counts(spark, sf), THREE, 2)
+    fit = var.var_fit(event_counts(spark, sf, THREE), THREE, 2)
     return rounded(var.var_causality(fit, THREE, 0).select("statistic", "df1", "df2", "p_value"))
 
 
@@ -557,26 +559,26 @@ def granger_best_lag(spark, sf):
 
 @query
 def granger_pairs_grouped(spark, sf):
-    days = daily_shipments(spark, sf, ["l_linenumber"])
+    days = daily_shipments(spark, sf, ["l_linenumber"], ["af", "no", "ro"])
     tests = granger.granger_pairs(days, ["af", "no", "ro"], [2], ["l_linenumber"])
     return rounded(tests.select("l_linenumber", "effect", "cause", "f_score", "p_value"), 5)
 
 
 @query
 def var_pair_tests(spark, sf):
-    fit = var.var_fit(event_counts(spark, sf), FOUR, [1, 2, 3])
+    fit = var.var_fit(event_counts(spark, sf, FOUR), FOUR, [1, 2, 3])
     tests = var.var_pair_tests(fit, FOUR)
     return rounded(tests.select("effect", "cause", F.col("lag").cast("long").alias("lag"), "statistic", "p_value"))
 
 
 @query
 def var_graph(spark, sf):
-    edges = var.var_graph(event_counts(spark, sf), FOUR, 3, alpha=0.5)
+    edges = var.var_graph(event_counts(spark, sf, FOUR), FOUR, 3, alpha=0.5)
     return rounded(edges.select("effect", "cause", F.col("lag").cast("long").alias("lag"), "p_value"))
 
 
 def _var_edges(spark, sf) -> DataFrame:
-    edges = var.var_edges(event_counts(spark, sf), FOUR, 3, alpha=0.9)
+    edges = var.var_edges(event_counts(spark, sf, FOUR), FOUR, 3, alpha=0.9)
     return edges.withColumn("time_lag", F.col("time_lag").cast("long"))
 
 
@@ -603,7 +605,7 @@ def var_edges_csv(spark, sf):
 
 def _hourly_scores(spark, sf) -> DataFrame:
     """A score per hour of the panel, to evaluate the tails on."""
-    return event_counts(spark, sf).select("idx", (F.col("click") / 2 + F.col("idx") / 300).alias("x"))
+    return event_counts(spark, sf, ["click"]).select("idx", (F.col("click") / 2 + F.col("idx") / 300).alias("x"))
 
 
 @query

@@ -171,7 +171,9 @@ def _call(fn, *args) -> Column:
     def run(*cols: pd.Series) -> pd.Series:
         return pd.Series(fn(*[c.to_numpy(dtype=float, na_value=np.nan) for c in cols]))
 
-    return F.pandas_udf(run, "double")(*[_as_col(a).cast("double") for a in args])
+    # Marked so that a filter on the result does not evaluate the function a second time below the projection.
+    udf = F.pandas_udf(run, "double").asNondeterministic()
+    return udf(*[_as_col(a).cast("double") for a in args])
 
 
 def f_sf(f, d1, d2) -> Column:

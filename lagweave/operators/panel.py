@@ -119,22 +119,27 @@ def long_panel(df: DataFrame, time_col: str, step: str, variable: Column, variab
     kind, seconds = _kind(df, time_col), _step_seconds(step)
     amount = F.lit(1.0) if value is None else value.cast("double")
     at = F.expr(f"cast(floor(({_seconds(kind, time_col, seconds)}) / {seconds}) as long)")
-    rows = df.select(*keys, at.alias("_step"), variable.alias("_variable"), amount.alias("_value"))
+    rows = df.where(F.col(time_col).isNotNull()).select(*keys, at.alias("_step"), variable.alias("_variable"), amount.alias("_value"))
     sums = rows.groupBy(*keys, "_step").agg(
         *[F.coalesce(F.sum(F.when(F.col("_variable") == v, F.col("_value"))), F.lit(0.0)).alias(name) for name, v in names.items()]
     )
-    return sums.selectExpr(*_quoted(keys), f"{_from_seconds(kind, f'_step * {seconds}')} as t", *_quoted(names))
+    # A time that cannot be null spares the scan a null check of this expression.
+    start = f"coalesce({_from_seconds(kind, f'_step * {seconds}')}, cast(timestamp_ntz'1970-01-01 00:00:00' as {kind}))"
+    return sums.selectExpr(*_quoted(keys), f"{start} as t", *_quoted(names))
 
 
 def densify(panel: DataFrame, time_col: str, step: str, keys: Sequence[str] = (), fill: float | None = 0.0,
             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Fill gaps to a regular grid from each panel's first to last step and add ``idx``.
 
-    The grid is generated in chunks, one task slot per chunk rather than per panel.
+    The grid is generated in chunks, one task slot per chunk rather than per
+    panel. Rows without a time or a panel key have no place on it.
     """
     seconds, kind, k = _step_seconds(step), _kind(panel, time_col), _quoted(keys)
     values = [c for c in panel.columns if c not in (*keys, time_col)]
-    at = panel.selectExpr(*k, f"{_seconds(kind, time_col)} as _at", *_quoted(values))
+    placed = panel.where(" and ".join(f"{c} is not null" for c in (*k, f"`{time_col}`")))
+    # Declared free of nulls (it is, see above), so that the join below adds no null check to one use of the panel only.
+    at = placed.selectExpr(*k, f"coalesce({_seconds(kind, time_col)}, 0L) as _at", *_quoted(values))
     # The bounds drag the values along so that both uses of the panel share one shuffle, and its input is scanned once.
     whole = f"struct(_at, {', '.join(_quoted(values))})" if values else "struct(_at)"
     bounds = at.groupBy(*keys).agg(F.expr(f"min({whole})._at as _lo"), F.expr(f"max({whole})._at as _hi"))

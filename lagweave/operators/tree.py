@@ -157,7 +157,7 @@ def tree_round(panel: DataFrame, label: str, variable: str, maxlag: int, depth:
     Returns (rows with label, prediction and residual; metrics; importances per lag).
     """
     lagged = lag_panel(panel, [variable], maxlag, keys, fill, idx)
-    base = binned_rows(lagged, [variable], maxlag, max_bins, keys, idx, [label])
+    base = cut(binned_rows(lagged, [variable], maxlag, max_bins, keys, idx, [label]))
     rows, levels = grow_trees(_labelled(base, f"array(`{label}`)"), [0], depth, min_leaf, keys)
     out = rows.selectExpr(*_cols(keys), f"`{idx}`", "state[0].label as label", "state[0].pred as prediction",
                           "state[0].label - state[0].pred as residual")
