@@ -35,7 +35,7 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
 def _rows(table: pa.Table, keys: Sequence[str], out: dict, types: dict) -> pa.Table:
     """Result rows of one group, with the group's key values repeated."""
     size = len(next(iter(out.values())))
-    fixed = {k: table[k].take([0] * size) for k in keys}
+    fixed = {k: table[k].take(pa.array([0] * size, pa.int64())) for k in keys}
     return pa.table(fixed | {c: pa.array(v, types[c]) for c, v in out.items()})
 
 
@@ -43,7 +43,7 @@ def _lagged_matrix(x: np.ndarray, halo: int, depth: int) -> np.ndarray:
     """Columns (variable, lag 0..depth) of the rows after the halo; missing lags are 0."""
     m = len(x) - halo
     x = np.vstack([np.zeros((depth - halo, x.shape[1])), x])
-    return np.stack([x[depth - lag : depth - lag + m] for lag in range(depth + 1)], axis=2).reshape(m, -1)
+    return np.stack([x[depth - lag : depth - lag + m] for lag in range(depth + 1)], axis=2).reshape(m, x.shape[1] * (depth + 1))
 
 
 def _stats(z: np.ndarray):
