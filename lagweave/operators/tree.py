@@ -1,10 +1,10 @@
 """Regression-tree learner for boosting chains, grown level by level for all trees at once.
 
-Every panel row carries one (label, node, prediction) per tree of the current
-round. A level is one aggregation of per-bin counts and sums, a running sum over
-the bins of each node and feature, and a join of the chosen splits back to the
-rows. Orders that share a prefix share its trees. Only the tables of splits are
-cut per level and the rows once per round, so plans stay short.
+The rows are the panel's rows times the trees of the current round, with the
+lags as bin numbers. A level is one aggregation of per-bin counts and sums, a
+running sum over the bins of each node and feature, and a join of the chosen
+splits back to the rows. Orders that share a prefix share its trees. The splits
+are saved per level and the rows once per round, so plans stay short.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from ..plans.orders import check_variables, text_array
 from .boost import chain_f_test
 from .graph import cause_tests, significant
-from .panel import SALTS, lag_name, lag_panel
-from .staging import cut
+from .panel import SALTS, attach_by_panel, lag_name, lag_panel
+from .staging import cut, saved
+
+# About 6 MB of split rows; beyond it the join is a salted shuffle.
+BROADCAST_SPLITS = 100_000
 
 
 def _cols(keys: Sequence[str]) -> list[str]:
@@ -30,10 +33,6 @@ def _ints(values: Sequence[int]) -> str:
     return f"array({', '.join(str(int(v)) for v in values)})"
 
 
-def _spread(table: DataFrame) -> DataFrame:
-    return table.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as _salt")
-
-
 def split_points(lagged: DataFrame, columns: Sequence[str], max_bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Candidate thresholds per panel and column, in a bounded summary of ``max_bins`` values.
 
@@ -50,23 +49,52 @@ def split_points(lagged: DataFrame, columns: Sequence[str], max_bins: int, keys:
     return hists.selectExpr(*_cols(keys), f"array({mids}) as thresholds")
 
 
+def _bin_name(variable: int, lag: int) -> str:
+    return f"_b{variable}_{lag}"
+
+
+def _case(of: str, results: Sequence[str]) -> str:
+    """``results[of]`` as a plain CASE, which stays in generated code."""
+    return f"case {of} " + " ".join(f"when {i} then {r}" for i, r in enumerate(results)) + " end"
+
+
 def binned_rows(lagged: DataFrame, variables: Sequence[str], maxlag: int, max_bins: int, keys: Sequence[str] = (),
                 idx: str = "idx", also: Sequence[str] = ()) -> DataFrame:
-    """Rows of a lagged panel with ``bins[variable][lag - 1]`` and the values of the variables (and of ``also``)."""
-    columns = [lag_name(v, lag) for v in variables for lag in range(1, maxlag + 1)]
-    cuts = cut(split_points(lagged, columns, max_bins, keys))
-    rows = lagged.selectExpr("*", f"cast(pmod(`{idx}`, {SALTS}) as int) as _salt").join(_spread(cuts), [*keys, "_salt"])
-    bins = [f"size(filter(thresholds[{i}], t -> t < `{c}`))" for i, c in enumerate(columns)]
-    by_variable = ", ".join(f"array({', '.join(bins[i:i + maxlag])})" for i in range(0, len(bins), maxlag))
+    """Rows of a lagged panel: the bin of each lag (``_b<variable>_<lag>``) and the values of the variables (and of ``also``)."""
+    names = [(i, lag, lag_name(v, lag)) for i, v in enumerate(variables) for lag in range(1, maxlag + 1)]
+    cuts = saved(split_points(lagged, [c for _, _, c in names], max_bins, keys), "thresholds")
+    rows = attach_by_panel(lagged, cuts, keys, idx)
+    bins = [f"size(filter(thresholds[{at}], t -> t < `{c}`)) as {_bin_name(i, lag)}" for at, (i, lag, c) in enumerate(names)]
     values = [f"cast(`{v}` as double) as `{v}`" for v in dict.fromkeys([*variables, *also])]
-    return rows.selectExpr(*_cols(keys), f"`{idx}`", "_salt", f"array({by_variable}) as bins", *values)
+    return rows.selectExpr(*_cols(keys), f"`{idx}`", *bins, *values)
+
+
+def start_round(rows: DataFrame, variables: Sequence[int], maxlag: int, labels: Sequence[str] | None = None,
+                parents: Sequence[int] = (), shrink: float = 1.0) -> DataFrame:
+    """One row per tree: its label, its features ``_f1``.., the root node and no prediction.
 
+    In the first round the labels are the columns ``labels``; later a tree takes
+    what its parent tree of the round before left.
+    """
+    kept = [f"`{c}`" for c in rows.columns if c not in ("tree", "label", "pred")]
+    if labels is not None:
+        grown = rows.selectExpr(*kept, f"posexplode(array({', '.join(labels)})) as (tree, label)")
+    else:
+        children = [[t for t, p in enumerate(parents) if p == i] for i in range(max(parents) + 1)]
+        listed = "array(" + ", ".join(f"cast({_ints(c)} as array<int>)" for c in children) + ")"
+        grown = rows.selectExpr(*kept, f"explode(get({listed}, tree)) as tree", f"label - {float(shrink)}D * pred as label")
+    which, found = f"{_ints(variables)}[tree]", sorted(set(variables))
+    feats = [
+        f"case {which} " + " ".join(f"when {v} then {_bin_name(v, lag)}" for v in found) + f" end as _f{lag}" for lag in range(1, maxlag + 1)
+    ]
+    return grown.selectExpr("*", *feats, "1 as node", "cast(null as double) as pred")
 
-def _best_splits(rows: DataFrame, feature_of: Sequence[int], level: int, min_leaf: int, keys: Sequence[str]) -> DataFrame:
+
+def _best_splits(rows: DataFrame, maxlag: int, level: int, min_leaf: int, keys: Sequence[str]) -> DataFrame:
     """Per panel, tree and active node: the node's mean and its best split (null where none is allowed)."""
     k = _cols(keys)
-    seen = rows.selectExpr(*k, "bins", "posexplode(state) as (tree, s)").where(f"s.node >= {2**level}").selectExpr(
-        *k, "tree", "s.node as node", "s.label as label", f"posexplode(bins[{_ints(feature_of)}[tree]]) as (feature, bin)")
+    feats = ", ".join(f"_f{lag}" for lag in range(1, maxlag + 1))
+    seen = rows.where(f"node >= {2**level}").selectExpr(*k, "tree", "node", "label", f"posexplode(array({feats})) as (feature, bin)")
     hist = seen.groupBy(*keys, "tree", "node", "feature", "bin").agg(F.expr("count(1) as c"), F.expr("sum(label) as t"))
     # A tree's histogram is small and bounded; kept together it needs no further shuffle below.
     hist = hist.repartition(*keys, "tree")
@@ -87,57 +115,36 @@ def _best_splits(rows: DataFrame, feature_of: Sequence[int], level: int, min_lea
     return best.selectExpr(*k, "tree", "node", "mean", *chosen)
 
 
-def _by_panel(splits: DataFrame, trees: int, level: int, keys: Sequence[str]) -> DataFrame:
-    """The level's splits as one row per panel: ``splits[tree][node - 2^level]``."""
-    k, width = _cols(keys), 2**level
-    per_tree = splits.groupBy(*keys, "tree").agg(
-        F.expr("collect_list(struct(node, mean, feature, bin, gain, lm, rm)) as nodes")
-    ).selectExpr(*k, "tree", f"transform(sequence({width}, {2 * width - 1}), i -> get(filter(nodes, e -> e.node = i), 0)) as nodes")
-    return per_tree.groupBy(*keys).agg(F.expr("collect_list(struct(tree, nodes)) as t")).selectExpr(
-        *k, f"transform(sequence(0, {trees - 1}), i -> get(filter(t, e -> e.tree = i), 0).nodes) as splits")
-
-
-def _mover(feature_of: Sequence[int], level: int) -> str:
-    """Send each (label, node, prediction) of a row to the child its tree's split chooses."""
-    with_split = (
-        f"transform(state, (s, tree) -> struct(s as s, get(get(splits, tree), s.node - {2**level}) as d, "
-        f"bins[{_ints(feature_of)}[tree]] as x))"
-    )
-    left, stay = "get(m.x, m.d.feature) <= m.d.bin", "m.d.mean" if level == 0 else "m.s.pred"
-    return (
-        f"transform({with_split}, m -> case when m.d.feature is null then struct(m.s.label as label, m.s.node as node, {stay} as pred) "
-        f"when {left} then struct(m.s.label as label, 2 * m.s.node as node, m.d.lm as pred) "
-        f"else struct(m.s.label as label, 2 * m.s.node + 1 as node, m.d.rm as pred) end) as state"
-    )
+def _with_splits(rows: DataFrame, splits: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
+    """Join the splits to the rows: broadcast while they are few, else salted, as one node may hold most rows."""
+    on = [*keys, "tree", "node"]
+    if splits.count() <= BROADCAST_SPLITS:
+        return rows.join(F.broadcast(splits), on, "left")
+    salted = rows.selectExpr("*", f"cast(pmod(`{idx}`, {SALTS}) as int) as _salt")
+    return salted.join(splits.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as _salt"), [*on, "_salt"], "left").drop("_salt")
 
 
-def grow_trees(rows: DataFrame, feature_of: Sequence[int], depth: int, min_leaf: int, keys: Sequence[str] = ()):
-    """Grow one tree per entry of ``feature_of`` on the labels in ``state``.
+def grow_trees(rows: DataFrame, maxlag: int, depth: int, min_leaf: int, keys: Sequence[str] = (), idx: str = "idx"):
+    """Grow the trees of a started round.
 
-    Returns the rows with node and prediction filled in, and the list of split
-    tables (one per level, one row per panel).
+    Returns the rows with node and prediction filled in, and the list of split tables (one per level).
     """
-    levels, others = [], [f"`{c}`" for c in rows.columns if c != "state"]
+    levels, others = [], [f"`{c}`" for c in rows.columns if c not in ("node", "pred")]
     for level in range(depth):
-        table = cut(_by_panel(_best_splits(rows, feature_of, level, min_leaf, keys), len(feature_of), level, keys))
+        table = saved(_best_splits(rows, maxlag, level, min_leaf, keys), "splits")
         levels.append(table)
-        rows = rows.join(_spread(table), [*keys, "_salt"], "left").selectExpr(*others, _mover(feature_of, level))
+        left = f"({_case('feature', [f'_f{lag}' for lag in range(1, maxlag + 1)])}) <= bin"
+        stay = "mean" if level == 0 else "pred"
+        rows = _with_splits(rows, table.drop("gain"), keys, idx).selectExpr(
+            *others, f"case when feature is null then node when {left} then 2 * node else 2 * node + 1 end as node",
+            f"case when feature is null then {stay} when {left} then lm else rm end as pred")
     return rows, levels
 
 
-def _labelled(rows: DataFrame, labels: str) -> DataFrame:
-    kept = [f"`{c}`" for c in rows.columns if c != "state"]
-    return rows.selectExpr(*kept, f"transform({labels}, x -> struct(x as label, 1 as node, cast(null as double) as pred)) as state")
-
-
 def tree_importances(levels: Sequence[DataFrame], keys: Sequence[str] = ()) -> DataFrame:
     """Share of each lag in a tree's total gain: tree, feature (lag - 1), importance. Trees without a split are absent."""
     k = _cols(keys)
-    parts = [
-        t.selectExpr(*k, "posexplode(splits) as (tree, nodes)").selectExpr(*k, "tree", "explode(nodes) as s")
-        .where("s.feature is not null").selectExpr(*k, "tree", "s.feature", "s.gain")
-        for t in levels
-    ]
+    parts = [t.where("feature is not null").selectExpr(*k, "tree", "feature", "gain") for t in levels]
     total = reduce(DataFrame.unionByName, parts).groupBy(*keys, "tree", "feature").agg(F.sum("gain").alias("gain"))
     by = ", ".join([*k, "tree"])
     return total.selectExpr(*k, "tree", "feature", f"gain / sum(gain) over (partition by {by}) as importance")
@@ -145,8 +152,8 @@ def tree_importances(levels: Sequence[DataFrame], keys: Sequence[str] = ()) -> D
 
 def _tree_stats(rows: DataFrame, names: Sequence[str], number: int, keys: Sequence[str]) -> DataFrame:
     k = _cols(keys)
-    return rows.selectExpr(*k, "posexplode(state) as (tree, s)").groupBy(*keys, "tree").agg(
-        F.expr("count(1) as n"), F.expr("avg((s.label - s.pred) * (s.label - s.pred)) as mse"), F.expr("var_pop(s.label) as var"),
+    return rows.groupBy(*keys, "tree").agg(
+        F.expr("count(1) as n"), F.expr("avg((label - pred) * (label - pred)) as mse"), F.expr("var_pop(label) as var"),
     ).selectExpr(*k, f"{number} as round", "tree", f"{text_array(names)}[tree] as x_name", "n", "mse", "1 - try_divide(mse, var) as r2")
 
 
@@ -157,10 +164,10 @@ def tree_round(panel: DataFrame, label: str, variable: str, maxlag: int, depth:
     Returns (rows with label, prediction and residual; metrics; importances per lag).
     """
     lagged = lag_panel(panel, [variable], maxlag, keys, fill, idx)
-    base = cut(binned_rows(lagged, [variable], maxlag, max_bins, keys, idx, [label]))
-    rows, levels = grow_trees(_labelled(base, f"array(`{label}`)"), [0], depth, min_leaf, keys)
-    out = rows.selectExpr(*_cols(keys), f"`{idx}`", "state[0].label as label", "state[0].pred as prediction",
-                          "state[0].label - state[0].pred as residual")
+    base = saved(binned_rows(lagged, [variable], maxlag, max_bins, keys, idx, [label]), "binned")
+    started = start_round(base, [0], maxlag, [f"`{label}`"])
+    rows, levels = grow_trees(started, maxlag, depth, min_leaf, keys, idx)
+    out = rows.selectExpr(*_cols(keys), f"`{idx}`", "label", "pred as prediction", "label - pred as residual")
     metrics = _tree_stats(rows, [variable], 1, keys).select(*keys, "x_name", "n", "mse", "r2")
     shares = tree_importances(levels, keys).select(*keys, (F.col("feature") + 1).alias("lag"), "importance")
     return out, metrics, shares
@@ -192,20 +199,19 @@ def all_orders(variables: Sequence[str]) -> list[list[str]]:
     return orders
 
 
-def _left_over(parents: Sequence[int], shrink: float) -> str:
-    """Labels of the next round: what the parent trees left."""
-    return f"transform({_ints(parents)}, i -> state[i].label - {float(shrink)}D * state[i].pred)"
-
-
-def _run_chains(base: DataFrame, variables: Sequence[str], orders, v: float, depth: int, min_leaf: int, keys: Sequence[str]):
+def _run_chains(base: DataFrame, variables: Sequence[str], orders, maxlag: int, v: float, depth: int, min_leaf: int,
+                keys: Sequence[str], idx: str):
     """All rounds of all orders: (statistics per round and tree, rows after the last round, trie)."""
-    stats, rows, trie, last = None, base, _trie(orders), len(orders[0]) - 1
+    stats, rows, trie = None, base, _trie(orders)
     for j, (prefixes, parents, _) in enumerate(trie):
         names = [p[-1] for p in prefixes]
-        shrink = 1.0 if j == 1 else v
-        labels = "array(" + ", ".join(f"`{n}`" for n in names) + ")" if j == 0 else _left_over(parents, shrink)
-        rows, _ = grow_trees(_labelled(rows, labels), [variables.index(n) for n in names], depth, min_leaf, keys)
-        rows = cut(rows.drop(*variables) if j < last else rows)
+        which = [variables.index(n) for n in names]
+        if j == 0:
+            started = start_round(rows, which, maxlag, [f"`{n}`" for n in names]).drop(*variables)
+        else:
+            started = start_round(rows, which, maxlag, None, parents, 1.0 if j == 1 else v)
+        grown, _ = grow_trees(started, maxlag, depth, min_leaf, keys, idx)
+        rows = saved(grown.drop("node", *[f"_f{lag}" for lag in range(1, maxlag + 1)]), "round")
         part = _tree_stats(rows, names, j + 1, keys)
         stats = part if stats is None else stats.unionByName(part)
     return stats, rows, trie
@@ -228,7 +234,7 @@ def _chains(stats: DataFrame, trie, orders, maxlag: int, dropped: int, keys: Seq
 
 def _base(panel, variables, maxlag, max_bins, keys, fill, idx):
     lagged = lag_panel(panel.select(*keys, idx, *variables), variables, maxlag, keys, fill, idx)
-    return cut(binned_rows(lagged, variables, maxlag, max_bins, keys, idx))
+    return saved(binned_rows(lagged, variables, maxlag, max_bins, keys, idx), "binned")
 
 
 def tree_chains(panel: DataFrame, variables: Sequence[str], maxlag: int, v: float = 0.1, keys: Sequence[str] = (),
@@ -237,7 +243,7 @@ def tree_chains(panel: DataFrame, variables: Sequence[str], maxlag: int, v: floa
     """Tree boosting chains, one row per panel and order, with the MSE and R² of each round."""
     names, plan = list(variables), [list(o) for o in orders] if orders else all_orders(variables)
     base = _base(panel, names, maxlag, max_bins, keys, fill, idx)
-    stats, _, trie = _run_chains(base, names, plan, v, depth, min_leaf, keys)
+    stats, _, trie = _run_chains(base, names, plan, maxlag, v, depth, min_leaf, keys, idx)
     return _chains(stats, trie, plan, maxlag, maxlag if fill is None else 0, keys)
 
 
@@ -256,12 +262,12 @@ def incremental_tree_tests(panel: DataFrame, old: Sequence[str], new_var: str, m
         raise ValueError("mode must be 'replace' or 'condition'")
     names, k, dropped = [*old, new_var], len(old) + 1, maxlag if fill is None else 0
     base, plan = _base(panel, names, maxlag, max_bins, keys, fill, idx), all_orders(old)
-    stats, rows, trie = _run_chains(base, names, plan, v, depth, min_leaf, keys)
+    stats, rows, trie = _run_chains(base, names, plan, maxlag, v, depth, min_leaf, keys, idx)
     tests = cut(chain_f_test(_chains(stats, trie, plan, maxlag, dropped, keys), k, keys, n))
     existing = significant(tests, alpha)
 
     longer = [[new_var, *o] for o in plan]
-    effect_stats, _, effect_trie = _run_chains(base, names, longer, v, depth, min_leaf, keys)
+    effect_stats, _, effect_trie = _run_chains(base, names, longer, maxlag, v, depth, min_leaf, keys, idx)
     effect = chain_f_test(_chains(effect_stats, effect_trie, longer, maxlag, dropped, keys), k, keys, n)
 
     # At most one id per order of the plan comes to the driver; only those tests are fitted again.
@@ -269,8 +275,9 @@ def incremental_tree_tests(panel: DataFrame, old: Sequence[str], new_var: str, m
     if not wanted:
         return existing, effect, existing.limit(0)
     last, shrink = trie[-1][2], v if len(old) > 1 else 1.0
-    labels = _left_over([last[t] for t in wanted], 0.0 if mode == "replace" else shrink)
-    grown, _ = grow_trees(_labelled(rows, labels), [names.index(new_var)] * len(wanted), depth, min_leaf, keys)
+    started = start_round(rows, [names.index(new_var)] * len(wanted), maxlag, None, [last[t] for t in wanted],
+                          0.0 if mode == "replace" else shrink)
+    grown, _ = grow_trees(started, maxlag, depth, min_leaf, keys, idx)
     fits = _tree_stats(grown, [new_var] * len(wanted), k, keys).withColumn("test_id", F.expr(f"cast({_ints(wanted)}[tree] as long)"))
     before = tests.select(*keys, "test_id", "effect", "order", F.col("mse_all").alias("mse_prev")) if all_tests else \
         existing.select(*keys, "test_id", "effect", "order", F.col("mse_all").alias("mse_prev"))
