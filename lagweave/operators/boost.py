@@ -7,6 +7,7 @@ solve on the moment matrix and no row of data is read again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,13 +80,20 @@ def _moment_rows(batch: pa.RecordBatch):
         yield row, {"p": row["p"], "n": max(row["n"], 1), "cols": row["cols"], "means": means[i], "g": g[i].reshape(q, q)}
 
 
+def in_batches(records, schema: pa.Schema, size: int = 2048):
+    """Arrow batches of a stream of records."""
+    while part := list(islice(records, size)):
+        yield pa.RecordBatch.from_pylist(part, schema=schema)
+
+
 def boost_chains(moment_table: DataFrame, variables: Sequence[str], v: float = 1.0, keys: Sequence[str] = (),
-                 orders: Sequence[Sequence[str]] | None = None, prefix: Sequence[str] = ()) -> DataFrame:
-    """One row per panel and test: test_id, effect, cause, order, p, n, n_rows, rounds, label, residual.
+                 orders: Sequence[Sequence[str]] | None = None, prefix: Sequence[str] = (), state: bool = False) -> DataFrame:
+    """One row per panel and test: test_id, effect, cause, order, p, n, n_rows, rounds, cols, label, residual.
 
     Without ``orders`` every order of ``variables`` is tested (after ``prefix``
-    if given). ``label`` and ``residual`` are the last round's label and what is
-    left of it, as coefficients over ``cols``: the state of the incremental mode.
+    if given). With ``state``, ``label`` and ``residual`` are the last round's
+    label and what is left of it, as coefficients over ``cols``: what the
+    incremental mode needs; else the three are null.
     """
     keys, names = list(keys), list(variables)
     base = moment_table.where("n > 0")
@@ -111,19 +119,17 @@ def boost_chains(moment_table: DataFrame, variables: Sequence[str], v: float = 1
         f"rounds array<{_ROUND_DDL}>, cols array<string>, label array<double>, residual array<double>"
     )
 
-    def run(batches):
+    def found(batches):
         for batch in batches:
             for row, m in _moment_rows(batch):
                 left = [c for c in names if c not in row["order"]] if complete else []
-                found = [
-                    {k: row[k] for k in keys} | {
-                        "test_id": row["test_id"] + i, "effect": order[0], "cause": order[-1], "order": order,
-                        "p": row["p"], "n": row["n"], "n_rows": row["n_rows"], "rounds": rounds,
-                        "cols": row["cols"], "label": label, "residual": residual,
-                    }
-                    for i, (order, rounds, label, residual, _) in enumerate(_walk(m, row["order"], left, v))
-                ]
-                yield pa.RecordBatch.from_pylist(found, schema=out_schema)
+                fixed = {k: row[k] for k in keys} | {c: row[c] for c in ("p", "n", "n_rows")}
+                for i, (order, rounds, label, residual, _) in enumerate(_walk(m, row["order"], left, v)):
+                    test = {"test_id": row["test_id"] + i, "effect": order[0], "cause": order[-1], "order": order, "rounds": rounds}
+                    yield fixed | test | ({"cols": row["cols"], "label": label, "residual": residual} if state else {})
+
+    def run(batches):
+        return in_batches(found(batches), out_schema)
 
     return rows.mapInArrow(run, ddl)
 

@@ -130,7 +130,7 @@ def merge_edges(effect: DataFrame, cause: DataFrame, existing: DataFrame) -> Dat
 
 def causality_state(moment_table: DataFrame, old: Sequence[str], v: float = 0.1, keys: Sequence[str] = ()) -> DataFrame:
     """Chains of the old variables, materialised: what a later increment needs. May also be written as a table."""
-    return cut(boost_chains(moment_table, old, v, keys))
+    return cut(boost_chains(moment_table, old, v, keys, state=True))
 
 
 def incremental_graph(panel: DataFrame, old: Sequence[str], new_var: str, maxlag: int, alpha: float = 0.05, v: float = 0.1,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dist import chi2_ppf, chi2_sf, f_ppf, f_sf, normal_quantile, t_sf2
 from ..plans.orders import explode_pairs
-from .boost import _arrow_type, _moment_rows
+from .boost import _arrow_type, _moment_rows, in_batches
 from .graph import edge_list, significant
 from .moments import moments
 from .panel import running_min
@@ -142,17 +142,16 @@ def var_forecast(fit: DataFrame, recent: DataFrame, variables: Sequence[str], st
         F.col(idx).alias("at"), F.array(*[F.col(v).cast("double") for v in names]).alias("x")))).alias("_tail"))
     tail = tail.select(*keys, F.transform("_tail", lambda r: r["x"]).alias("last"))
     z = None if alpha is None else normal_quantile(1 - alpha / 2)
-    # the order is a join key as well, so a single unkeyed panel still joins by equality
+    # a constant key lets a single unkeyed panel join by equality too
     orders = fit.select(*keys, "p", "variables", "params", "sigma_u").withColumn("_one", F.lit(1))
     rows = orders.join(tail.withColumn("_one", F.lit(1)), [*keys, "_one"]).drop("_one")
     schema = pa.schema([*[pa.field(c, _arrow_type(fit, c)) for c in keys], ("p", pa.int32()), ("step", pa.int32()),
                         ("variable", pa.string()), ("mean", pa.float64()), ("lower", pa.float64()), ("upper", pa.float64())])
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                fixed = {c: row[c] for c in (*keys, "p")}
-                yield pa.RecordBatch.from_pylist([fixed | f for f in _forecast_one(row, steps, z)], schema=schema)
+        rows = (row for batch in batches for row in batch.to_pylist())
+        records = ({c: row[c] for c in (*keys, "p")} | f for row in rows for f in _forecast_one(row, steps, z))
+        return in_batches(records, schema)
 
     key_ddl = "".join(f"`{c}` {fit.schema[c].dataType.simpleString()}, " for c in keys)
     return rows.mapInArrow(run, f"{key_ddl}p int, step int, variable string, mean double, lower double, upper double")
