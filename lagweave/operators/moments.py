@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..plans.orders import text_array
@@ -32,6 +33,45 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
+def _groups(batches, group: Sequence[str]):
+    """Tables of neighbouring rows that agree on ``group``; the rows come sorted by it.
+
+    Cheaper than one Arrow stream per group when there are very many small panels.
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not len(table):
+            continue
+        change = np.zeros(len(table) - 1, bool)
+        for name in group:
+            col = table[name].combine_chunks()
+            change |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(change) + 1)]
+        for lo, hi in zip(starts, starts[1:]):
+            yield table.slice(lo, hi - lo)
+        held = table.slice(starts[-1])
+    if held is not None:
+        yield held
+
+
+def _per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], fn, ddl: str) -> DataFrame:
+    """Apply ``fn`` (table to table) to each group: one shuffle on the group, sorted partitions, streamed batches."""
+    def run(batches):
+        ready, size = [], 0
+        for table in _groups(batches, group):
+            ready.append(fn(table))
+            size += len(ready[-1])
+            if size >= 1024:
+                yield from pa.concat_tables(ready).combine_chunks().to_batches()
+                ready, size = [], 0
+        if ready:
+            yield from pa.concat_tables(ready).combine_chunks().to_batches()
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, ddl)
+
+
 def _rows(table: pa.Table, keys: Sequence[str], out: dict, types: dict) -> pa.Table:
     """Result rows of one group, with the group's key values repeated."""
     size = len(next(iter(out.values())))
@@ -80,11 +120,9 @@ def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Seque
 
     def chunk_stats(table: pa.Table) -> pa.Table:
         at = table["_idx"].to_numpy()
-        by = np.argsort(at)
-        at = at[by]
-        if at[-1] - at[0] + 1 != len(at):
+        if (np.diff(at) != 1).any():
             raise ValueError("panel positions are not consecutive: densify or index the panel first")
-        x = np.column_stack([table[v].to_numpy()[by] for v in names])
+        x = np.column_stack([table[v].to_numpy() for v in names])
         halo = int((at // chunk_rows < table["_chunk"][0].as_py()).sum())
         z, at = _lagged_matrix(x, halo, depth), at[halo:]
         out = {c: [] for c in (*order_key, *types)}
@@ -111,9 +149,9 @@ def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Seque
     quoted = [f"`{k}`" for k in keys]
     rows = panel.selectExpr(*quoted, f"cast(`{idx}` as long) as _idx", *[f"cast(`{v}` as double) as `{v}`" for v in names])
     chunked = with_halo(rows, depth, "_idx", chunk_rows).selectExpr("*", f"cast(floor(_chunk / {_MERGE}) as long) as _super")
-    parts = chunked.groupBy(*keys, "_super", "_chunk").applyInArrow(chunk_stats, f"{key_ddl}_super long, {stat_ddl}")
+    parts = _per_group(chunked, [*keys, "_super", "_chunk"], ["_idx"], chunk_stats, f"{key_ddl}_super long, {stat_ddl}")
     level1, level2 = [*keys, "_super", "p"], [*keys, "p"]
-    parts = parts.groupBy(*level1).applyInArrow(merge(level1), f"{key_ddl}_super long, {stat_ddl}")
-    total = parts.groupBy(*level2).applyInArrow(merge(level2), f"{key_ddl}{stat_ddl}")
+    parts = _per_group(parts, level1, [], merge(level1), f"{key_ddl}_super long, {stat_ddl}")
+    total = _per_group(parts, level2, [], merge(level2), f"{key_ddl}{stat_ddl}")
     cols = text_array(moment_columns(names, depth))
     return total.selectExpr(*quoted, "p", "n", "n_rows", f"{cols} as cols", "means", "g")
