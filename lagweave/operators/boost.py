@@ -6,6 +6,7 @@ solve on the moment matrix and no row of data is read again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import islice
 
@@ -105,7 +106,10 @@ def boost_chains(moment_table: DataFrame, variables: Sequence[str], v: float = 1
             rows = rows.withColumn("order", F.expr(f"concat({text_array(prefix)}, `order`)"))
     else:
         rows = explode_orders(base, orders)
-    rows = rows.repartition(shuffle_partitions(rows), *keys, "p", "test_id")
+    # Few tests per panel: let the size of the moment rows decide the tasks. Many: one panel alone must fill the cluster.
+    tests = math.factorial(len(names)) if orders is None else len(orders)
+    by = [*keys, "p", "test_id"]
+    rows = rows.repartition(shuffle_partitions(rows), *by) if tests > 1000 else rows.repartition(*by)
     complete = orders is None
 
     out_schema = pa.schema([

@@ -161,6 +161,8 @@ def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str
     column (collected once: at most ``buckets`` numbers, so every evaluation
     sees the same cut), ranked within (panel, bucket), and shifted by the rows
     of the earlier buckets. No task holds more than one bucket of a panel.
+    ``buckets`` defaults to the session's shuffle partitions; raise both for
+    tables so long that such a bucket would not sort in one task.
     """
     count = buckets or shuffle_partitions(df)
     kind, k = _kind(df, time_col), _quoted(keys)
