@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import saved
 
-__all__ = ["arrow_map", "documents", "saved", "table"]
+__all__ = ["arrow_map", "documents", "held_out", "saved", "table"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, tokens, url_filter
+from . import packing, quality_rules, suffix_dedup, tokens, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,9 @@ def op8_best_two_fit(spark, sf):
 def op10_quality_rules(spark, sf):
     """Base counts and verdict of every document."""
     return quality_rules.quality_rules(documents(spark, sf))
+
+
+@query
+def op3_suffix_dedup(spark, sf):
+    """What is left of every document without byte strings of 50 that an earlier one holds."""
+    return suffix_dedup.dedup(documents(spark, sf))
