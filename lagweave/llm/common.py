@@ -47,3 +47,10 @@ def _parsed(schema: str):
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Rows that must not be learnt from: crc32 of the id as text, modulo `folds`. A null id counts as learnable nowhere."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(True))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a saved table that nothing reads any more."""
+    for path in df.inputFiles()[:1]:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, suffix_dedup, tokens, url_filter
+from . import jaccard_join, packing, quality_rules, suffix_dedup, tokens, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op10_quality_rules(spark, sf):
 def op3_suffix_dedup(spark, sf):
     """What is left of every document without byte strings of 50 that an earlier one holds."""
     return suffix_dedup.dedup(documents(spark, sf))
+
+
+@query
+def op2_ngram_jaccard(spark, sf):
+    """Component of every document under links of 4-word shingle sets at Jaccard 0.85."""
+    return jaccard_join.join_documents(documents(spark, sf))
