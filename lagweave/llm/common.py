@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.staging import saved
 
-__all__ = ["arrow_map", "documents", "held_out", "saved", "table"]
+__all__ = ["arrow_map", "discard", "documents", "saved", "table"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,11 +43,6 @@ def _parsed(schema: str):
     return _parse_datatype_string(schema)
 
 
-def held_out(doc_id: Column, folds: int, fold: int) -> Column:
-    """Rows that must not be learnt from: crc32 of the id as text, modulo `folds`. A null id counts as learnable nowhere."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(True))
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a saved table that nothing reads any more."""
     for path in df.inputFiles()[:1]:

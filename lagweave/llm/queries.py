@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, quality_rules, suffix_dedup, tokens, url_filter
+from . import jaccard_join, packing, quality_crf, quality_rules, suffix_dedup, tokens, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,10 @@ def op3_suffix_dedup(spark, sf):
 def op2_ngram_jaccard(spark, sf):
     """Component of every document under links of 4-word shingle sets at Jaccard 0.85."""
     return jaccard_join.join_documents(documents(spark, sf))
+
+
+@query
+def op1_quality_crf(spark, sf):
+    """Quality score of every document, learnt from three quarters of the labels."""
+    docs = documents(spark, sf)
+    return quality_crf.classify(docs, quality_crf.fit(docs, table(spark, sf, "labels")))
