@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, quality_crf, quality_rules, suffix_dedup, tokens, url_filter
+from . import jaccard_join, packing, quality_crf, quality_rules, suffix_dedup, tokens, toxicity, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,10 @@ def op1_quality_crf(spark, sf):
     """Quality score of every document, learnt from three quarters of the labels."""
     docs = documents(spark, sf)
     return quality_crf.classify(docs, quality_crf.fit(docs, table(spark, sf, "labels")))
+
+
+@query
+def op5_toxicity_grammar(spark, sf):
+    """Toxicity score of every document, learnt from four fifths of the labels."""
+    docs = documents(spark, sf)
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf, "labels")))
