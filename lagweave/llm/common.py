@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.staging import saved
+from ..operators import staging
 
-__all__ = ["arrow_map", "discard", "documents", "saved", "table"]
+__all__ = ["arrow_map", "compressed", "discard", "documents", "remove", "saved", "table", "tidy"]
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; shuffle files that no plan refers to any more go."""
+    out = staging.saved(df, name)
+    tidy(df.sparkSession)
+    return out
+
+
+def compressed(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """As `saved`, with slower and smaller files, in folders by the given columns."""
+    path = staging.scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    tidy(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles are done with: it acts on what the garbage collectors of both sides have let go."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,8 +65,14 @@ def _parsed(schema: str):
     return _parse_datatype_string(schema)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a saved table that nothing reads any more."""
-    for path in df.inputFiles()[:1]:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of saved tables that nothing reads any more."""
+    for df in tables:
+        for path in df.inputFiles()[:1]:
+            remove(df.sparkSession, path.rpartition("/")[0])

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, quality_crf, quality_rules, suffix_dedup, tokens, toxicity, url_filter
+from . import decontaminate, jaccard_join, materialize, packing, quality_crf, quality_rules, suffix_dedup, token_counts, tokens, toxicity, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+END_OF_TEXT = 49407
+ORDER_KEY = 20240229
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -62,3 +64,22 @@ def op5_toxicity_grammar(spark, sf):
     """Toxicity score of every document, learnt from four fifths of the labels."""
     docs = documents(spark, sf)
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query
+def op4_string_tiling(spark, sf):
+    """Documents that hold a benchmark item, in whatever order, with the items."""
+    found = decontaminate.contaminated_pairs(documents(spark, sf), table(spark, sf, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
+@query
+def op7_token_counts(spark, sf):
+    """Tokens of every document, counted from flat streams."""
+    return token_counts.document_counts(documents(spark, sf), tokens.default_path(), END_OF_TEXT)
+
+
+@query
+def op9_training_order(spark, sf):
+    """Every sequence of 2048 tokens at its place in training order."""
+    return materialize.ordered_documents(documents(spark, sf), tokens.default_path(), ORDER_KEY, end=END_OF_TEXT)

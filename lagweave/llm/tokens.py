@@ -11,8 +11,8 @@ import numpy as np
 
 from . import textbytes as tb
 
-#: Chunks that a Python worker keeps encoded; beyond it the store starts anew. About 250 MB.
-CACHED_CHUNKS = 1_000_000
+#: Chunks that a Python worker keeps encoded; beyond it the store starts anew. About 200 MB.
+CACHED_CHUNKS = 700_000
 _STORE = "lagweave_worker_tokens"
 
 
@@ -22,12 +22,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenizer(path: str) -> WordTokens:
-    """The worker's encoder of this file. It outlives a task, as the worker process does, so that chunks stay encoded."""
+def tokenizer(path: str, literal: bool = False) -> WordTokens:
+    """The worker's encoder of this file. It outlives a task, as the worker process does, so that chunks stay encoded.
+
+    `literal`: names of special tokens in a text are ordinary text.
+    """
     store = sys.modules.setdefault(_STORE, types.ModuleType(_STORE)).__dict__
-    if path not in store:
-        store[path] = WordTokens(path)
-    return store[path]
+    if (path, literal) not in store:
+        store[path, literal] = WordTokens(path, literal)
+    return store[path, literal]
 
 
 class WordTokens:
@@ -37,10 +40,11 @@ class WordTokens:
     them or not, take the short way past the normalizer; every other chunk takes the tokenizer's own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = literal
         self.model = self.tokenizer.model
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
@@ -105,9 +109,9 @@ class WordTokens:
         return ids, done[np.concatenate(([0], np.cumsum([len(s) for s in split]))).astype(np.int64)]
 
 
-def encoded(column, path: str, end: int | None = 0):
+def encoded(column, path: str, end: int | None = 0, literal: bool = False):
     """Slices of a text column as (rows, ids, cuts); each text's ids are followed by the id `end`, if one is given."""
-    enc = tokenizer(path)
+    enc = tokenizer(path, literal)
     for texts in tb.slices(column, 1 << 20):
         rows = column.slice(texts.rows.start, texts.rows.stop - texts.rows.start).fill_null("").to_pylist()
         ids, cuts = enc.encode(rows)
