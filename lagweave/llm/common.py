@@ -15,8 +15,9 @@ __all__ = ["arrow_map", "compressed", "discard", "documents", "remove", "saved",
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back; shuffle files that no plan refers to any more go."""
-    out = staging.saved(df, name)
-    tidy(df.sparkSession)
+    spark, out = df.sparkSession, staging.saved(df, name)
+    del df
+    tidy(spark)
     return out
 
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import arrow_map, saved
+from .common import arrow_map, discard, saved
 from .components import components
 from .suffix_dedup import _packed, _unpacked
 
@@ -142,6 +142,35 @@ def entries_of(posts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 
 # -- probing sets --------------------------------------------------------------------------------------------------------
 
+def shortlisted(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, reach, na, nb) that their prefixes don't rule out.
+
+    Up to the lower of the two prefixes' ends both sets are known in full. Shingles there that only one of them has are among those that
+    tell the sets apart, of which a pair in reach has d / (2 - d) * (na + nb) at most.
+    """
+    names = pairs.columns
+
+    def fn(batch):
+        x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_x", "_y"))
+        reach, na, nb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("reach", "na", "nb"))
+        far = 1 - percent / 100 + reach
+        most = far / (2 - far) * (na + nb) + 1e-6
+        keep = []
+        for raw, other, m in zip(x, y, most, strict=True):
+            one, two = np.frombuffer(raw, np.uint64), np.frombuffer(other, np.uint64)
+            end = min(one[-1], two[-1])
+            one, two = one[:np.searchsorted(one, end, side="right")], two[:np.searchsorted(two, end, side="right")]
+            at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+            both = int((two[at] == one).sum()) if len(two) else 0
+            keep.append(len(one) + len(two) - 2 * both <= m)
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        return {c: kept.column(kept.schema.get_field_index(c)) for c in names}
+
+    held = texts.select("node", "prefix")
+    joined = pairs.join(held.withColumnsRenamed({"node": "a", "prefix": "_x"}), "a").join(held.withColumnsRenamed({"node": "b", "prefix": "_y"}), "b")
+    return arrow_map(joined, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields), fn)
+
+
 def probed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Add `both`, the size of the intersection, to pairs (a, b, ...) of node ids; texts: node, text."""
     def sets(batch):
@@ -166,17 +195,18 @@ def probed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return arrow_map(joined, schema, probe)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, size: int, unique: bool) -> DataFrame:
-    """node, text of the wanted sets (node, first), read from a document that has the set."""
+def texts_of(docs: DataFrame, wanted: DataFrame, size: int, percent: int, unique: bool) -> DataFrame:
+    """node, text, prefix of the wanted sets (node, first), read from a document that has the set."""
     def fn(batch):
         for t in tb.slices(batch.column(1)):
             sets = shingle_sets(t, size)
             node = batch.column(2).slice(t.rows.start, len(t))
             same = pa.array([len(s) > 0 and int(_key(s).view(np.int64)[0]) == n for s, n in zip(sets, node.to_pylist(), strict=True)], pa.bool_())
-            yield {"node": node.filter(same), "text": batch.column(1).slice(t.rows.start, len(t)).filter(same)}
+            prefix = pa.array([s[:len(s) - least_overlap(len(s), percent) + 1].tobytes() for s in sets], pa.binary())
+            yield {"node": node.filter(same), "text": batch.column(1).slice(t.rows.start, len(t)).filter(same), "prefix": prefix.filter(same)}
 
     found = docs.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id").select("doc_id", "text", "node")
-    found = arrow_map(found, "node long, text string", fn)
+    found = arrow_map(found, "node long, text string, prefix binary", fn)
     return saved(found if unique else found.dropDuplicates(["node"]), "texts")
 
 
@@ -200,7 +230,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     posts = saved(prefixes(docs.select("doc_id", "text"), size, percent, bits), "posts")
     live = saved(shared_entries(posts), "live")
     firsts = sets.select("node", "first")
-    near = texts_of(docs, firsts.join(live.select("node").distinct(), "node"), size, unique)
+    near = texts_of(docs, firsts.join(live.select("node").distinct(), "node"), size, percent, unique)
 
     # Pivots: sets that share a low shingle are measured against the first of them.
     low = sets.join(live.select("node").distinct(), "node").select("node", F.explode("minima").alias("shingle"))
@@ -252,10 +282,13 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     # A pair of lone sets has to fit by size; pivots may have members that do.
     reach = pairs.join(radius.withColumnsRenamed({"node": "a", "radius": "ra"}), "a", "left").join(radius.withColumnsRenamed({"node": "b", "radius": "rb"}), "b", "left")
     reach = reach.select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("reach"))
-    wide = saved(sized(reach, "reach"), "pairs")
+    wide = sized(reach, "reach")
+    wide = saved(wide, "pairs")
     late = wide.select(F.col("a").alias("node")).unionByName(wide.select(F.col("b").alias("node"))).distinct().join(near.select("node"), "node", "left_anti")
     if late.limit(1).count():
-        near = near.unionByName(texts_of(docs, firsts.join(late, "node"), size, unique))
+        near = near.unionByName(texts_of(docs, firsts.join(late, "node"), size, percent, unique))
+    discard(posts)
+    wide = saved(shortlisted(wide, near, percent), "pairs")
     measured = saved(probed(wide, near, size).withColumn("apart", apart), "measured")
     direct = measured.where(linked).select("a", "b")
 
@@ -296,3 +329,17 @@ def join_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     found = components(edges.select("u", "v").unionByName(copies.withColumnsRenamed({"doc_id": "u", "first": "v"})), "u", "v").withColumnRenamed("node", "doc_id")
     return rows.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, without those that have a smaller doc_id in their component; see `join_documents`.
+
+    Of rows that share a doc_id one stays, that of the first text. Rows without a doc_id stay, and so do all empty texts with ids of their own.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("_gone"))
+    gone = join_documents(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if ids.where("_gone is not null").groupBy("_gone").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
+        order = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.uuid())).orderBy("text", *[c for c in docs.columns if c != "text"])
+        left = left.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    return left

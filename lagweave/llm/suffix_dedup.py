@@ -18,16 +18,19 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import scratch_path
 from . import textbytes as tb
-from .common import arrow_map, saved
+from .common import arrow_map, discard, remove, saved, tidy
 
 GRAM = 16
 #: Suffixes that a task holds before it passes them on, and that a bucket of a level is planned to hold.
 HELD, BUCKET = 2_000_000, 500_000
 #: A suffix start that more rows share is compared window by window across tasks, not in one.
 HOT_ROWS = 50_000
+#: Rows of a task whose windows are compared at once, besides those that meet with them.
+COMPARED = 30_000
 _LOW = np.uint64(0xFFFFFFFF)
 _SALT = np.uint64(0xA0761D6478BD642F)
 _RUN = "kind int, bucket long, n long, suffixes binary"
+_COLUMNS = ("bucket", "n", "suffixes")
 
 
 # -- suffixes of texts -------------------------------------------------------------------------------------------------
@@ -146,65 +149,75 @@ def _run(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
 
 class SuffixIndex:
-    """Levels of runs, sizes in batches. A batch is scanned against each level; levels of equal size merge.
+    """Levels of runs, sizes in batches. A batch is scanned against each level; levels of equal size merge before the next one comes.
 
-    A run is a table bucketed by suffix key, so scans and merges read it in place, without a shuffle.
+    A run is a table bucketed by suffix key, so scans and merges read it in place, without a shuffle. What it reports lies beside it
+    and stays when the run goes.
     """
 
     def __init__(self, spark: SparkSession, length: int, bits: int):
         self.spark, self.length, self.bits = spark, length, bits
         self.levels: list[tuple[int, str, str]] = []
         self.reported: list[DataFrame] = []
+        self.scans: list[DataFrame] = []
+        self.paths: list[str] = []
 
     def _stored(self, df: DataFrame) -> tuple[str, str]:
         name, path = f"suffix_run_{uuid.uuid4().hex}", scratch_path(self.spark, "suffix-run")
-        df.write.bucketBy(1 << min(self.bits, 10), "bucket").option("path", path).saveAsTable(name)
-        self.reported.append(self.spark.read.schema(_RUN).parquet(path).where("kind = 1"))
+        df.write.partitionBy("kind").bucketBy(1 << min(self.bits, 10), "bucket").option("path", path).saveAsTable(name)
+        self.paths.append(path)
+        self.reported.append(self.spark.read.schema(_RUN).parquet(path).where("kind = 1").select(*_COLUMNS))
+        tidy(self.spark)
         return name, path
 
     def _level(self, name: str) -> DataFrame:
-        return self.spark.table(name).where("kind = 0")
+        return self.spark.table(name).where("kind = 0").select(*_COLUMNS)
 
-    def _dropped(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")  # the files stay until what they report has been read
+    def _dropped(self, name: str, path: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, f"{path}/kind=0")
 
-    def add(self, docs: DataFrame) -> None:
+    def _met(self, left: str, right: str, keep: bool) -> DataFrame:
+        """Rows of two levels' scan: what it reports, and if `keep` the merged run."""
         bits = self.bits
 
-        def met(keep):
-            def both(left: pa.Table, right: pa.Table) -> pa.Table:
-                return _table(list(_merged_rows(_parts(left) + _parts(right), bits, keep)) if keep or (len(left) and len(right)) else [])
-            return both
-
-        size, (name, path) = 1, self._stored(_run(docs, self.length, bits))
-        old = self.levels[:-1] if self.levels and self.levels[-1][0] == size else self.levels
-        for _, other, _ in old:  # those that stay; the merge below scans the rest
-            found = self._level(name).groupBy("bucket").cogroup(self._level(other).groupBy("bucket")).applyInArrow(met(False), _RUN)
-            self.reported.append(saved(found, "suffix-scan"))
-        while self.levels and self.levels[-1][0] == size:
-            _, other, _ = self.levels.pop()
-            merged = self._level(name).groupBy("bucket").cogroup(self._level(other).groupBy("bucket")).applyInArrow(met(True), _RUN)
-            new = self._stored(merged)
-            self._dropped(name)
-            self._dropped(other)
-            size, (name, path) = 2 * size, new
-        self.levels.append((size, name, path))
+        def both(a: pa.Table, b: pa.Table) -> pa.Table:
+            return _table(list(_merged_rows(_parts(a) + _parts(b), bits, keep)) if keep or (len(a) and len(b)) else [])
+
+        return self._level(left).groupBy("bucket").cogroup(self._level(right).groupBy("bucket")).applyInArrow(both, _RUN)
+
+    def add(self, docs: DataFrame) -> None:
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, *one), (_, *two) = self.levels.pop(), self.levels.pop()
+            new = self._stored(self._met(one[0], two[0], True))
+            self._dropped(*one)
+            self._dropped(*two)
+            self.levels.append((2 * size, *new))
+        name, path = self._stored(_run(docs, self.length, self.bits))
+        for _, other, _ in self.levels:
+            self.scans.append(saved(self._met(name, other, False).select(*_COLUMNS), "suffix-scan"))
+            self.reported.append(self.scans[-1])
+        self.levels.append((1, name, path))
 
     def repeated(self) -> DataFrame:
-        """doc_id, key of suffixes that begin like one of another document."""
+        """doc_id, key of suffixes that begin like one of another document; some come more than once."""
         def pairs(batch):
-            for n, blob in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 key, doc = _unpacked(blob, n, 2)
                 yield {"doc_id": (doc ^ np.uint64(1 << 63)).view(np.int64), "key": key.view(np.int64)}
 
         rows = self.reported[0]
         for more in self.reported[1:]:
             rows = rows.unionByName(more)
-        return arrow_map(rows, "doc_id long, key long", pairs).distinct()
+        return arrow_map(rows, "doc_id long, key long", pairs)
 
     def close(self) -> None:
-        for _, name, _ in self.levels:
-            self._dropped(name)
+        """Delete all runs, and what they and the scans have reported."""
+        for _, name, path in self.levels:
+            self._dropped(name, path)
+        discard(*self.scans)
+        for path in self.paths:
+            remove(self.spark, path)
 
 
 # -- exact comparison of what begins alike -------------------------------------------------------------------------------
@@ -212,17 +225,20 @@ class SuffixIndex:
 def _marked(marks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """For every repeated suffix, the windows that picked it, as bytes; for hot ones each window by its hash. `meet` says where they meet.
 
+    `name` tells texts of one doc_id apart; where the id has one text only, which is `alone`, it is 0.
+
     Equal windows of one task meet there: all but those of the smallest document are removed at once (rows with a `count`
     and no bytes), so that a passage of many documents sends one row from each task.
     """
     def contexts(batch):
-        ids, text, keys, hot = batch.columns
+        ids, text, keys, hot, alone = batch.columns
         for t in tb.slices(text):
             key, row, lo, hi = suffixes(t, length)
             wanted = [set(k or ()) for k in keys.slice(t.rows.start, len(t)).to_pylist()]
             heated = [set(k or ()) for k in hot.slice(t.rows.start, len(t)).to_pylist()]
             whole = tb.Hasher(t.data)
             name = whole(t.cuts[:-1], t.cuts[1:]).view(np.int64)
+            name[np.array(alone.slice(t.rows.start, len(t)).to_pylist(), bool)] = 0
             signed = key.view(np.int64)
             use = np.fromiter((k in wanted[r] for k, r in zip(signed.tolist(), row.tolist(), strict=True)), bool, len(key))
             signed, row, lo, hi = signed[use], row[use], lo[use], hi[use]
@@ -241,27 +257,19 @@ def _marked(marks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             copy[order] = own[row][order] > least
             raw = t.data.tobytes()
             yield {
-                "meet": signed, "doc_id": own[row], "name": name[row], "pos": lo - t.cuts[row], "count": hi - lo + 1,
+                "meet": np.where(copy, own[row], signed), "doc_id": own[row], "name": name[row], "pos": lo - t.cuts[row], "count": hi - lo + 1,
                 "bytes": pa.array([None if c else raw[a:b + length] for c, a, b in zip(copy, lo, hi, strict=True)], pa.binary()),
             }
 
-    joined = texts.join(marks, "doc_id").select("doc_id", "text", "keys", "hot")
+    joined = texts.join(marks, "doc_id").select("doc_id", "text", "keys", "hot", "alone")
     return arrow_map(joined, "meet long, doc_id long, name long, pos long, count long, bytes binary", contexts)
 
 
 def _spans(marked: DataFrame, length: int, tasks: int) -> DataFrame:
     """doc_id, name, from, to of removed bytes: of windows for which a smaller document has an equal one."""
-    def alone(batch):
-        _, doc, name, pos, count, _ = batch.columns
-        yield {"doc_id": doc, "name": name, "from": pos, "to": pa.array(pos.to_numpy() + count.to_numpy() + (length - 1))}
-
-    def compare(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
+    def windows(table: pa.Table) -> pa.RecordBatch:
         doc, name, pos, count = (table[c].to_numpy() for c in ("doc_id", "name", "pos", "count"))
-        content = table["bytes"].combine_chunks().cast(pa.large_binary())
+        content = pa.chunked_array([c.cast(pa.large_binary()) for c in table["bytes"].chunks]).combine_chunks()
         _, cuts, data = content.buffers()
         cuts = np.frombuffer(cuts, np.int64, len(content) + content.offset + 1)[content.offset:]
         data = np.frombuffer(data, np.uint8)[cuts[0]:cuts[-1]]
@@ -277,15 +285,29 @@ def _spans(marked: DataFrame, length: int, tasks: int) -> DataFrame:
         stop = np.flatnonzero(later & ~(np.concatenate((later[1:], [False])) & np.concatenate((of[1:] == of[:-1], [False]))))
         base = np.cumsum(count) - count
         row = of[edge]
-        yield pa.RecordBatch.from_pydict({"doc_id": doc[row], "name": name[row], "from": pos[row] + edge - base[row], "to": pos[row] + stop - base[row] + length})
+        return pa.RecordBatch.from_pydict({"doc_id": doc[row], "name": name[row], "from": pos[row] + edge - base[row], "to": pos[row] + stop - base[row] + length})
+
+    def compare(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        settled = table.filter(table["bytes"].is_null())
+        doc, name, pos, count = (settled[c].to_numpy() for c in ("doc_id", "name", "pos", "count"))
+        yield pa.RecordBatch.from_pydict({"doc_id": doc, "name": name, "from": pos, "to": pos + count + (length - 1)})
+        table = table.filter(table["bytes"].is_valid())
+        if not len(table):
+            return
+        # Some rows at a time, all of a meeting point together: the windows' arrays are many times as large as the rows.
+        turn = tb.mixed(table["meet"].to_numpy().view(np.uint64)) % np.uint64(len(table) // COMPARED + 1)
+        for k in np.unique(turn):
+            yield windows(table.filter(pa.array(turn == k)))
 
-    schema = "doc_id long, name long, `from` long, `to` long"
-    here = arrow_map(marked.where("bytes is null"), schema, alone)
-    return here.unionByName(marked.where("bytes is not null").repartition(tasks, "meet").mapInArrow(compare, schema))
+    return marked.repartition(tasks, "meet").mapInArrow(compare, "doc_id long, name long, `from` long, `to` long")
 
 
 def find_spans(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
-    """doc_id, name, spans: for each document, byte ranges that an earlier document holds too. `name` is the hash of the text.
+    """doc_id, name, spans: for each document, byte ranges that an earlier document holds too. `name` is the hash of the text, or 0 for any.
 
     Copies of whole texts are settled by their hash, so that a text held by a third of all rows is indexed and compared once a task.
     """
@@ -309,17 +331,23 @@ def find_spans(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame
     for low, high in zip([None, *ends], [*ends, None], strict=True):
         batch = docs if low is None else docs.where(F.col("doc_id") > low)
         index.add(batch if high is None else batch.where(F.col("doc_id") <= high))
-    one_text = named.groupBy("doc_id").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a = b").select("doc_id")
-    repeated = saved(index.repeated().join(copies.select("doc_id").join(one_text, "doc_id"), "doc_id", "left_anti"), "repeated")
+    one_text = named.groupBy("doc_id").agg((F.min("name") == F.max("name")).alias("alone"))
+    repeated = index.repeated()
+    # Keys are counted by their remainders first: only those of crowded remainders can be hot.
+    place = F.pmod("key", F.lit(1 << 16))
+    crowded = saved(repeated.groupBy(place.alias("place")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("place"), "crowded")
+    rows = repeated.withColumn("hot", F.lit(None).cast("long"))
+    if crowded.limit(1).count():
+        hot = repeated.withColumn("place", place).join(crowded, "place").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+        rows = repeated.join(saved(hot.select("key", F.col("key").alias("hot")), "hot"), "key", "left").select("doc_id", "key", "hot")
+    marks = rows.groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set("hot").alias("hot"))
+    marks = saved(marks.join(one_text, "doc_id").join(copies.select("doc_id", F.lit(True).alias("alone")), ["doc_id", "alone"], "left_anti"), "marks")
     index.close()
 
-    hot = repeated.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("key", F.lit(True).alias("is_hot"))
-    marks = repeated.join(hot, "key", "left").groupBy("doc_id").agg(
-        F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("is_hot"), F.col("key"))).alias("hot"))
-    marked = saved(_marked(marks, docs, length), "marked")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffix_count // 1_000_000 + 1)
-    spans = _spans(marked, length, tasks).groupBy("doc_id", "name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return spans.unionByName(copies)
+    spans = saved(_spans(_marked(marks, docs, length), length, tasks), "spans")
+    discard(marks)
+    return spans.groupBy("doc_id", "name").agg(F.collect_list(F.struct("from", "to")).alias("spans")).unionByName(copies)
 
 
 def _united(spans: list[dict]) -> list[tuple[int, int]]:
@@ -332,41 +360,73 @@ def _united(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, length: int = 50, batches: int = 4, keep_text: bool = False) -> DataFrame:
+def _by_doc(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("name", "spans")).alias("s")).select(
+        F.col("doc_id").alias("_doc"), F.col("s.name").alias("_names"), F.col("s.spans").alias("_spans"))
+
+
+def _cut(t: tb.Texts, names: pa.Array, spans: pa.Array):
+    """For each row what is left of its bytes, and the ranges that go."""
+    own = tb.Hasher(t.data)(t.cuts[:-1], t.cuts[1:]).view(np.int64)
+    raw = t.data.tobytes()
+    for i, k in enumerate(range(t.rows.start, t.rows.stop)):
+        found = zip(names[k].as_py(), spans[k].as_py(), strict=True) if names[k].is_valid else ()
+        body = raw[t.cuts[i]:t.cuts[i + 1]]
+        out = _united([s for name, more in found if name in (0, own[i]) for s in more])
+        if out:
+            edges = [0, *(x for s in out for x in s), len(body)]
+            body = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        yield body, out
+
+
+def dedup(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts in a document with a smaller doc_id.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `keep_text` also `text`: what is left, without characters that
-    a cut has split. Texts are UTF-8 bytes; null and empty texts have none and stay empty. Rows without a doc_id are
-    neither searched nor cut. Rows that share a doc_id are no smaller than one another and don't cut each other; equal rows
-    give equal results. Columns beside doc_id and text are left out; an empty table gives an empty result.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. Texts are UTF-8 bytes; null and empty texts have none. Rows without a
+    doc_id are neither searched nor cut. Rows that share a doc_id are no smaller than one another and don't cut each other;
+    equal rows give equal results. Columns beside doc_id and text are left out; an empty table gives an empty result.
 
     `batches`: ranges of doc_id that enter the index one after the other.
     """
-    spans = find_spans(docs, length, batches)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def cut(batch):
         doc, text, names, spans = batch.columns
         for t in tb.slices(text):
-            own = tb.Hasher(t.data)(t.cuts[:-1], t.cuts[1:]).view(np.int64)
-            raw = t.data.tobytes()
-            removed, count, digest, left = [], [], [], []
-            for i, k in enumerate(range(t.rows.start, t.rows.stop)):
-                found = zip(names[k].as_py(), spans[k].as_py(), strict=True) if names[k].is_valid else ()
-                body = raw[t.cuts[i]:t.cuts[i + 1]]
-                out = _united([s for name, more in found if name == own[i] for s in more])
-                if out:
-                    edges = [0, *(x for s in out for x in s), len(body)]
-                    body = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                removed.append(sum(b - a for a, b in out))
-                count.append(len(out))
-                digest.append(hashlib.sha256(body).hexdigest())
-                left.append(body.decode(errors="ignore") if keep_text else None)
-            out = {"doc_id": doc.slice(t.rows.start, len(t)), "n_bytes": np.diff(t.cuts), "n_removed": pa.array(removed, pa.int64()),
-                   "n_spans": pa.array(count, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-            yield out | ({"text": pa.array(left, pa.string())} if keep_text else {})
-
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("name", "spans")).alias("s")).select(
-        "doc_id", F.col("s.name").alias("names"), F.col("s.spans").alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    return arrow_map(ids.join(by_doc, "doc_id", "left").select("doc_id", "text", "names", "spans"), schema, cut)
+            left = list(_cut(t, names, spans))
+            yield {"doc_id": doc.slice(t.rows.start, len(t)), "n_bytes": np.diff(t.cuts), "n_removed": pa.array([sum(b - a for a, b in x) for _, x in left], pa.int64()),
+                   "n_spans": pa.array([len(x) for _, x in left], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(b).hexdigest() for b, _ in left], pa.string())}
+
+    joined = ids.join(_by_doc(find_spans(docs, length, batches)), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "_names", "_spans")
+    return arrow_map(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", cut)
+
+
+def without_repeats(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
+    """The rows of `docs`, with all their columns, without such byte strings in `text`; see `dedup`.
+
+    Characters that a cut splits go. Where text was cut, `n_chars`, if there is one, counts what is left; a row of which nothing but white space
+    is left goes. All other rows stay as they are.
+    """
+    names = docs.columns
+    place = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
+
+    def cut(batches):
+        for batch in batches:
+            *columns, marks, spans = batch.columns
+            text, keep = columns[place].to_pylist(), np.ones(batch.num_rows, bool)
+            size = columns[count].to_pylist() if count is not None else None
+            for t in tb.slices(columns[place]):
+                for k, (body, out) in zip(range(t.rows.start, t.rows.stop), _cut(t, marks, spans), strict=True):
+                    if out:
+                        text[k] = body.decode(errors="ignore")
+                        keep[k] = bool(text[k].strip())
+                        if size is not None:
+                            size[k] = len(text[k])
+            columns[place] = pa.array(text, columns[place].type)
+            if size is not None:
+                columns[count] = pa.array(size, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    joined = docs.join(_by_doc(find_spans(docs, length, batches)), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    return joined.mapInArrow(cut, docs.schema)
