@@ -212,7 +212,7 @@ def test_view(keys: Sequence[str] = (), where: str = "", digits: int = 6, source
     return f'select {lead}{k}test_id, effect, cause, "order", n, {cols} from {source} {where}'
 
 
-def _chain_tests(v: float, zero: bool = False, alpha: float | None = None, orders=None, names=THREE, extra: int | None = None) -> str:
+def _chain_tests(v: float, zero: bool = False, alpha: float | None = None, orders=None, names=EVENTS, extra: int | None = None) -> str:
     orders = orders or _orders(names)
     extra = (0 if zero else 2) if extra is None else extra
     where = "" if alpha is None else f"where p_value < {alpha}"
@@ -220,12 +220,12 @@ def _chain_tests(v: float, zero: bool = False, alpha: float | None = None, order
 
 
 def _chain_scalar(cols: str) -> str:
-    orders = _orders(THREE)
-    return with_([*eh(), *chain(orders, 1.0), *tested(orders, 3)], f"select test_id, {cols} from tests")
+    orders = _orders(EVENTS)
+    return with_([*eh(), *chain(orders, 1.0), *tested(orders, 5)], f"select test_id, {cols} from tests")
 
 
 def _rounds(v: float) -> str:
-    orders = _orders(THREE)
+    orders = _orders(EVENTS)
     cols = ", ".join(r(c) for c in ("mse", "r2", "intercept", "b1", "b2"))
     return with_([*eh(), *chain(orders, v)],
                  f'select test_id, ord as "order", round, x_name, {cols} from rounds join plan using (test_id, round)')
@@ -297,16 +297,18 @@ def tree(source: str, groups: Sequence[str], depth: int, features: int, name: st
         src, out = f"{name}{level}", f"{name}{level + 1}"
         active = f"where node >= {2 ** level}"
         hist = " union all ".join(
-            f"select {g}, node, {i} as f, x{i + 1} as v, count(*) as c, sum(label) as t from {src} {active} group by {g}, node, x{i + 1}"
+            f"select {g}, node, {i} as f, x{i + 1} as v, count(*) as c, sum(label) as t, sum(label * label) as q from {src} {active} group by {g}, node, x{i + 1}"
             for i in range(features))
         parts.append(cte(f"{name}h{level}", hist))
         by = f"partition by {g}, node, f"
         sums = (f"select *, sum(c) over ({by} order by v) as nl, sum(t) over ({by} order by v) as tl, sum(c) over ({by}) as n, "
-                f"sum(t) over ({by}) as total from {name}h{level}")
-        gain = "round(nl * (n - nl) / n * pow(tl / nl - (total - tl) / nullif(n - nl, 0), 2), 9)"
-        parts.append(cte(f"{name}g{level}", f"select *, {gain} as gain from ({sums}) where nl >= {min_leaf} and n - nl >= {min_leaf}"))
-        parts.append(cte(f"{name}s{level}", f"select * from {name}g{level} where gain > 0 "
-                                            f"qualify row_number() over (partition by {g}, node order by gain desc, f, v) = 1"))
+                f"sum(t) over ({by}) as total, sum(q) over ({by}) as squares from {name}h{level}")
+        gain = "nl * (n - nl) / n * pow(tl / nl - (total - tl) / nullif(n - nl, 0), 2)"
+        spread = "squares - total * total / n"
+        parts.append(cte(f"{name}g{level}", f"select *, {gain} as gain, round({gain} / nullif({spread}, 0), 9) as share from ({sums}) "
+                                            f"where nl >= {min_leaf} and n - nl >= {min_leaf} and {spread} > 1e-12 * squares"))
+        parts.append(cte(f"{name}s{level}", f"select * from {name}g{level} where share > 0 "
+                                            f"qualify row_number() over (partition by {g}, node order by share desc, f, v) = 1"))
         pick = "case s.f " + " ".join(f"when {i} then r.x{i + 1}" for i in range(features)) + " end"
         on = " and ".join(f"r.{c} = s.{c}" for c in (*groups, "node"))
         cols = ", ".join(f"r.{c}" for c in (*groups, "idx", "label")) + ", " + ", ".join(f"r.x{i + 1}" for i in range(features))
@@ -536,12 +538,50 @@ def _pred_rows() -> str:
     return with_(parts, f"select res1.idx, {cols} from res1 join res2 using (idx) join res3 using (idx)")
 
 
-def _moment_matrix() -> str:
+def _middle(lags: Sequence[int], cols: Sequence[str]) -> list[str]:
+    """Positions 300 to 599 of the hourly counts and their lags (table d)."""
+    part = [*eh(), cte("q", "select * from p where idx between 300 and 599")]
+    return [*part, lagged(cols, lags, source="q").replace(f"where idx >= {max(lags)}", f"where idx >= {300 + max(lags)}")]
+
+
+def _slice_tests() -> str:
+    orders = _orders(THREE)
+    inner = [q.replace("from p)", "from q)").replace("where idx >= 2", "where idx >= 302") for q in chain(orders, 0.1)]
+    return with_([*eh(), cte("q", "select * from p where idx between 300 and 599"), *inner, *tested(orders, 3)], test_view())
+
+
+def _null_key() -> str:
+    orders, keys = _orders(THREE), ["grp"]
+    wide = (f"select coalesce(nullif(user_id % 5, 0), -1) as grp, date_trunc('hour', ts) as t, {_pivot('event_type', _same(THREE), '1')} "
+            "from events group by 1, 2")
+    inner = with_([*_grid(wide, "1 hour", THREE, keys), *chain(orders, 0.1, keys), *tested(orders, 3, keys)], test_view(keys, "where p_value < 0.5"))
+    return f"select nullif(grp, -1)::varchar as grp, * exclude (grp) from ({inner})"
+
+
+def _valued(depth: int) -> list[str]:
+    """Tree of hourly click values on view's lags, in bins of at most 32: table tr, splits trs<level>."""
+    parts = [*ev(), lagged(TWO, [1, 2], name="d")]
+    for i in (1, 2):
+        c = f"view_{i}"
+        parts += [
+            cte(f"e{i}", f"select min({c}) as lo, max({c}) as hi from d"),
+            cte(f"c{i}", f"select coalesce(least(4095, floor(({c} - lo) / nullif(hi - lo, 0) * 4096)), 0) as cell, count(*) as n, min({c}) as lo, max({c}) as hi "
+                         f"from d, e{i} group by 1"),
+            cte(f"s{i}", "select n, hi, lead(lo) over (order by cell) as next, count(*) over () as used, sum(n) over (order by cell) as upto, sum(n) over () as total "
+                         f"from c{i}"),
+            cte(f"t{i}", f"select (hi + next) / 2 as edge from s{i} where next is not null and (used <= 32 or upto * 32 // total > (upto - n) * 32 // total)"),
+            cte(f"b{i}", f"select idx, (select count(*) from t{i} where edge < {c}) as x{i} from d"),
+        ]
+    parts.append(cte("src", "select 1 as one, idx, click as label, x1, x2 from d join b1 using (idx) join b2 using (idx)"))
+    return [*parts, *tree("src", ["one"], depth, 2, "tr", 10)]
+
+
+def _moment_matrix(part: Sequence[str] | None = None) -> str:
     cols = [(f"{v}__lag{i}" if i else v, f"{v}_{i}" if i else v) for v in TWO for i in range(3)]
     cells = " union all ".join(
         f"select count(*) as n, count(*) + 2 as n_rows, '{a}' as row, '{b}' as col, {r(f'avg({x})', 'row_mean')}, "
         f"{r(f'covar_pop({x}, {y}) * count(*)', 'g')} from d" for a, x in cols for b, y in cols)
-    return with_([*eh(), lagged(TWO, [1, 2])], cells)
+    return with_(part or [*eh(), lagged(TWO, [1, 2])], cells)
 
 
 def _fit(cols: str, tail: str = "from f") -> str:
@@ -562,7 +602,7 @@ def all_sql() -> dict[str, str]:
     stamp = "strftime(t, '%Y-%m-%d %H:%M:%S') as t"
     scores = [*eh(), cte("sc", "select idx, click / 2 + idx / 300.0 as x from p")]
     levels = [*eh(), cte("lv", "select idx, (idx + 1) / 2000.0 + 0.5 as level from p")]
-    values = ", ".join(f"('{v}')" for v in EVENTS)
+    values = "select distinct event_type from events"
     best = "select effect, cause, lag, " + r("p_value") + " from ({q})"
     edges = f"select effect, cause, time_lag, {r('strength')}, method from ({_RUNNING})"
     mse = f"avg(pow(click - {_PRED}, 2))"
@@ -570,7 +610,7 @@ def all_sql() -> dict[str, str]:
         "csv_header_roundtrip": with_(eh(), f"select idx, {', '.join(EVENTS)} from p"),
         "csv_headerless_named": with_(eh(), "select idx, click as x1, view as x2 from p"),
         "matrix_roundtrip": with_(ev(), f"select idx::double as idx, {r('round(click, 6)', 'x1', 4)}, {r('round(view, 6)', 'x2', 4)} from p"),
-        "edges_csv_roundtrip": with_([*eh(), *chain(_orders(THREE), 1.0), *tested(_orders(THREE), 3)],
+        "edges_csv_roundtrip": with_([*eh(), *chain(_orders(EVENTS), 1.0), *tested(_orders(EVENTS), 5)],
                                      f'select effect, cause, {r("p_value")}, "order" from tests where p_value < 0.9'),
         "panel_wide_events": with_(eh(), f"select idx, {stamp}, {', '.join(EVENTS)} from p"),
         "panel_wide_shipments": with_(ld(), f"select idx, {stamp}, {cols6} from p"),
@@ -613,21 +653,30 @@ def all_sql() -> dict[str, str]:
                            f"{r('avg(pow(click - (a + b1 * click_1 + b2 * view_1), 2))', 'mse')}, "
                            f"{r('1 - avg(pow(click - (a + b1 * click_1 + b2 * view_1), 2)) / var_pop(click)', 'r2')} from d, f"),
         "moment_matrix": _moment_matrix(),
+        "moments_of_slice": _moment_matrix(_middle([1, 2], TWO)),
+        "lag_of_slice": with_(_middle([1, 2], EVENTS), "select idx, " + ", ".join(EVENTS) + ", " + ", ".join(f"{v}_{i} as {v}__lag{i}" for v in EVENTS for i in (1, 2)) + " from d"),
+        "chain_tests_of_slice": _slice_tests(),
+        "time_index_ties": "select event_type, event_id, row_number() over (partition by event_type order by date_trunc('hour', ts), event_id) - 1 as idx from events",
+        "causality_graph_null_key": _null_key(),
+        "tree_round_values": with_(_valued(3), f"select idx, {r('pred', 'prediction')}, {r('label - pred', 'residual')} from tr"),
+        "tree_importances_values": with_(_valued(3), f"select (f + 1)::bigint as lag, {r('sum(gain) / sum(sum(gain)) over ()', 'importance')} from ("
+                                                     + " union all ".join(f"select f, gain from trs{i}" for i in range(3)) + ") group by f"),
+        "granger_graph_default": with_(_granger(eh(), EVENTS, [1, 2, 3, 4]), best.format(q=_BEST.format(w="p_value < 1e-10"))),
+        "var_graph_default": with_(_var_tests(FOUR, [1, 2, 3, 4]), best.format(q=_BEST.format(w="p_value < 0.001"))),
         "boost_chain_linear": _rounds(1.0),
         "boost_chain_shrunk": _rounds(0.1),
         "chain_f_test": _chain_tests(0.1),
         "chain_f_test_zero_fill": _chain_tests(0.1, zero=True),
-        "chain_f_test_fitted_n": _chain_tests(1.0, orders=[("click", "view", "error"), ("view", "error", "click")], extra=0),
+        "chain_f_test_fitted_n": _chain_tests(1.0, orders=[("click", "view", "error"), ("view", "error", "click")], names=THREE, extra=0),
         "mse_log_ratio": _chain_scalar(r("ln(mse_prev / mse_all)", "log_ratio")),
         "pseudo_f_ratio": _chain_scalar(r("(mse_prev - mse_all) / (mse_all / 996)", "ratio") + ", " + r(
             "case when mse_prev > mse_all then ln((mse_prev - mse_all) / (mse_all / 996)) end", "log_ratio")),
         "r2_change": _chain_scalar(r("abs(r2_all - r2_prev) / r2_prev", "change")),
-        "test_plan": (f"with v(name) as (values {values}), o as (select a.name as effect, e.name as cause, a.name || ',' || b.name || ',' || c.name "
+        "test_plan": (f"with v(name) as ({values}), o as (select a.name as effect, e.name as cause, a.name || ',' || b.name || ',' || c.name "
                       "|| ',' || d.name || ',' || e.name as \"order\" from v a join v b on b.name <> a.name join v c on c.name not in (a.name, b.name) "
                       "join v d on d.name not in (a.name, b.name, c.name) join v e on e.name not in (a.name, b.name, c.name, d.name)) "
-                      "select row_number() over (order by \"order\") - 1 as test_id, effect, cause, \"order\", 2 as maxlag from o "
-                      "where effect in (select event_type from events)"),
-        "variable_pairs": (f"with v(name) as (values {values}), n as (select event_type as cause, count(*) as events from events group by 1) "
+                      "select row_number() over (order by \"order\") - 1 as test_id, effect, cause, \"order\", 2 as maxlag from o"),
+        "variable_pairs": (f"with v(name) as ({values}), n as (select event_type as cause, count(*) as events from events group by 1) "
                            "select v.name as effect, cause, events from v, n"),
         "causality_graph_linear": _chain_tests(0.1, alpha=0.5),
         "causality_graph_five": _chain_tests(0.1, alpha=0.05, names=EVENTS),

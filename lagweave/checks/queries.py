@@ -111,7 +111,7 @@ def matrix_roundtrip(spark, sf):
 @query
 def edges_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "edges")
-    edges = graph.causality_graph(event_counts(spark, sf, THREE), THREE, 2, alpha=0.9, v=1.0)
+    edges = graph.causality_graph(event_counts(spark, sf), EVENTS, 2, alpha=0.9, v=1.0)
     io.write_edges(edges.select("effect", "cause", "p_value", "order"), path)
     return rounded(io.read_panel(spark, path, schema="effect string, cause string, p_value double, `order` string"))
 
@@ -206,6 +206,33 @@ def slice_range(spark, sf):
     return pn.slice_panel(daily_shipments(spark, sf), 499, 548).select("idx", *SHIPMENTS)
 
 
+def _middle(spark, sf) -> DataFrame:
+    """Positions 300 to 599 of the hourly counts: a panel that does not begin at 0."""
+    return pn.slice_panel(event_counts(spark, sf), 300, 599)
+
+
+@query
+def lag_of_slice(spark, sf):
+    return pn.lag_panel(_middle(spark, sf).select("idx", *EVENTS), EVENTS, 2, chunk_rows=64)
+
+
+@query
+def moments_of_slice(spark, sf):
+    return _cells(moments(_middle(spark, sf), TWO, 2))
+
+
+@query
+def chain_tests_of_slice(spark, sf):
+    tests = graph.chain_tests(_middle(spark, sf), THREE, 2, v=0.1)
+    return rounded(joined_order(tests.select(*_TEST_COLS)))
+
+
+@query
+def time_index_ties(spark, sf):
+    events = table(spark, sf, "events").select(F.date_trunc("hour", "ts").alias("t"), "event_id", "event_type")
+    return pn.with_index(events, "t", ["event_type"], ties=["event_id"]).select("event_type", "event_id", "idx")
+
+
 @query
 def preview_rows(spark, sf):
     return daily_shipments(spark, sf).orderBy("idx").limit(10).select("idx", *SHIPMENTS)
@@ -269,7 +296,11 @@ def joint_ols(spark, sf):
 
 @query
 def moment_matrix(spark, sf):
-    table = moments(event_counts(spark, sf, TWO), TWO, 2)
+    return _cells(moments(event_counts(spark, sf, TWO), TWO, 2))
+
+
+def _cells(table: DataFrame) -> DataFrame:
+    """A moment table, one row per cell of the matrix."""
     cells = table.select("n", "n_rows", "cols", "means", F.posexplode("g").alias("at", "g"))
     q = F.size("cols")
     row, col = F.floor(F.col("at") / q).cast("int"), F.pmod(F.col("at"), q)
@@ -281,7 +312,7 @@ def moment_matrix(spark, sf):
 
 
 def _rounds(spark, sf, v: float) -> DataFrame:
-    chains = boost.boost_chains(moments(event_counts(spark, sf, THREE), THREE, 2), THREE, v)
+    chains = boost.boost_chains(moments(event_counts(spark, sf), EVENTS, 2), EVENTS, v)
     rows = joined_order(boost.chain_rounds(chains))
     return rounded(rows.select("test_id", "order", "round", "x_name", "mse", "r2", "intercept",
                                F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2")))
@@ -297,8 +328,8 @@ def boost_chain_shrunk(spark, sf):
     return _rounds(spark, sf, 0.1)
 
 
-def _tests(spark, sf, **how) -> DataFrame:
-    return graph.chain_tests(event_counts(spark, sf, THREE), THREE, 2, **how)
+def _tests(spark, sf, names=EVENTS, **how) -> DataFrame:
+    return graph.chain_tests(event_counts(spark, sf, names), names, 2, **how)
 
 
 _TEST_COLS = ["test_id", "effect", "cause", "order", "n", "mse_prev", "mse_all", "f_score", "p_value"]
@@ -317,7 +348,7 @@ def chain_f_test_zero_fill(spark, sf):
 @query
 def chain_f_test_fitted_n(spark, sf):
     picked = [["click", "view", "error"], ["view", "error", "click"]]
-    return rounded(joined_order(_tests(spark, sf, v=1.0, n="fitted", orders=picked).select(*_TEST_COLS)))
+    return rounded(joined_order(_tests(spark, sf, THREE, v=1.0, n="fitted", orders=picked).select(*_TEST_COLS)))
 
 
 @query
@@ -338,28 +369,27 @@ def r2_change(spark, sf):
 
 @query
 def test_plan(spark, sf):
-    seen = table(spark, sf, "events").select("event_type").distinct()
-    plan = joined_order(orders.test_plan(spark, EVENTS, 2))
-    # effects without a single event have nothing to test
-    return plan.join(seen.withColumnRenamed("event_type", "effect"), "effect", "left_semi").select(
-        "test_id", "effect", "cause", "order", "maxlag")
+    names = pn.discover_variables(table(spark, sf, "events"), "event_type")
+    return joined_order(orders.test_plan(spark, names, 2)).select("test_id", "effect", "cause", "order", "maxlag")
 
 
 @query
 def variable_pairs(spark, sf):
-    counts = table(spark, sf, "events").groupBy(F.col("event_type").alias("cause")).agg(F.count(F.lit(1)).alias("events"))
-    return orders.variable_pairs(spark, EVENTS).join(counts, "cause").select("effect", "cause", "events")
+    events = table(spark, sf, "events")
+    counts = events.groupBy(F.col("event_type").alias("cause")).agg(F.count(F.lit(1)).alias("events"))
+    return orders.variable_pairs(spark, pn.discover_variables(events, "event_type")).join(counts, "cause").select("effect", "cause", "events")
 
 
 @query
 def causality_graph_linear(spark, sf):
-    edges = graph.causality_graph(event_counts(spark, sf, THREE), THREE, 2, alpha=0.5, v=0.1)
+    edges = graph.causality_graph(event_counts(spark, sf), EVENTS, 2, alpha=0.5, v=0.1)
     return rounded(joined_order(edges.select(*_TEST_COLS)))
 
 
 @query
 def causality_graph_five(spark, sf):
-    edges = graph.causality_graph(event_counts(spark, sf), EVENTS, 2, alpha=0.05, v=0.1)
+    names = pn.discover_variables(table(spark, sf, "events"), "event_type")
+    edges = graph.causality_graph(event_counts(spark, sf, names), names, 2, alpha=0.05, v=0.1)
     return rounded(joined_order(edges.select(*_TEST_COLS)))
 
 
@@ -370,6 +400,15 @@ def causality_graph_grouped(spark, sf):
     return rounded(joined_order(edges.select("l_linenumber", *_TEST_COLS)), 4)
 
 
+@query
+def causality_graph_null_key(spark, sf):
+    """Panels by a key that is null for a fifth of the users."""
+    ev = table(spark, sf, "events").withColumn("grp", F.expr("nullif(user_id % 5, 0)"))
+    wide = pn.long_panel(ev, "ts", "1 hour", F.col("event_type"), THREE, keys=["grp"])
+    edges = graph.causality_graph(pn.densify(wide, "t", "1 hour", ["grp"]), THREE, 2, alpha=0.5, v=0.1, keys=["grp"])
+    return rounded(joined_order(edges.select(F.col("grp").cast("string").alias("grp"), *_TEST_COLS)))
+
+
 def _incremental(spark, sf, **how) -> DataFrame:
     return graph.incremental_graph(event_counts(spark, sf, THREE), TWO, "error", 2, alpha=0.7, v=0.1, **how)
 
@@ -442,6 +481,19 @@ def ar_tree(spark, sf):
     return rounded(fit.select("n", "mse", "r2"))
 
 
+@query
+def tree_round_values(spark, sf):
+    """A tree on continuous values: hundreds of distinct ones, so thresholds come from the grid."""
+    rows, _, _ = tree.tree_round(event_values(spark, sf, TWO), "click", "view", 2, depth=3)
+    return rounded(rows.select("idx", "prediction", "residual"))
+
+
+@query
+def tree_importances_values(spark, sf):
+    _, _, shares = tree.tree_round(event_values(spark, sf, TWO), "click", "view", 2, depth=3)
+    return rounded(shares.select(F.col("lag").cast("long").alias("lag"), "importance"))
+
+
 @query
 def causality_graph_tree(spark, sf):
     edges = graph.causality_graph(event_counts(spark, sf, THREE), THREE, 2, alpha=0.5, v=0.1, learner="tree", depth=2)
@@ -557,6 +609,18 @@ def granger_best_lag(spark, sf):
     return rounded(edges.select("effect", "cause", F.col("lag").cast("long").alias("lag"), "p_value"))
 
 
+@query
+def granger_graph_default(spark, sf):
+    edges = granger.granger_graph(event_counts(spark, sf), EVENTS, 4)
+    return rounded(edges.select("effect", "cause", F.col("lag").cast("long").alias("lag"), "p_value"))
+
+
+@query
+def var_graph_default(spark, sf):
+    edges = var.var_graph(event_counts(spark, sf, FOUR), FOUR)
+    return rounded(edges.select("effect", "cause", F.col("lag").cast("long").alias("lag"), "p_value"))
+
+
 @query
 def granger_pairs_grouped(spark, sf):
     days = daily_shipments(spark, sf, ["l_linenumber"], ["af", "no", "ro"])

@@ -27,6 +27,10 @@ _ROUND = pa.struct([
 _ROUND_DDL = "struct<round:int,x_name:string,mse:double,r2:double,intercept:double,coef:array<double>>"
 
 
+#: Steps of an order that one work item walks by itself: 7! = 5040 tests at most.
+IN_TASK = 7
+
+
 def solve_normal(a: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least-squares coefficients from centred moments; minimum norm when lags are collinear."""
     if not (np.isfinite(a).all() and np.isfinite(y).all()):
@@ -100,8 +104,8 @@ def boost_chains(moment_table: DataFrame, variables: Sequence[str], v: float = 1
     base = moment_table.where("n > 0")
     if orders is None:
         check_variables([*prefix, *names])
-        # Two explicit steps give the cluster k(k-1) work items per panel; the rest grows inside the task.
-        rows = grow_orders(base, names, min(2, len(names)))
+        # Explicit steps give the cluster work items, k(k-1) per panel at least; each grows the last steps inside its task.
+        rows = grow_orders(base, names, min(len(names), max(2, len(names) - IN_TASK)))
         if prefix:
             rows = rows.withColumn("order", F.expr(f"concat({text_array(prefix)}, `order`)"))
     else:
@@ -226,7 +230,7 @@ def boost_round(lagged: DataFrame, label: str, variable: str, maxlag: int, v: fl
     """One round on the rows of a lagged panel: adds the prediction, ``label - v * prediction`` and ``mse``."""
     feats = lag_names(variable, maxlag)
     fit = ols_fit(lagged, label, feats, keys).select(*keys, F.col("intercept").alias("_a"), F.col("coef").alias("_b"), "mse")
-    rows = attach_by_panel(lagged, fit, keys, idx)
+    rows = attach_by_panel(lagged, fit, keys)
     rows = rows.withColumn(pred, linear_prediction(F.col("_a"), F.col("_b"), feats))
     return rows.withColumn(out, F.col(label) - v * F.col(pred)).drop("_a", "_b")
 
@@ -235,7 +239,7 @@ def chain_predictions(lagged: DataFrame, chains: DataFrame, order: Sequence[str]
                       idx: str = "idx") -> DataFrame:
     """Predictions ``predicted_1..`` of one order's rounds on the panel rows: one projection, no refit."""
     fit = chains.where(F.col("order") == F.array(*[F.lit(c) for c in order])).select(*keys, F.col("rounds").alias("_rounds"))
-    rows = attach_by_panel(lagged, fit, keys, idx)
+    rows = attach_by_panel(lagged, fit, keys)
     preds = [
         linear_prediction(F.col("_rounds")[j]["intercept"], F.col("_rounds")[j]["coef"], lag_names(name, maxlag))
         .alias(f"predicted_{j + 1}")

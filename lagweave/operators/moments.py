@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..plans.orders import text_array
-from .panel import CHUNK_ROWS, lag_name, with_halo
+from .panel import _GAP, CHUNK_ROWS, lag_name, with_halo
 
 _MERGE = 1024
 
@@ -25,7 +25,7 @@ def moment_columns(variables: Sequence[str], maxlag: int) -> list[str]:
     return [lag_name(v, lag) for v in variables for lag in range(maxlag + 1)]
 
 
-_STATS = {"n": pa.int64(), "n_rows": pa.int64(), "means": pa.list_(pa.float64()), "g": pa.list_(pa.float64())}
+_STATS = {"n": pa.int64(), "n_rows": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "means": pa.list_(pa.float64()), "g": pa.list_(pa.float64())}
 
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -47,7 +47,9 @@ def _groups(batches, group: Sequence[str]):
         change = np.zeros(len(table) - 1, bool)
         for name in group:
             col = table[name].combine_chunks()
-            change |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+            differ = pc.fill_null(pc.not_equal(col[1:], col[:-1]), False)
+            null = pc.is_null(col).to_numpy(zero_copy_only=False)
+            change |= differ.to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
         starts = [0, *(np.flatnonzero(change) + 1)]
         for lo, hi in zip(starts, starts[1:]):
             yield table.slice(lo, hi - lo)
@@ -105,10 +107,11 @@ def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Seque
             lags: Sequence[int] | None = None, idx: str = "idx", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Moment table: keys, p, n (rows in the fit), n_rows (rows of the panel), cols, means, g.
 
-    ``p`` is the lag order: rows at positions >= p count (all rows when ``fill``
+    ``p`` is the lag order: rows with p rows before them count (all rows when ``fill``
     is 0). One row per panel and per order in ``lags`` (default: maxlag only).
     ``g`` is the centred cross-product matrix, row-major over ``cols``.
-    ``idx`` must number each panel's rows without gaps.
+    A panel may begin at any position; rows with fewer than p rows of it before them lack a lag and are left out
+    (or filled). ``idx`` must number each panel's rows without gaps; a gap, or a null or NaN in a variable, raises.
     """
     if fill not in (None, 0):
         raise ValueError("moments support fill=None or fill=0")
@@ -121,37 +124,42 @@ def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Seque
     def chunk_stats(table: pa.Table) -> pa.Table:
         at = table["_idx"].to_numpy()
         if (np.diff(at) != 1).any():
-            raise ValueError("panel positions are not consecutive: densify or index the panel first")
+            raise ValueError(_GAP)
         x = np.column_stack([table[v].to_numpy() for v in names])
+        if (bad := np.isnan(x).any(axis=0)).any():
+            where = {k: table[k][0].as_py() for k in keys}
+            raise ValueError(f"null or NaN in {[v for v, b in zip(names, bad) if b]} of panel {where}: fill or drop it first")
         halo = int((at // chunk_rows < table["_chunk"][0].as_py()).sum())
         z, at = _lagged_matrix(x, halo, depth), at[halo:]
         out = {c: [] for c in (*order_key, *types)}
         done = {}
         for p in orders if len(z) else []:
-            skip = int((at < p).sum()) if drop else 0
+            skip = min(len(z), max(0, p - halo)) if drop else 0
             if skip not in done:
                 done[skip] = _stats(z[skip:])
             n, mean, g = done[skip]
-            for c, v in zip(out, (p, n, len(z), mean, g)):
+            for c, v in zip(out, (p, n, len(z), at[0], at[-1], mean, g)):
                 out[c].append(v)
         return _rows(table, [*keys, "_super"], out, order_key | types)
 
-    def merge(group):
+    def merge(group, whole=False):
         def run(table: pa.Table) -> pa.Table:
             n, mean, g = _merged(table["n"].to_numpy(), _matrix(table, "means"), _matrix(table, "g"))
-            rows = int(table["n_rows"].to_numpy().sum())
-            return _rows(table, group, {"n": [n], "n_rows": [rows], "means": [mean], "g": [g]}, types)
+            rows, lo, hi = int(table["n_rows"].to_numpy().sum()), table["lo"].to_numpy().min(), table["hi"].to_numpy().max()
+            if whole and rows != hi - lo + 1:
+                raise ValueError(_GAP)
+            return _rows(table, group, {"n": [n], "n_rows": [rows], "lo": [lo], "hi": [hi], "means": [mean], "g": [g]}, types)
 
         return run
 
     key_ddl = "".join(f"`{k}` {panel.schema[k].dataType.simpleString()}, " for k in keys)
-    stat_ddl = "p int, n long, n_rows long, means array<double>, g array<double>"
+    stat_ddl = "p int, n long, n_rows long, lo long, hi long, means array<double>, g array<double>"
     quoted = [f"`{k}`" for k in keys]
     rows = panel.selectExpr(*quoted, f"cast(`{idx}` as long) as _idx", *[f"cast(`{v}` as double) as `{v}`" for v in names])
     chunked = with_halo(rows, depth, "_idx", chunk_rows).selectExpr("*", f"cast(floor(_chunk / {_MERGE}) as long) as _super")
     parts = _per_group(chunked, [*keys, "_super", "_chunk"], ["_idx"], chunk_stats, f"{key_ddl}_super long, {stat_ddl}")
     level1, level2 = [*keys, "_super", "p"], [*keys, "p"]
     parts = _per_group(parts, level1, [], merge(level1), f"{key_ddl}_super long, {stat_ddl}")
-    total = _per_group(parts, level2, [], merge(level2), f"{key_ddl}{stat_ddl}")
+    total = _per_group(parts, level2, [], merge(level2, True), f"{key_ddl}{stat_ddl}")
     cols = text_array(moment_columns(names, depth))
     return total.selectExpr(*quoted, "p", "n", "n_rows", f"{cols} as cols", "means", "g")

@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 65536
 SALTS = 64
+_GAP = "panel positions are not consecutive: densify or index the panel first"
 
 _UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 
@@ -83,16 +83,27 @@ def _quoted(names: Sequence[str]) -> list[str]:
     return [f"`{c}`" for c in names]
 
 
-def attach_by_panel(rows: DataFrame, table: DataFrame, keys: Sequence[str], idx: str = "idx") -> DataFrame:
+def null_safe_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", also: Sequence[str] = ()) -> DataFrame:
+    """Equality join on ``keys`` in which null is a value like any other, as in GROUP BY, and on ``also``, where it matches nothing."""
+    on = [*keys, *also]
+    other = table.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    match = [rows[c].eqNullSafe(other[f"_on_{c}"]) for c in keys] + [rows[c] == other[f"_on_{c}"] for c in also]
+    if not match:
+        return rows.withColumn("_one", F.lit(1)).join(table.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+    return rows.join(other, reduce(lambda x, y: x & y, match), how).drop(*[f"_on_{c}" for c in on])
+
+
+def attach_by_panel(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join a table with one row per panel to the panel's rows.
 
-    The table is repeated over a fixed number of salts and the rows take theirs
-    from the position, so a panel holding most rows is spread over many tasks.
-    Spark still broadcasts the table when its size allows.
+    A small table is broadcast, by its measured size; beyond it, AQE splits the partitions of a panel that holds most rows.
     """
-    salted = rows.selectExpr("*", f"cast(pmod(`{idx}`, {SALTS}) as int) as _salt")
-    spread = table.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) as _salt")
-    return salted.join(spread, [*keys, "_salt"]).drop("_salt")
+    return null_safe_join(rows, table, keys)
+
+
+def discover_variables(df: DataFrame, column: str) -> list[str]:
+    """The distinct values of the variable column of a long table, in order; as many as the panel will have columns."""
+    return sorted(r[0] for r in df.select(F.col(column).cast("string").alias("v")).distinct().collect() if r[0] is not None)
 
 
 def assemble_panel(series: Mapping[str, DataFrame], time_col: str, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -133,38 +144,45 @@ def densify(panel: DataFrame, time_col: str, step: str, keys: Sequence[str] = ()
     """Fill gaps to a regular grid from each panel's first to last step and add ``idx``.
 
     The grid is generated in chunks, one task slot per chunk rather than per
-    panel. Rows without a time or a panel key have no place on it.
+    panel. A null key is a panel of its own. A row without a time, or with one that lies between two steps of its panel, raises.
     """
     seconds, kind, k = _step_seconds(step), _kind(panel, time_col), _quoted(keys)
     values = [c for c in panel.columns if c not in (*keys, time_col)]
-    placed = panel.where(" and ".join(f"{c} is not null" for c in (*k, f"`{time_col}`")))
-    # Declared free of nulls (it is, see above), so that the join below adds no null check to one use of the panel only.
-    at = placed.selectExpr(*k, f"coalesce({_seconds(kind, time_col)}, 0L) as _at", *_quoted(values))
+    # Free of nulls, so that the join below adds no null check to one use of the panel only.
+    missing = f"cast(raise_error('a row of the panel has no {time_col}') as bigint)"
+    at = panel.selectExpr(*k, f"coalesce({_seconds(kind, time_col)}, {missing}) as _at", *_quoted(values))
     # The bounds drag the values along so that both uses of the panel share one shuffle, and its input is scanned once.
     whole = f"struct(_at, {', '.join(_quoted(values))})" if values else "struct(_at)"
-    bounds = at.groupBy(*keys).agg(F.expr(f"min({whole})._at as _lo"), F.expr(f"max({whole})._at as _hi"))
-    chunks = bounds.where("_lo is not null").selectExpr(*k, "_lo", f"cast(floor((_hi - _lo) / {seconds}) as long) + 1 as _n").selectExpr(
+    off = f"pmod(_at, {seconds})"
+    bounds = at.groupBy(*keys).agg(F.expr(f"min({whole})._at as _lo"), F.expr(f"max({whole})._at as _hi"), F.expr(f"min({off}) <> max({off}) as _off"))
+    bounds = bounds.where("_lo is not null").selectExpr(*k, f"case when _off then cast(raise_error('a time lies off the grid of {step}') as bigint) else _lo end as _lo", "_hi")
+    chunks = bounds.selectExpr(*k, "_lo", f"cast(floor((_hi - _lo) / {seconds}) as long) + 1 as _n").selectExpr(
         *k, "_lo", "_n", f"explode(sequence(0L, cast(floor((_n - 1) / {chunk_rows}) as long))) as _chunk")
     chunks = chunks.repartition(shuffle_partitions(panel), *keys, "_chunk")
     last = f"least((_chunk + 1) * {chunk_rows}, _n) - 1"
     grid = chunks.selectExpr(*k, "_lo", f"explode(sequence(_chunk * {chunk_rows}, {last})) as idx").selectExpr(
         *k, f"_lo + idx * {seconds} as _at", "idx")
-    joined = grid.join(at, [*keys, "_at"], "left")
+    joined = null_safe_join(grid, at, keys, "left", ["_at"])
     filled = [f"`{v}`" if fill is None else f"coalesce(`{v}`, {float(fill)}D) as `{v}`" for v in values]
     return joined.selectExpr(*k, f"{_from_seconds(kind, '_at')} as `{time_col}`", "idx", *filled)
 
 
-def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str = "idx", buckets: int | None = None) -> DataFrame:
-    """Number each panel's rows 0, 1, … in time order.
+#: Rows of all panels together that one bucket of the row index is planned to hold.
+BUCKET_ROWS = 2_000_000
+
+
+def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str = "idx", buckets: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Number each panel's rows 0, 1, … in time order, those of equal time in the order of ``ties``.
+
+    Two rows of a panel that agree in all of these have no order, and raise.
 
     Rows are cut into buckets of about equal size at quantiles of the time
     column (collected once: at most ``buckets`` numbers, so every evaluation
     sees the same cut), ranked within (panel, bucket), and shifted by the rows
     of the earlier buckets. No task holds more than one bucket of a panel.
-    ``buckets`` defaults to the session's shuffle partitions; raise both for
-    tables so long that such a bucket would not sort in one task.
+    ``buckets`` defaults to one for each BUCKET_ROWS rows, counted first, and at least the session's shuffle partitions.
     """
-    count = buckets or shuffle_partitions(df)
+    count = buckets or max(shuffle_partitions(df), df.count() // BUCKET_ROWS)
     kind, k = _kind(df, time_col), _quoted(keys)
     at = _micros(kind, time_col) if kind.startswith(("timestamp", "date")) else f"`{time_col}`"
     rows = df.selectExpr("*", f"cast({at} as double) as _at")
@@ -179,8 +197,11 @@ def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str
     offsets = rows.groupBy(*keys, "_bucket").agg(F.expr("count(1) as _rows")).selectExpr(
         *k, "_bucket", f"coalesce(sum(_rows) over ({before}), 0) as _offset")
     within = ", ".join([*k, "_bucket"])
-    ranked = rows.selectExpr("*", f"row_number() over (partition by {within} order by `{time_col}`) as _rank")
-    return ranked.join(offsets, [*keys, "_bucket"]).selectExpr(*_quoted(df.columns), f"cast(_offset + _rank - 1 as long) as `{idx}`")
+    order = ", ".join(_quoted([time_col, *ties]))
+    over = f"over (partition by {within} order by {order})"
+    ranked = rows.selectExpr("*", f"row_number() {over} as _rank", f"lag(struct({order})) {over} <=> struct({order}) as _tie")
+    at = f"case when _tie then cast(raise_error('rows of equal {time_col}: name columns that order them') as bigint) else cast(_offset + _rank - 1 as long) end as `{idx}`"
+    return null_safe_join(ranked, offsets, keys, also=["_bucket"]).selectExpr(*_quoted(df.columns), at)
 
 
 def with_calendar(df: DataFrame, start: str, freq: str, idx: str = "idx", name: str = "date") -> DataFrame:
@@ -199,10 +220,6 @@ def panel_shape(df: DataFrame, keys: Sequence[str] = (), not_variables: Sequence
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.lit(k).alias("k"))
 
 
-def persist_panel(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    return df.persist(level)
-
-
 def with_halo(df: DataFrame, width: int, idx: str = "idx", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``_chunk``, repeating the last ``width`` rows of each chunk in the next one."""
     if width > chunk_rows:
@@ -216,17 +233,20 @@ def lag_panel(df: DataFrame, variables: Sequence[str], maxlag: int, keys: Sequen
               idx: str = "idx", lags: Sequence[int] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``<var>__lag<L>`` for L in 1..maxlag (or ``lags``).
 
-    ``fill=None`` leaves missing lags out and drops the first rows **by position**,
-    so nulls of the data stay visible; a number keeps all rows and fills with it.
+    A lag is the row so many positions before; a panel may begin at any position. ``fill=None`` drops the rows that
+    have fewer than the deepest lag's rows before them, so nulls of the data stay visible; a number keeps all rows and fills with
+    it. A gap between positions of a chunk raises; one that ends with a chunk begins the panel anew.
     """
     wanted = list(lags or range(1, maxlag + 1))
     depth = max(wanted)
     over = f"over (partition by {', '.join([*_quoted(keys), '_chunk'])} order by `{idx}`)"
     default = "null" if fill is None else f"{float(fill)}D"
     feats = [f"lag(`{v}`, {lag}, {default}) {over} as `{lag_name(v, lag)}`" for v in variables for lag in wanted]
-    rows = with_halo(df, depth, idx, chunk_rows).selectExpr("*", *feats)
-    rows = rows.where(f"_chunk = floor(`{idx}` / {chunk_rows})").drop("_chunk")
-    return rows.where(F.col(idx) >= depth) if fill is None else rows
+    rows = with_halo(df, depth, idx, chunk_rows).selectExpr("*", f"lag(`{idx}`, 1) {over} as _before", f"lag(`{idx}`, {depth}) {over} as _deepest", *feats)
+    own = f"_chunk = floor(`{idx}` / {chunk_rows})"
+    whole = f"case when _before <> `{idx}` - 1 then cast(raise_error('{_GAP}') as boolean) else {own} end"
+    rows = rows.where(whole)
+    return (rows.where("_deepest is not null") if fill is None else rows).drop("_chunk", "_before", "_deepest")
 
 
 def slice_panel(df: DataFrame, lo: int | None = None, hi: int | None = None, idx: str = "idx") -> DataFrame:
@@ -239,7 +259,7 @@ def slice_panel(df: DataFrame, lo: int | None = None, hi: int | None = None, idx
 def last_rows(df: DataFrame, p: int, keys: Sequence[str] = (), idx: str = "idx") -> DataFrame:
     """The last p rows of each panel."""
     ends = df.groupBy(*keys).agg(F.max(idx).alias("_last"))
-    return attach_by_panel(df, ends, keys, idx).where(F.col(idx) > F.col("_last") - p).drop("_last").select(*df.columns)
+    return attach_by_panel(df, ends, keys).where(F.col(idx) > F.col("_last") - p).drop("_last").select(*df.columns)
 
 
 def running_min(edges: DataFrame, keys: Sequence[str] = (), lag: str = "lag", p: str = "p_value") -> DataFrame:

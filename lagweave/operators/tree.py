@@ -33,20 +33,31 @@ def _ints(values: Sequence[int]) -> str:
     return f"array({', '.join(str(int(v)) for v in values)})"
 
 
+#: Cells of the fixed grid between a column's least and greatest value in which values are counted.
+GRID = 4096
+
+
 def split_points(lagged: DataFrame, columns: Sequence[str], max_bins: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Candidate thresholds per panel and column, in a bounded summary of ``max_bins`` values.
+    """Candidate thresholds per panel and column, at most ``max_bins`` - 1 of each.
 
-    With at most ``max_bins`` distinct values they are the midpoints between
-    neighbours, exactly; beyond that, midpoints of an adaptive histogram.
+    Values are counted in the cells of a fixed grid. With at most ``max_bins`` cells in use, thresholds are the midpoints between
+    neighbouring cells' values: for values that lie in cells of their own, all midpoints. Beyond that, those midpoints are kept at which
+    the running count passes a multiple of its ``max_bins``-th part. Counts, minima and maxima do not depend on the order of rows.
     """
-    hists = lagged.groupBy(*keys).agg(
-        *[F.expr(f"histogram_numeric(cast(`{c}` as double), {int(max_bins)})").alias(f"_h{i}") for i, c in enumerate(columns)]
-    )
-    mids = ", ".join(
-        f"transform(slice(_h{i}, 1, greatest(size(_h{i}) - 1, 0)), (b, i) -> (b.x + get(_h{i}, i + 1).x) / 2)"
-        for i in range(len(columns))
-    )
-    return hists.selectExpr(*_cols(keys), f"array({mids}) as thresholds")
+    k, b = _cols(keys), int(max_bins)
+    ends = lagged.groupBy(*keys).agg(*[F.expr(f"array({', '.join(f'{f}(cast(`{c}` as double))' for c in columns)}) as {to}") for f, to in (("min", "_lo"), ("max", "_hi"))])
+    rows = attach_by_panel(lagged.select(*keys, *columns), ends, keys)
+    values = rows.selectExpr(*k, "_lo", "_hi", f"posexplode(array({', '.join(f'cast(`{c}` as double)' for c in columns)})) as (_c, _x)").where("_x is not null")
+    cell = f"coalesce(least({GRID - 1}, cast(floor((_x - _lo[_c]) / nullif(_hi[_c] - _lo[_c], 0D) * {GRID}) as int)), 0)"
+    cells = values.selectExpr(*k, "_c", "_x", f"{cell} as _cell").groupBy(*keys, "_c", "_cell").agg(F.expr("count(1) as n"), F.expr("min(_x) as lo"), F.expr("max(_x) as hi"))
+    by = "partition by " + ", ".join([*k, "_c"])
+    seen = cells.selectExpr(*k, "_c", "n", "hi", f"lead(lo) over ({by} order by _cell) as next", f"count(1) over ({by}) as used",
+                            f"sum(n) over ({by} order by _cell) as upto", f"sum(n) over ({by}) as total")
+    passed = f"floor(upto * {b} / total) > floor((upto - n) * {b} / total)"
+    found = seen.groupBy(*keys, "_c").agg(F.expr(f"sort_array(collect_list(case when next is not null and (used <= {b} or {passed}) then (hi + next) / 2 end)) as cuts"))
+    each = found.groupBy(*keys).agg(F.expr("map_from_entries(collect_list(struct(_c, cuts))) as m"))
+    none = "cast(array() as array<double>)"
+    return each.selectExpr(*k, f"transform(sequence(0, {len(columns) - 1}), i -> coalesce(m[i], {none})) as thresholds")
 
 
 def _bin_name(variable: int, lag: int) -> str:
@@ -63,7 +74,7 @@ def binned_rows(lagged: DataFrame, variables: Sequence[str], maxlag: int, max_bi
     """Rows of a lagged panel: the bin of each lag (``_b<variable>_<lag>``) and the values of the variables (and of ``also``)."""
     names = [(i, lag, lag_name(v, lag)) for i, v in enumerate(variables) for lag in range(1, maxlag + 1)]
     cuts = saved(split_points(lagged, [c for _, _, c in names], max_bins, keys), "thresholds")
-    rows = attach_by_panel(lagged, cuts, keys, idx)
+    rows = attach_by_panel(lagged, cuts, keys)
     bins = [f"size(filter(thresholds[{at}], t -> t < `{c}`)) as {_bin_name(i, lag)}" for at, (i, lag, c) in enumerate(names)]
     values = [f"cast(`{v}` as double) as `{v}`" for v in dict.fromkeys([*variables, *also])]
     return rows.selectExpr(*_cols(keys), f"`{idx}`", *bins, *values)
@@ -95,20 +106,21 @@ def _best_splits(rows: DataFrame, maxlag: int, level: int, min_leaf: int, keys:
     k = _cols(keys)
     feats = ", ".join(f"_f{lag}" for lag in range(1, maxlag + 1))
     seen = rows.where(f"node >= {2**level}").selectExpr(*k, "tree", "node", "label", f"posexplode(array({feats})) as (feature, bin)")
-    hist = seen.groupBy(*keys, "tree", "node", "feature", "bin").agg(F.expr("count(1) as c"), F.expr("sum(label) as t"))
+    hist = seen.groupBy(*keys, "tree", "node", "feature", "bin").agg(F.expr("count(1) as c"), F.expr("sum(label) as t"), F.expr("sum(label * label) as q"))
     # A tree's histogram is small and bounded; kept together it needs no further shuffle below.
     hist = hist.repartition(*keys, "tree")
     by = "partition by " + ", ".join([*k, "tree", "node", "feature"])
     upto = by + " order by bin rows between unbounded preceding and current row"
     sums = hist.selectExpr("*", f"sum(c) over ({upto}) as nl", f"sum(t) over ({upto}) as tl",
-                           f"sum(c) over ({by}) as n", f"sum(t) over ({by}) as total")
-    sides = sums.selectExpr("*", "n - nl as nr", "tl / nl as lm", "try_divide(total - tl, n - nl) as rm")
-    # Gains equal up to rounding of the sums count as ties: lowest feature, then lowest bin.
-    allowed = f"nl >= {min_leaf} and nr >= {min_leaf}"
-    scored = sides.selectExpr("*", f"case when {allowed} then round(nl * nr / n * (lm - rm) * (lm - rm), 9) end as g").selectExpr(
-        "*", "case when g > 0 then g end as gain")
+                           f"sum(c) over ({by}) as n", f"sum(t) over ({by}) as total", f"sum(q) over ({by}) as squares")
+    sides = sums.selectExpr("*", "n - nl as nr", "tl / nl as lm", "try_divide(total - tl, n - nl) as rm", "squares - total * total / n as spread")
+    # Gains are compared as shares of the node's own spread, whatever the label's scale; equal up to rounding, they count
+    # as ties: lowest feature, then lowest bin. A spread that is nothing but rounding is none.
+    allowed = f"nl >= {min_leaf} and nr >= {min_leaf} and spread > 1e-12 * squares"
+    scored = sides.selectExpr("*", f"case when {allowed} then nl * nr / n * (lm - rm) * (lm - rm) end as raw").selectExpr("*", "round(raw / spread, 9) as share").selectExpr(
+        "*", "case when share > 0 then raw end as gain")
     best = scored.groupBy(*keys, "tree", "node").agg(
-        F.expr("max_by(struct(feature, bin, gain, lm, rm), struct(coalesce(gain, -1D), -feature, -bin)) as b"),
+        F.expr("max_by(struct(feature, bin, gain, lm, rm), struct(coalesce(case when gain is not null then share end, -1D), -feature, -bin)) as b"),
         F.expr("max_by(total / n, -feature) as mean"),
     )
     chosen = [f"case when b.gain is not null then b.{c} end as {c}" for c in ("feature", "bin", "gain", "lm", "rm")]
@@ -191,7 +203,7 @@ def _trie(orders: Sequence[Sequence[str]]):
 
 
 def all_orders(variables: Sequence[str]) -> list[list[str]]:
-    """Every order, lexicographic by header position; bounded by the plan's variable limit."""
+    """Every order, lexicographic by header position."""
     check_variables(variables)
     orders = [[]]
     for _ in variables:

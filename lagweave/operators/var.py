@@ -210,10 +210,10 @@ def _statistics(rows: DataFrame, keys: Sequence[str], extra: Sequence[str], pick
 
 
 def _check_kind(kind: str, signif: float) -> str:
-    if not 0 < signif < 1:
-        raise ValueError("signif has to be between 0 and 1")
     if kind.lower() not in ("f", "wald"):
-        raise ValueError(f"kind {kind} not recognized")
+        raise ValueError(f"choose 'f' or 'wald' as kind of test, not {kind!r}")
+    if signif <= 0 or signif >= 1:
+        raise ValueError(f"a significance level lies strictly within 0..1: {signif}")
     return kind.lower()
 
 

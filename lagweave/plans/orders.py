@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_VARIABLES = 8
-
 
 def text_array(names: Sequence[str]) -> str:
     """An array literal of texts, as a SQL expression."""
@@ -39,8 +37,6 @@ def grow_orders(df: DataFrame, variables: Sequence[str], upto: int) -> DataFrame
 def check_variables(variables: Sequence[str]) -> None:
     if len(set(variables)) != len(variables) or len(variables) < 2:
         raise ValueError("variables must be at least two distinct names")
-    if len(variables) > MAX_VARIABLES:
-        raise ValueError(f"{len(variables)}! tests: name the orders to test, or use at most {MAX_VARIABLES} variables")
 
 
 def test_plan(spark: SparkSession, variables: Sequence[str], maxlag: int) -> DataFrame:
@@ -57,11 +53,6 @@ def explode_orders(df: DataFrame, orders: Sequence[Sequence[str]]) -> DataFrame:
     return out.withColumn("test_id", F.col("test_id").cast("long"))
 
 
-def given_orders(spark: SparkSession, orders: Sequence[Sequence[str]], maxlag: int) -> DataFrame:
-    """The same table for hand-picked orders."""
-    return _named(explode_orders(spark.range(1).select(), orders), maxlag)
-
-
 def _named(rows: DataFrame, maxlag: int) -> DataFrame:
     return rows.select(
         F.col("test_id").cast("long").alias("test_id"), F.element_at("order", 1).alias("effect"),
@@ -72,12 +63,6 @@ def _named(rows: DataFrame, maxlag: int) -> DataFrame:
 test_plan.__test__ = False
 
 
-def prepend_variable(plan: DataFrame, new_var: str) -> DataFrame:
-    """The plan that tests every old order with the new variable as effect."""
-    order = F.concat(F.array(F.lit(new_var)), F.col("order"))
-    return plan.withColumn("order", order).withColumn("effect", F.lit(new_var))
-
-
 def explode_pairs(df: DataFrame, variables: Sequence[str], keep_self: bool = False) -> DataFrame:
     """Add every ordered (effect, cause) pair to each row."""
     names = text_array(variables)

@@ -31,11 +31,6 @@ def read_panel(spark: SparkSession, path: str, time_col: str | None = None, name
     return df
 
 
-def edge_lines(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Edges as flat rows: the order becomes one comma-joined text."""
-    return edges.select(*keys, "effect", "cause", "p_value", F.array_join("order", ",").alias("order"))
-
-
 def write_edges(df: DataFrame, path: str, fmt: str = "csv", header: bool = True, sort_by: Sequence[str] = (), mode: str = "error") -> None:
     """Write an edge table; array columns are joined for CSV, rows sorted when asked."""
     if fmt == "csv":

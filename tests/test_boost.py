@@ -195,8 +195,3 @@ def test_edge_operations(spark):
     assert graph.significant(edges, 0.1).count() == 0  # strictly below
     ranked = graph.rank_edges(edges.withColumnRenamed("p_value", "strength"), 2).collect()
     assert [r.lag for r in ranked] == [2, 3]
-
-
-def test_too_many_variables_are_refused(spark):
-    with pytest.raises(ValueError):
-        orders.test_plan(spark, [f"v{i}" for i in range(9)], 1)
