@@ -22,6 +22,8 @@ from .suffix_dedup import _packed, _unpacked
 LONG = 32
 #: Lowest shingles by which near copies find a common pivot.
 MINIMA = 4
+#: Shingles from which on a set is sketched with four bytes each.
+LARGE = 4096
 HELD = 2_000_000
 
 
@@ -143,31 +145,31 @@ def entries_of(posts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 # -- probing sets --------------------------------------------------------------------------------------------------------
 
 def shortlisted(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, reach, na, nb) that their prefixes don't rule out.
+    """Pairs (a, b, reach, na, nb) that their sketches don't rule out.
 
-    Up to the lower of the two prefixes' ends both sets are known in full. Shingles there that only one of them has are among those that
-    tell the sets apart, of which a pair in reach has d / (2 - d) * (na + nb) at most.
+    Of the smaller set's cut hashes at least as many lie among the other's as there are common shingles; a pair in reach
+    needs (1 - d) / (2 - d) * (na + nb) of these.
     """
     names = pairs.columns
 
     def fn(batch):
-        x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_x", "_y"))
+        x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("_x", "_y"))
         reach, na, nb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("reach", "na", "nb"))
         far = 1 - percent / 100 + reach
-        most = far / (2 - far) * (na + nb) + 1e-6
+        need = (1 - far) / (2 - far) * (na + nb) - 1e-6
         keep = []
-        for raw, other, m in zip(x, y, most, strict=True):
-            one, two = np.frombuffer(raw, np.uint64), np.frombuffer(other, np.uint64)
-            end = min(one[-1], two[-1])
-            one, two = one[:np.searchsorted(one, end, side="right")], two[:np.searchsorted(two, end, side="right")]
-            at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-            both = int((two[at] == one).sum()) if len(two) else 0
-            keep.append(len(one) + len(two) - 2 * both <= m)
+        for one, two, n, m, k in zip(x, y, na.tolist(), nb.tolist(), need.tolist(), strict=True):
+            one, two = (np.frombuffer(v.as_buffer(), "<u2" if c < LARGE else "<u4") for v, c in ((one, n), (two, m)))
+            if one.dtype != two.dtype:
+                one, two = (v if v.dtype.itemsize == 2 else np.sort(v.astype("<u2")) for v in (one, two))
+            short, long = sorted((one, two), key=len)
+            at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+            keep.append(int((long[at] == short).sum()) >= k)
         kept = batch.filter(pa.array(keep, pa.bool_()))
         return {c: kept.column(kept.schema.get_field_index(c)) for c in names}
 
-    held = texts.select("node", "prefix")
-    joined = pairs.join(held.withColumnsRenamed({"node": "a", "prefix": "_x"}), "a").join(held.withColumnsRenamed({"node": "b", "prefix": "_y"}), "b")
+    held = texts.select("node", "sketch")
+    joined = pairs.join(held.withColumnsRenamed({"node": "a", "sketch": "_x"}), "a").join(held.withColumnsRenamed({"node": "b", "sketch": "_y"}), "b")
     return arrow_map(joined, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields), fn)
 
 
@@ -195,18 +197,23 @@ def probed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return arrow_map(joined, schema, probe)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, size: int, percent: int, unique: bool) -> DataFrame:
-    """node, text, prefix of the wanted sets (node, first), read from a document that has the set."""
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """The hashes cut to two bytes each, four in large sets."""
+    return np.sort(shingles.astype("<u2" if len(shingles) < LARGE else "<u4"))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, size: int, unique: bool) -> DataFrame:
+    """node, text, sketch of the wanted sets (node, first), read from a document that has the set."""
     def fn(batch):
         for t in tb.slices(batch.column(1)):
             sets = shingle_sets(t, size)
             node = batch.column(2).slice(t.rows.start, len(t))
             same = pa.array([len(s) > 0 and int(_key(s).view(np.int64)[0]) == n for s, n in zip(sets, node.to_pylist(), strict=True)], pa.bool_())
-            prefix = pa.array([s[:len(s) - least_overlap(len(s), percent) + 1].tobytes() for s in sets], pa.binary())
-            yield {"node": node.filter(same), "text": batch.column(1).slice(t.rows.start, len(t)).filter(same), "prefix": prefix.filter(same)}
+            sketch = pa.array([_sketch(s).tobytes() for s in sets], pa.binary())
+            yield {"node": node.filter(same), "text": batch.column(1).slice(t.rows.start, len(t)).filter(same), "sketch": sketch.filter(same)}
 
     found = docs.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id").select("doc_id", "text", "node")
-    found = arrow_map(found, "node long, text string, prefix binary", fn)
+    found = arrow_map(found, "node long, text string, sketch binary", fn)
     return saved(found if unique else found.dropDuplicates(["node"]), "texts")
 
 
@@ -230,7 +237,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     posts = saved(prefixes(docs.select("doc_id", "text"), size, percent, bits), "posts")
     live = saved(shared_entries(posts), "live")
     firsts = sets.select("node", "first")
-    near = texts_of(docs, firsts.join(live.select("node").distinct(), "node"), size, percent, unique)
+    near = texts_of(docs, firsts.join(live.select("node").distinct(), "node"), size, unique)
 
     # Pivots: sets that share a low shingle are measured against the first of them.
     low = sets.join(live.select("node").distinct(), "node").select("node", F.explode("minima").alias("shingle"))
@@ -257,7 +264,8 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     short, long, held = lists(live)
     long, pairs = saved(long, "long"), paired(short)
     if long.limit(1).count():
-        # A set that met long lists goes on, by as many shingles and a quarter more; whom it meets there is read from all prefixes.
+        # A set that met long lists goes on until as many short ones are to be expected, and some more, at the rate at which it has
+        # met long ones so far; whom it meets there is read from all prefixes.
         met = saved(live.join(long, "shingle").groupBy("node").agg(F.collect_set("shingle").alias("skipped")), "skipped")
 
         def further(batch):
@@ -266,18 +274,24 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
                 for i, s in enumerate(shingle_sets(t, size)):
                     p = len(s) - least_overlap(len(s), percent) + 1
                     m = len(skipped[t.rows.start + i])
-                    more = s[p:p + m + m // 4 + 4]
+                    more = s[p:p + 8 + (13 * m * p) // (10 * max(1, p - m))] if m < p else s[p:]
                     yield {"shingle": more.view(np.int64), "node": np.repeat(np.int64(node[t.rows.start + i].as_py()), len(more))}
 
         more = saved(arrow_map(near.join(met, "node").select("node", "text", "skipped"), "shingle long, node long", further), "further")
+        done = live, held, met
         live = saved(live.unionByName(more).unionByName(entries_of(posts, more, bits)).distinct(), "live")
+        discard(posts, *done)
         short, long, held = lists(live)
         # Sets that still lack shingles with short lists: their long lists are searched after all, for whoever is in them.
         gone = saved(live.join(long, "shingle"), "gone")
         lack = gone.groupBy("node").agg(F.count("*").alias("gone")).join(more.groupBy("node").agg(F.count("*").alias("more")), "node", "left")
         lack = lack.where(F.col("gone") > F.coalesce("more", F.lit(0))).select("node")
-        asks = starred(gone.join(lack, "node")).distinct().withColumnRenamed("star", "a")
-        found = asks.join(held.withColumnRenamed("star", "b"), "shingle").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        of = names.join(member.select("node", "a"), "node", "left").select("node", F.coalesce("a", "node").alias("star"), "n")
+        asks = gone.join(lack, "node").join(of, "node").select("shingle", F.col("star").alias("a"), "n").distinct()
+        ranges = of.groupBy(F.col("star").alias("b")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        told = held.join(long, "shingle").withColumnRenamed("star", "b").join(ranges, "b")
+        found = asks.join(told, "shingle").where(f"a <> b and 100 * high >= {percent} * n and 100 * n >= {percent} * low")
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = paired(short).unionByName(found).distinct()
     # A pair of lone sets has to fit by size; pivots may have members that do.
     reach = pairs.join(radius.withColumnsRenamed({"node": "a", "radius": "ra"}), "a", "left").join(radius.withColumnsRenamed({"node": "b", "radius": "rb"}), "b", "left")
@@ -286,9 +300,9 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     wide = saved(wide, "pairs")
     late = wide.select(F.col("a").alias("node")).unionByName(wide.select(F.col("b").alias("node"))).distinct().join(near.select("node"), "node", "left_anti")
     if late.limit(1).count():
-        near = near.unionByName(texts_of(docs, firsts.join(late, "node"), size, percent, unique))
-    discard(posts)
-    wide = saved(shortlisted(wide, near, percent), "pairs")
+        near = near.unionByName(texts_of(docs, firsts.join(late, "node"), size, unique))
+    discard(live, held)
+    wide = saved(shortlisted(wide, near, percent), "shortlist")
     measured = saved(probed(wide, near, size).withColumn("apart", apart), "measured")
     direct = measured.where(linked).select("a", "b")
 
