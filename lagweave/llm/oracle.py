@@ -39,7 +39,7 @@ def _quality_sql() -> str:
     levels = {"a": "PARTITION BY lang, source", "b": "PARTITION BY lang", "c": ""}
     windows = [f"count(*) OVER ({by}) AS n_{k}" for k, by in levels.items()]
     windows += [f"quantile_disc(v{m}, {q}) OVER ({by}) AS q{q[2:]}_{m}_{k}" for k, by in levels.items() for m in (1, 2, 3, 4) for q in ("0.25", "0.5", "0.75")]
-    slack, limits = {1: 2500, 2: 120, 3: 300, 4: 300}, []
+    slack, limits = {1: 2500, 2: 50, 3: 500, 4: 300}, []
 
     def pick(make) -> str:
         return f"CASE WHEN n_a >= 200 THEN {make('a')} WHEN n_b >= 200 THEN {make('b')} ELSE {make('c')} END"

@@ -118,8 +118,8 @@ def thresholds(counts: DataFrame, least_rows: int, reach: int, slack: dict[str,
     return joined.select("lang", "source", pick.alias("t")).select("lang", "source", "t.*").drop("n")
 
 
-#: Smallest distance of a limit from the median, in grid steps: 2.5 characters a word; 12, 30 and 30 in a hundred.
-SLACK = {"word_length": 2500, "symbols": 120, "dup_lines": 300, "repeats": 300}
+#: Smallest distance of a limit from the median, in grid steps: 2.5 characters a word; 5, 50 and 30 in a hundred.
+SLACK = {"word_length": 2500, "symbols": 50, "dup_lines": 500, "repeats": 300}
 
 
 def quality_rules(docs: DataFrame, least_rows: int = 200, reach: int = 6, slack: dict[str, int] = SLACK) -> DataFrame:
