@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import f_sf
-from ..plans.orders import explode_pairs
+from ..plans.orders import text_array
 from .boost import _arrow_type, _moment_rows, solve_normal
 from .graph import edge_list, significant
 from .moments import moments
@@ -29,22 +29,25 @@ def granger_pairs(panel: DataFrame, variables: Sequence[str], maxlag: int | Sequ
     orders = list(range(1, maxlag + 1)) if isinstance(maxlag, int) else sorted(maxlag)
     keys = list(keys)
     table = moments(panel, variables, orders[-1], keys, lags=orders, idx=idx)
-    rows = explode_pairs(table, variables)
+    names = list(variables)
+    # One copy of a panel's moments for each effect, dealt out by it; the effect's own fit serves all its causes.
+    rows = table.where("n > 2 * p + 1").selectExpr("*", f"explode({text_array(names)}) as effect", "cast(null as string) as cause")
+    rows = rows.repartition(*keys, "p", "effect")
     fixed = [*keys, "effect", "cause", "p", "n"]
     schema = pa.schema([*[pa.field(c, _arrow_type(rows, c)) for c in fixed], ("rss_restricted", pa.float64()),
                         ("rss_full", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            found = []
             for row, m in _moment_rows(batch):
-                own, other = lag_names(row["effect"], m["p"]), lag_names(row["cause"], m["p"])
-                found.append({c: row[c] for c in fixed} | {
-                    "rss_restricted": _rss(m, row["effect"], own), "rss_full": _rss(m, row["effect"], own + other)})
-            yield pa.RecordBatch.from_pylist(found, schema=schema)
+                own = lag_names(row["effect"], m["p"])
+                restricted = _rss(m, row["effect"], own)
+                found = [{c: row[c] for c in fixed} | {"cause": cause, "rss_restricted": restricted, "rss_full": _rss(m, row["effect"], own + lag_names(cause, m["p"]))}
+                         for cause in names if cause != row["effect"]]
+                yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     ddl = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in fixed)
-    fits = rows.where("n > 2 * p + 1").mapInArrow(run, ddl + ", rss_restricted double, rss_full double")
+    fits = rows.mapInArrow(run, ddl + ", rss_restricted double, rss_full double")
     d2 = F.col("n") - 2 * F.col("p") - 1
     gain = (F.col("rss_restricted") - F.col("rss_full")) / F.col("p")
     score = F.when(F.col("rss_full") > 0, gain / (F.col("rss_full") / d2)).when(F.col("rss_restricted") > 0, F.lit(float("inf")))
