@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,8 +32,10 @@ def compressed(df: DataFrame, name: str, *by: str) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner see which shuffles are done with: it acts on what the garbage collectors of both sides have let go."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first finds may still be held by events on their way
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
