@@ -49,26 +49,26 @@ class WordTokens:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.marks = {m: tuple(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
         self.reset()
 
     def reset(self) -> None:
         self.codes: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def word(self, text: str) -> list[int]:
+    def word(self, text: str) -> tuple[int, ...]:
         if (known := self.words.get(text)) is None:
             piece = text if text.isascii() else "".join(map(self.letters.__getitem__, unicodedata.normalize("NFC", text).encode()))
-            known = self.words[text] = [t.id for t in self.model.tokenize(piece)]
+            known = self.words[text] = tuple([t.id for t in self.model.tokenize(piece)])
         return known
 
-    def chunk(self, text: str) -> list[int] | None:
+    def chunk(self, text: str) -> tuple[int, ...] | None:
         last = text[-1] if text[-1] in self.marks else ""
         bare = text[:-1] if last else text
         if bare.isalpha() and max(bare) < "ɐ" and "İ" not in bare and "ŉ" not in bare:
-            return self.word(bare.lower()) + (self.marks[last] if last else [])
+            return self.word(bare.lower()) + self.marks[last] if last else self.word(bare.lower())
         return None
 
     def learn(self, chunks: set[str]) -> None:
