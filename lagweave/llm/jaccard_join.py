@@ -350,10 +350,11 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that share a doc_id one stays, that of the first text. Rows without a doc_id stay, and so do all empty texts with ids of their own.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("_gone"))
-    gone = join_documents(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if ids.where("_gone is not null").groupBy("_gone").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
+    gone_id, rank = (max(docs.columns, key=len) + x for x in ("_gone", "_rank"))  # names that no column has
+    ids = docs.select(F.col("doc_id").cast("long").alias(gone_id))
+    gone = join_documents(docs, size, percent).where("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    if ids.where(F.col(gone_id).isNotNull()).groupBy(gone_id).agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
         order = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.uuid())).orderBy("text", *[c for c in docs.columns if c != "text"])
-        left = left.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+        left = left.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
     return left

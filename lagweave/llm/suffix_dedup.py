@@ -362,7 +362,7 @@ def _united(spans: list[dict]) -> list[tuple[int, int]]:
 
 def _by_doc(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("name", "spans")).alias("s")).select(
-        F.col("doc_id").alias("_doc"), F.col("s.name").alias("_names"), F.col("s.spans").alias("_spans"))
+        F.col("doc_id").alias("_suffix_doc"), F.col("s.name").alias("_suffix_names"), F.col("s.spans").alias("_suffix_spans"))
 
 
 def _cut(t: tb.Texts, names: pa.Array, spans: pa.Array):
@@ -397,7 +397,7 @@ def dedup(docs: DataFrame, length: int = 50, batches: int = 4) -> DataFrame:
             yield {"doc_id": doc.slice(t.rows.start, len(t)), "n_bytes": np.diff(t.cuts), "n_removed": pa.array([sum(b - a for a, b in x) for _, x in left], pa.int64()),
                    "n_spans": pa.array([len(x) for _, x in left], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(b).hexdigest() for b, _ in left], pa.string())}
 
-    joined = ids.join(_by_doc(find_spans(docs, length, batches)), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "_names", "_spans")
+    joined = ids.join(_by_doc(find_spans(docs, length, batches)), F.col("doc_id") == F.col("_suffix_doc"), "left").select("doc_id", "text", "_suffix_names", "_suffix_spans")
     return arrow_map(joined, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", cut)
 
 
@@ -428,5 +428,5 @@ def without_repeats(docs: DataFrame, length: int = 50, batches: int = 4) -> Data
                 columns[count] = pa.array(size, columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    joined = docs.join(_by_doc(find_spans(docs, length, batches)), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.join(_by_doc(find_spans(docs, length, batches)), F.col("doc_id") == F.col("_suffix_doc"), "left").drop("_suffix_doc")
     return joined.mapInArrow(cut, docs.schema)
