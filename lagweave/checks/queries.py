@@ -164,17 +164,17 @@ def calendar_daily(spark, sf):
 
 @query
 def lag_zero_fill(spark, sf):
-    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, fill=0.0)
+    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, fill=0.0, whole=True)
 
 
 @query
 def lag_drop(spark, sf):
-    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 3)
+    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 3, whole=True)
 
 
 @query
 def lag_features(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, whole=True)
     out = lagged.select("idx", pn.feature_array("view", 2).alias("features"))
     return out.select("idx", F.element_at("features", 1).alias("f1"), F.element_at("features", 2).alias("f2"))
 
@@ -182,13 +182,13 @@ def lag_features(spark, sf):
 @query
 def lag_grouped(spark, sf):
     days = daily_shipments(spark, sf, ["l_linenumber"], ["af", "no"]).select("l_linenumber", "idx", "af", "no")
-    return pn.lag_panel(days, ["af", "no"], 2, ["l_linenumber"])
+    return pn.lag_panel(days, ["af", "no"], 2, ["l_linenumber"], whole=True)
 
 
 @query
 def lag_chunked(spark, sf):
     days = daily_shipments(spark, sf, names=["af", "no"]).select("idx", "af", "no")
-    return pn.lag_panel(days, ["af", "no"], 3, chunk_rows=100)
+    return pn.lag_panel(days, ["af", "no"], 3, chunk_rows=100, whole=True)
 
 
 @query
@@ -213,7 +213,7 @@ def _middle(spark, sf) -> DataFrame:
 
 @query
 def lag_of_slice(spark, sf):
-    return pn.lag_panel(_middle(spark, sf).select("idx", *EVENTS), EVENTS, 2, chunk_rows=64)
+    return pn.lag_panel(_middle(spark, sf).select("idx", *EVENTS), EVENTS, 2, chunk_rows=64, whole=True)
 
 
 @query
@@ -251,13 +251,13 @@ QUERIES["structural_mean_nonlinear2"] = _structural("nonlinear2")
 
 
 def _click_round(spark, sf) -> DataFrame:
-    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, whole=True)
     return boost.boost_round(lagged, "click", "click", 2)
 
 
 @query
 def ols_fit_lag2(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, whole=True)
     fit = boost.ols_fit(lagged, "click", pn.lag_names("view", 2))
     return rounded(fit.select("n", "intercept", F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2"), "mse", "r2"))
 
@@ -269,7 +269,7 @@ def ols_residual_lag2(spark, sf):
 
 @query
 def shrunk_residual(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, whole=True)
     fit = boost.boost_round(lagged, "click", "view", 2, v=0.1)
     return rounded(fit.select("idx", metrics.residual("click", "predicted", 0.1).alias("by_rule"), "residual"))
 
@@ -283,7 +283,7 @@ def fit_metrics(spark, sf):
 def cumulative_prediction(spark, sf):
     panel = event_counts(spark, sf, THREE).select("idx", *THREE)
     chains = boost.boost_chains(moments(panel, THREE, 2), THREE, 0.1, orders=[["click", "view", "error"]])
-    rows = boost.chain_predictions(pn.lag_panel(panel, THREE, 2), chains, ["click", "view", "error"], 2)
+    rows = boost.chain_predictions(pn.lag_panel(panel, THREE, 2, whole=True), chains, ["click", "view", "error"], 2)
     preds = ["predicted_1", "predicted_2", "predicted_3"]
     return rounded(metrics.cumulative_prediction(rows, preds).select("idx", *preds, "pred_y", "last_step"))
 

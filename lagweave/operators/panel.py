@@ -230,23 +230,28 @@ def with_halo(df: DataFrame, width: int, idx: str = "idx", chunk_rows: int = CHU
 
 
 def lag_panel(df: DataFrame, variables: Sequence[str], maxlag: int, keys: Sequence[str] = (), fill: float | None = None,
-              idx: str = "idx", lags: Sequence[int] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+              idx: str = "idx", lags: Sequence[int] | None = None, chunk_rows: int = CHUNK_ROWS, whole: bool = False) -> DataFrame:
     """Add ``<var>__lag<L>`` for L in 1..maxlag (or ``lags``).
 
     A lag is the row so many positions before; a panel may begin at any position. ``fill=None`` drops the rows that
     have fewer than the deepest lag's rows before them, so nulls of the data stay visible; a number keeps all rows and fills with
-    it. A gap between positions of a chunk raises; one that ends with a chunk begins the panel anew.
+    it. A gap between positions of a chunk raises. One of ``maxlag`` rows or more that ends with a chunk is seen only if ``whole``:
+    each panel's rows are then counted against its first and last position, as ``moments`` does, and any gap raises; without it
+    the panel begins anew there. All operators and queries of this package ask for it.
     """
     wanted = list(lags or range(1, maxlag + 1))
     depth = max(wanted)
     over = f"over (partition by {', '.join([*_quoted(keys), '_chunk'])} order by `{idx}`)"
     default = "null" if fill is None else f"{float(fill)}D"
     feats = [f"lag(`{v}`, {lag}, {default}) {over} as `{lag_name(v, lag)}`" for v in variables for lag in wanted]
+    if whole:
+        full = df.groupBy(*keys).agg(F.expr(f"count(1) = max(`{idx}`) - min(`{idx}`) + 1 as _full"))
+        df = attach_by_panel(df, full, keys)
     rows = with_halo(df, depth, idx, chunk_rows).selectExpr("*", f"lag(`{idx}`, 1) {over} as _before", f"lag(`{idx}`, {depth}) {over} as _deepest", *feats)
     own = f"_chunk = floor(`{idx}` / {chunk_rows})"
-    whole = f"case when _before <> `{idx}` - 1 then cast(raise_error('{_GAP}') as boolean) else {own} end"
-    rows = rows.where(whole)
-    return (rows.where("_deepest is not null") if fill is None else rows).drop("_chunk", "_before", "_deepest")
+    gap = f"_before <> `{idx}` - 1" + (" or not _full" if whole else "")
+    rows = rows.where(f"case when {gap} then cast(raise_error('{_GAP}') as boolean) else {own} end")
+    return (rows.where("_deepest is not null") if fill is None else rows).drop("_chunk", "_before", "_deepest", "_full")
 
 
 def slice_panel(df: DataFrame, lo: int | None = None, hi: int | None = None, idx: str = "idx") -> DataFrame:
@@ -304,7 +309,7 @@ def structural_mean(df: DataFrame, model: str, keys: Sequence[str] = (), idx: st
     if model not in _MODELS:
         raise ValueError(f"unknown model {model!r}")
     names = list(_MODELS[model])
-    lagged = lag_panel(df, names, 2, keys, idx=idx)
+    lagged = lag_panel(df, names, 2, keys, idx=idx, whole=True)
     out = lagged.select("*", *[F.expr(e).alias(f"mean_{s}") for s, e in _MODELS[model].items()])
     return out.select(
         *df.columns, *[f"mean_{s}" for s in names], *[(F.col(s) - F.col(f"mean_{s}")).alias(f"eps_{s}") for s in names]

@@ -175,7 +175,7 @@ def tree_round(panel: DataFrame, label: str, variable: str, maxlag: int, depth:
 
     Returns (rows with label, prediction and residual; metrics; importances per lag).
     """
-    lagged = lag_panel(panel, [variable], maxlag, keys, fill, idx)
+    lagged = lag_panel(panel, [variable], maxlag, keys, fill, idx, whole=True)
     base = saved(binned_rows(lagged, [variable], maxlag, max_bins, keys, idx, [label]), "binned")
     started = start_round(base, [0], maxlag, [f"`{label}`"])
     rows, levels = grow_trees(started, maxlag, depth, min_leaf, keys, idx)
@@ -245,7 +245,7 @@ def _chains(stats: DataFrame, trie, orders, maxlag: int, dropped: int, keys: Seq
 
 
 def _base(panel, variables, maxlag, max_bins, keys, fill, idx):
-    lagged = lag_panel(panel.select(*keys, idx, *variables), variables, maxlag, keys, fill, idx)
+    lagged = lag_panel(panel.select(*keys, idx, *variables), variables, maxlag, keys, fill, idx, whole=True)
     return saved(binned_rows(lagged, variables, maxlag, max_bins, keys, idx), "binned")
 
 
