@@ -51,3 +51,29 @@ def _quality_sql() -> str:
 
 
 SQL["op10_quality_rules"] = _quality_sql()
+
+
+def _tails_sql() -> str:
+    """The counts of op10_quality_rules, judged by tails: quantiles of the rows that pass the base rules, and votes of the sources."""
+    counts = SQL["op10_quality_rules"].partition("\nq AS (")[0]
+    levels, metrics, failed = {"la": "lang, source", "lb": "lang", "lc": ""}, (1, 2, 3, 4), "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+    columns = "count(*) AS n, " + ", ".join(
+        f"quantile_disc(v{m}, 0.5) AS mid{m}, quantile_disc(v{m}, 0.99) - mid{m} AS up{m}, mid{m} - quantile_disc(v{m}, 0.01) AS down{m}" for m in metrics)
+    sides = [(m, d) for m in metrics for d in ("up", "down")]
+    made = [f"{k} AS (SELECT {by + ', ' if by else ''}{columns} FROM ok{' GROUP BY ' + by if by else ''})" for k, by in levels.items()]
+    middle = ", ".join(f"quantile_disc({d}{m}, 0.5) AS {d}{m}" for m, d in sides)
+    made += [f"vb AS (SELECT lang, {middle} FROM la WHERE n >= 200 GROUP BY lang HAVING count(*) >= 3)", f"vc AS (SELECT {middle} FROM la WHERE n >= 200 HAVING count(*) >= 3)"]
+    pick = lambda x: f"CASE WHEN la.n >= 200 THEN la.{x} WHEN lb.n >= 200 THEN lb.{x} ELSE lc.{x} END"
+    picked = ", ".join([f"{pick(f'mid{m}')} AS mid{m}" for m in metrics] + [f"{pick(f'{d}{m}')} AS p_{d}{m}, coalesce(vc.{d}{m}, p_{d}{m}) AS c_{d}{m}, coalesce(vb.{d}{m}, c_{d}{m}) AS b_{d}{m}" for m, d in sides])
+    made.append(f"lim AS (SELECT la.lang, la.source, {picked} FROM la JOIN lb ON la.lang IS NOT DISTINCT FROM lb.lang CROSS JOIN lc LEFT JOIN vb ON la.lang IS NOT DISTINCT FROM vb.lang LEFT JOIN vc ON true)")
+    gap = lambda m, d: f"greatest(list_sort([p_{d}{m}, b_{d}{m}, c_{d}{m}])[2], 5)"
+    inside = " AND ".join(["v1 >= mid1 - " + gap(1, "down"), *[f"v{m} <= mid{m} + {gap(m, 'up')}" for m in metrics]])
+    return f"""{counts}
+ok AS (SELECT * FROM m WHERE NOT ({failed})),
+{", ".join(made)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT ({failed}) AND coalesce({inside}, true) AS kept
+FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source
+"""
+
+
+SQL["op10_quality_rules_tails"] = _tails_sql()

@@ -94,6 +94,7 @@ def thresholds(counts: DataFrame, least_rows: int, reach: int, slack: dict[str,
     """One row per (lang, source): `low_word_length` and `high_<metric>`, inclusive limits in grid steps.
 
     A limit is the median plus (or minus) `reach` times the distance to the 75th (25th) percentile, at least the metric's slack.
+    The slacks are wide: as long as a group's quartiles lie close together, they are what decides, as fixed cutoffs (see `tail_thresholds`).
     A (lang, source) with fewer than `least_rows` rows takes the limits of its language, and that of all rows if this is small
     too: the coarser sketches are merges of the finer ones.
     """
@@ -131,11 +132,75 @@ def quality_rules(docs: DataFrame, least_rows: int = 200, reach: int = 6, slack:
     The counts are worked out once and saved; a join attaches the limits, which AQE splits where one source is large.
     """
     counts = saved(base_counts(docs), "counts")
-    limits = thresholds(counts, least_rows, reach, slack).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    return _judged(counts, thresholds(counts, least_rows, reach, slack))
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def _judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows of `counts` with base_failed and kept; a (lang, source) without limits has none to keep to."""
+    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     both = counts.join(limits, counts["lang"].eqNullSafe(F.col("_lang")) & counts["source"].eqNullSafe(F.col("_source")), "left")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = grid("word_length") >= F.col("low_word_length")
     for m in METRICS:
         inside = inside & (grid(m) <= F.col(f"high_{m}"))
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-                       (~failed & F.coalesce(inside, F.lit(True))).alias("kept"))
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed().alias("base_failed"),
+                       (~_base_failed() & F.coalesce(inside, F.lit(True))).alias("kept"))
+
+
+#: Share of a group's rows beyond each of its limits, and the smallest distance of a limit from the median, in grid steps.
+TAIL, FLOOR = 0.01, 5
+#: Sources that a language, or the table, needs for their middle distance to count.
+VOTES = 3
+
+
+def tail_thresholds(counts: DataFrame, least_rows: int, tail: float = TAIL, floor: int = FLOOR) -> DataFrame:
+    """One row per (lang, source) of rows that pass the base rules: `low_word_length` and `high_<metric>`, inclusive limits in grid steps.
+
+    A limit is the group's median plus (or minus) a distance, at least `floor`. The group's own distance is that of its 1 - `tail` (`tail`)
+    quantile from its median; a group of fewer than `least_rows` rows takes both from the sketch of its language, and of all rows if this is
+    small too. What counts is the middle one of this distance, the middle distance of the language's sources and that of all
+    sources, where each source of `least_rows` rows has one vote, however many rows it has: a dirty source, even one that holds most
+    rows, doesn't widen its own limits beyond what others have. Where fewer than VOTES sources vote, the next level's stands in.
+    """
+    fine = saved(sketch(counts.where(~_base_failed()), ["lang", "source"]), "sketch")
+    shares = {"low": tail, "mid": 0.5, "high": 1 - tail}
+
+    def level(sk: DataFrame, groups: list[str], tag: str) -> DataFrame:
+        q = quantiles(sk, groups, shares)
+        return q.select(*groups, "metric", F.struct("n", "mid", (F.col("high") - F.col("mid")).alias("up"), (F.col("mid") - F.col("low")).alias("down")).alias(tag))
+
+    def votes(groups: list[str], tag: str) -> DataFrame:
+        middle = [F.expr(f"percentile_disc(0.5) within group (order by a.{d})").cast("long").alias(d) for d in ("up", "down")]
+        made = own.where(F.col("a.n") >= least_rows).groupBy(*groups, "metric").agg(F.count("*").alias("n"), *middle)
+        return made.where(F.col("n") >= VOTES).select(*groups, "metric", F.struct("up", "down").alias(tag))
+
+    own = level(fine, ["lang", "source"], "a")
+    joined = own
+    for part in (level(merged(fine, ["lang"]), ["lang"], "b"), level(merged(fine, []), [], "c"), votes(["lang"], "vb"), votes([], "vc")):
+        part = part.withColumnRenamed("metric", "_metric")
+        on = F.col("metric") == F.col("_metric")
+        if "lang" in part.columns:
+            part = part.withColumnRenamed("lang", "_lang")
+            on = on & F.col("lang").eqNullSafe(F.col("_lang"))
+        joined = joined.join(part, on, "left").drop("_metric", "_lang")
+
+    pick = F.when(F.col("a.n") >= least_rows, F.col("a")).when(F.col("b.n") >= least_rows, F.col("b")).otherwise(F.col("c"))
+    told = joined.select("lang", "source", "metric", pick.alias("p"), "vb", "vc")
+
+    def distance(d: str) -> Column:
+        mine, table = F.col(f"p.{d}"), F.coalesce(F.col(f"vc.{d}"), F.col(f"p.{d}"))
+        three = F.sort_array(F.array(mine, F.coalesce(F.col(f"vb.{d}"), table), table))
+        return F.greatest(three[1], F.lit(floor))
+
+    made = [F.max(F.when(F.col("metric") == m, F.col("p.mid") + distance("up"))).alias(f"high_{m}") for m in METRICS]
+    made.append(F.max(F.when(F.col("metric") == "word_length", F.col("p.mid") - distance("down"))).alias("low_word_length"))
+    return told.groupBy("lang", "source").agg(*made)
+
+
+def adaptive_rules(docs: DataFrame, least_rows: int = 200, tail: float = TAIL, floor: int = FLOOR) -> DataFrame:
+    """As `quality_rules`, but the limits are the tails that the groups' sketches show, with no cutoff put in by hand; see `tail_thresholds`."""
+    counts = saved(base_counts(docs), "counts")
+    return _judged(counts, tail_thresholds(counts, least_rows, tail, floor))

@@ -40,6 +40,12 @@ def op10_quality_rules(spark, sf):
     return quality_rules.quality_rules(documents(spark, sf))
 
 
+@query
+def op10_quality_rules_tails(spark, sf):
+    """Base counts and verdict of every document, by limits from the tails of the sketches."""
+    return quality_rules.adaptive_rules(documents(spark, sf))
+
+
 @query
 def op3_suffix_dedup(spark, sf):
     """What is left of every document without byte strings of 50 that an earlier one holds."""
