@@ -100,12 +100,18 @@ def _rows(kind: int, bucket: int, arrays: list[np.ndarray]):
     return (kind, bucket, n, _packed(*arrays))
 
 
+def _report_bucket(key: np.ndarray, doc: np.ndarray) -> int:
+    """A negative bucket from all keys and documents of a report: those of many tasks spread, even where all begin with one hot key."""
+    mixed = int(np.bitwise_xor.reduce((key ^ (doc * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    return -1 - (mixed >> 48)
+
+
 def _merged_rows(parts: list[list[np.ndarray]], bucket_bits: int, keep: bool):
     """Rows of a run (kind 0) by bucket, if `keep`, and of what is to be reported (kind 1)."""
     key, doc, told = [np.concatenate(x) for x in zip(*parts, strict=True)]
     key, doc, report, starts, told = _scanned(key, doc, told)
     if report.any():
-        yield _rows(1, -1 - int(key[report][0] & np.uint64(0xFFFF)), [key[report], doc[report]])
+        yield _rows(1, _report_bucket(key[report], doc[report]), [key[report], doc[report]])
     if keep:
         key, doc = key[starts], doc[starts]
         bucket = (key >> np.uint64(64 - bucket_bits)).astype(np.int64)
