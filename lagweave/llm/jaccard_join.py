@@ -218,7 +218,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame, size: int, unique: bool) -> Dat
 
 
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: bool) -> DataFrame:
-    """a, b: linked sets; enough of them to connect all that are linked.
+    """a, b: linked sets; enough of them to connect all that are linked, not all links.
+
+    Members of one pivot are not compared with one another, nor those of two linked pivots: what is returned gives components, no counts of links.
 
     docs: doc_id, text. sets: node (hash of the set), first (smallest doc_id), n, minima, one row for each distinct set.
     """
@@ -328,7 +330,7 @@ def join_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     as one. Rows link when 100 * intersection >= percent * union. component_id is the smallest doc_id reachable by links, the
     row's own included. Null or empty texts and texts without words have empty sets and no links. Rows of equal sets are
     linked; they are searched as one. Rows without a doc_id keep a null component_id and link nothing. Rows that share a doc_id
-    belong together. An empty table gives an empty result.
+    belong together. An empty table gives an empty result. Only components are delivered: neither the links nor how many a row has.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = saved(described(docs, size), "sets")
