@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, materialize, packing, quality_crf, quality_rules, suffix_dedup, token_counts, tokens, toxicity, url_filter
+from . import binary_packing, decontaminate, jaccard_join, materialize, packing, quality_crf, quality_rules, suffix_dedup, token_counts, tokens, toxicity, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op7_token_counts(spark, sf):
 def op9_training_order(spark, sf):
     """Every sequence of 2048 tokens at its place in training order."""
     return materialize.ordered_documents(documents(spark, sf), tokens.default_path(), ORDER_KEY, end=END_OF_TEXT)
+
+
+@query
+def op12_binary_packing(spark, sf):
+    """Every piece of every document in sequences of a power of two of tokens, 2048 at most."""
+    return binary_packing.binary_sequences(documents(spark, sf), tokens.default_path("byte_bpe_50k.json"))

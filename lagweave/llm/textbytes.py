@@ -109,3 +109,78 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count)
     return np.arange(total, dtype=np.int64) + shift
+
+
+class Grown:
+    """An array that is appended to; its room doubles."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1 << 12, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, key):
+        return self.room[:self.n][key]
+
+    def append(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[:self.n], np.zeros(max(len(more), self.n), self.room.dtype)])
+        self.room[self.n:self.n + len(more)] = more
+        self.n += len(more)
+
+
+class Dictionary:
+    """Codes 0, 1, ... of byte strings, found for a whole slice at once: open addressing by hash, then the bytes are compared."""
+
+    def __init__(self):
+        self.table = np.full(1 << 12, -1, np.int32)
+        self.hashes, self.starts, self.sizes, self.data = Grown(np.uint64), Grown(np.int64), Grown(np.int64), Grown(np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Code of each range of `data`, -1 where it is unknown. Strings that share the hash of a known one are unknown too."""
+        code = self.of_hash(hashes)
+        hit = np.flatnonzero(code >= 0)
+        size, held = (end - start)[hit], code[hit]
+        same = self.sizes[held] == size
+        if not same.all():
+            code[hit[~same]] = -1
+            hit, size, held = hit[same], size[same], held[same]
+        differs = data[ranges(start[hit], size)] != self.data[ranges(self.starts[held], size)]
+        if differs.any():
+            code[hit[np.searchsorted(np.cumsum(size), np.flatnonzero(differs), side="right")]] = -1
+        return code
+
+    def of_hash(self, hashes: np.ndarray) -> np.ndarray:
+        """Code of the string with each hash, -1 where there is none."""
+        slot = hashes & np.uint64(len(self.table) - 1)
+        code = self.table[slot].astype(np.int64)
+        if not len(self):
+            return code
+        other = np.flatnonzero((code >= 0) & (self.hashes[code] != hashes))
+        while len(other):
+            slot[other] = (slot[other] + np.uint64(1)) & np.uint64(len(self.table) - 1)
+            code[other] = self.table[slot[other]]
+            other = other[(code[other] >= 0) & (self.hashes[code[other]] != hashes[other])]
+        return code
+
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        """Give the next codes, in order, to ranges with hashes that differ from one another and from all known ones."""
+        first, size = len(self), end - start
+        self.hashes.append(hashes)
+        self.starts.append(len(self.data) + np.cumsum(size) - size)
+        self.sizes.append(size)
+        self.data.append(data[ranges(start, size)])
+        if 2 * len(self) > len(self.table):
+            self.table = np.full(1 << (4 * len(self)).bit_length(), -1, np.int32)
+            first = 0
+        code = np.arange(first, len(self), dtype=np.int32)
+        slot = self.hashes[first:] & np.uint64(len(self.table) - 1)
+        while len(code):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = code[free]
+            left = self.table[slot] != code
+            code, slot = code[left], (slot[left] + np.uint64(1)) & np.uint64(len(self.table) - 1)
