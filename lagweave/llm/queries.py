@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, decontaminate, jaccard_join, materialize, packing, quality_crf, quality_rules, suffix_dedup, token_counts, tokens, toxicity, url_filter
+from . import binary_packing, decontaminate, jaccard_join, materialize, packing, quality_crf, quality_rules, spelling, suffix_dedup, token_counts, tokens, toxicity, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op9_training_order(spark, sf):
 def op12_binary_packing(spark, sf):
     """Every piece of every document in sequences of a power of two of tokens, 2048 at most."""
     return binary_packing.binary_sequences(documents(spark, sf), tokens.default_path("byte_bpe_50k.json"))
+
+
+@query
+def op13_spelling_variants(spark, sf):
+    """Every word with its more frequent neighbour, and the root that such neighbours lead to."""
+    return spelling.group_variants(documents(spark, sf))
