@@ -15,6 +15,26 @@ best AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY length(
 SELECT page_id, url, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE k = 1
 """
 
+SQL["op11_ranked_search"] = r"""
+WITH found AS (
+  SELECT d.k, d.doc_id, translate(u.t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM (SELECT row_number() OVER () AS k, doc_id, text FROM documents) d, unnest(regexp_extract_all(d.text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) u(t)),
+post AS (SELECT k, doc_id, t, count(*) AS tf FROM found GROUP BY ALL),
+size AS (SELECT k, sum(tf)::BIGINT AS n FROM post GROUP BY k),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM size),
+freq AS (SELECT t, count(*) AS df FROM post GROUP BY t),
+asked AS (
+  SELECT i.j, i.item_id, translate(u.t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM (SELECT row_number() OVER () AS j, item_id, text FROM benchmark) i, unnest(regexp_extract_all(i.text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) u(t)),
+term AS (SELECT j, item_id, t, count(*) AS q FROM asked GROUP BY ALL),
+hit AS (
+  SELECT j, item_id, k, doc_id, q * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // len))) AS s
+  FROM term JOIN freq USING (t) JOIN post USING (t) JOIN size USING (k), whole),
+total AS (SELECT j, item_id, k, doc_id, sum(s)::BIGINT AS score FROM hit GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id) AS rank FROM total WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 SQL["op10_quality_rules"] = r"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),

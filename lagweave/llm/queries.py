@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, decontaminate, jaccard_join, materialize, packing, quality_crf, quality_rules, spelling, suffix_dedup, token_counts, tokens, toxicity, url_filter
+from . import binary_packing, decontaminate, jaccard_join, materialize, packing, quality_crf, quality_rules, ranked_search, spelling, suffix_dedup, token_counts, tokens, toxicity, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op12_binary_packing(spark, sf):
 def op13_spelling_variants(spark, sf):
     """Every word with its more frequent neighbour, and the root that such neighbours lead to."""
     return spelling.group_variants(documents(spark, sf))
+
+
+@query
+def op11_ranked_search(spark, sf):
+    """The 20 documents that rank highest for every benchmark item."""
+    return ranked_search.search(documents(spark, sf), table(spark, sf, "benchmark"))
