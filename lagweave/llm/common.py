@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import time
 from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import staging
+from . import textbytes as tb
 
-__all__ = ["arrow_map", "compressed", "discard", "documents", "remove", "saved", "table", "tidy"]
+__all__ = ["arrow_map", "compressed", "discard", "documents", "remove", "saved", "shared", "table", "tidy", "where_text"]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +65,30 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterato
     return df.mapInArrow(run, schema)
 
 
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A read-only value for tasks, broadcast with its class inside, so that workers need no copy of this package; a task unpacks it once."""
+    packed, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), {}
+
+    def get():
+        if "value" not in held:
+            held["value"] = pickle.loads(packed.value)
+        return held["value"]
+
+    return get
+
+
+def where_text(docs: DataFrame, passes: Callable[[tb.Texts], np.ndarray]) -> DataFrame:
+    """The rows whose text passes, with all their columns. Only the text goes through Python; rows are filtered where they are."""
+    @F.arrow_udf("boolean")
+    def keep(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), bool)
+        for t in tb.slices(text):
+            out[t.rows] = passes(t)
+        return pa.array(out)
+
+    return docs.where(keep(F.col("text").cast("string")))
+
+
 def _array(values) -> pa.Array:
     return values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values)
 

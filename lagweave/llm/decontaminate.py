@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import arrow_map
+from .common import arrow_map, saved, shared, where_text
 from .toxicity import _GAP
 
 #: Words of a seed and of the shortest tile; share of an item's words that tiles have to cover.
@@ -30,10 +31,61 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Code points of scripts that put no spaces between words: Thai and Lao, Burmese, Khmer, kana, Chinese characters.
+_UNSPACED = [(0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x30000)]
+
+
+_TABLE: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """For each code point: 0 between words, 1 in a word (letters, marks, digits), 2 a word of its own. Beyond the table: between words."""
+    if _TABLE:
+        return _TABLE[0]
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x30000)), np.int8, 0x30000)
+    for low, high in _UNSPACED:
+        out[low:high] *= 2
+    out[ord("'")] = 1
+    _TABLE.append(np.append(out, np.int8(0)))
+    return _TABLE[0]
+
+
+def _plain_apostrophes(texts: tb.Texts) -> tb.Texts:
+    """U+2019 as the one byte of '."""
+    data = texts.data
+    at = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] == 0x99))
+    if not len(at):
+        return texts
+    data = data.copy()
+    data[at] = 0x27
+    return tb.Texts(texts.rows, np.delete(data, np.concatenate([at + 1, at + 2])), texts.cuts - 2 * np.searchsorted(at, texts.cuts))
+
+
 def _words(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (letters and digits), and the number of the first word of each row."""
+    """Hash of every word, and the number of the first word of each row.
+
+    Words are letters, marks, digits and apostrophes (of either form); characters of scripts without spaces each for itself.
+    """
+    texts = _plain_apostrophes(texts)
     data = folded(texts.data)
     start, end, first = tb.words(tb.Texts(texts.rows, data, texts.cuts), _GAP)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(at) < len(data):
+        point = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+        if len(point) == len(at):  # else bytes that are no UTF-8: they stay letters
+            kind = _kinds()[np.minimum(point, 0x30000)]
+            before = np.concatenate(([0], kind[:-1]))
+            rows = np.searchsorted(at, texts.cuts[:-1])
+            before[rows[rows < len(at)]] = 0
+            begin = (kind > 0) & ((before != 1) | (kind == 2))
+            stop = np.append(np.flatnonzero(begin | (kind == 0)), len(at))
+            inner = np.zeros(len(at) + 1, bool)
+            inner[rows] = True
+            stop = np.union1d(stop, np.flatnonzero(inner))
+            begin = np.flatnonzero(begin)
+            at = np.append(at, len(data))
+            start, end = at[begin], at[stop[np.searchsorted(stop, begin, side="right")]]
+            first = np.searchsorted(start, texts.cuts)
     return tb.Hasher(data)(start, end), first
 
 
@@ -92,6 +144,8 @@ class Index:
     seeds: np.ndarray
     cuts: np.ndarray
     items: np.ndarray
+    #: Items shorter than a seed, by their number of words: sorted hashes of the whole item, and which item it is.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(ids: list[int], words: list[np.ndarray]) -> Index:
@@ -100,11 +154,28 @@ class Index:
         item = np.repeat(np.arange(len(words)), [len(g) for g in grams])
         order = np.argsort(seed, kind="stable")
         seeds, starts = np.unique(seed[order], return_index=True)
-        return Index(ids, words, seeds, np.append(starts, len(seed)), item[order])
+        short = {}
+        for size in range(1, SEED):
+            if own := [i for i, w in enumerate(words) if len(w) == size]:
+                whole = np.concatenate([tb.gram_hashes(words[i], size) for i in own])
+                by_hash = np.argsort(whole, kind="stable")
+                short[size] = (whole[by_hash], np.array(own)[by_hash])
+        return Index(ids, words, seeds, np.append(starts, len(seed)), item[order], short)
 
     def found(self, texts: tb.Texts, covered: float) -> Iterator[tuple[int, int, list[int]]]:
         """(row, item, tile lengths) of each pair whose tiles cover enough of the item."""
         word, first = _words(texts)
+        for size, (whole, items) in self.short.items():
+            gram = tb.gram_hashes(word, size)
+            low, high = np.searchsorted(whole, gram), np.searchsorted(whole, gram, side="right")
+            place = np.flatnonzero(high > low)
+            row = np.searchsorted(first, place, side="right") - 1
+            place, row = place[place + size <= first[row + 1]], row[place + size <= first[row + 1]]
+            many = (high - low)[place]
+            pairs = np.unique(np.stack([np.repeat(row, many), items[tb.ranges(low[place], many)]]), axis=1)
+            yield from ((r, i, [size]) for r, i in pairs.T.tolist())
+        if not len(self.seeds):
+            return
         gram = tb.gram_hashes(word, SEED)
         at = np.minimum(np.searchsorted(self.seeds, gram), len(self.seeds) - 1)
         place = np.flatnonzero(self.seeds[at] == gram)
@@ -137,12 +208,12 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Index]:
-    """The test items in blocks of bounded size, one after the other. Items of fewer than SEED words are too short to tell."""
+    """The test items in blocks of bounded size, one after the other. Items without words are left out."""
     ids, words, total = [], [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     for row in rows.toLocalIterator():
         own, _ = _words(next(tb.slices(pa.array([row[1]], pa.string()))))
-        if len(own) < SEED:
+        if not len(own):
             continue
         ids.append(row[0])
         words.append(own)
@@ -157,43 +228,42 @@ def indexes(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[In
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, item_words, covered (words in tiles), tiles, longest, coverage of each document and test item it holds.
 
-    A document holds an item if tiles of SEED words or more cover `covered` of the item's words, in any order. Words are runs of letters
-    and digits, whatever their case; punctuation and white space don't count. Null and empty texts hold nothing; items that are null
-    or shorter than SEED words are held by none. Every row and item is judged by itself: repeated rows give repeated pairs, and
+    A document holds an item if tiles of SEED words or more cover `covered` of the item's words, in any order; an item of fewer words, if it holds
+    all of them in a row. Words are runs of letters and digits, small or capital (A-Z and Latin-1); punctuation and white space of any script don't count, and in scripts
+    without spaces each character is a word. Null and empty texts hold nothing; items without words are held by none. Every row and item is judged by itself: repeated rows give repeated pairs, and
     so do repeated items. Other columns are left out; either table may be empty.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = spark.createDataFrame([], _PAIRS)
     for index in indexes(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(index)
+        get = shared(spark, index)
 
-        def fn(batch, shared=shared):
+        def fn(batch, get=get):
             for t in tb.slices(batch.column(1)):
-                found = list(shared.value.found(t, covered))
+                index = get()
+                found = list(index.found(t, covered))
                 ids = batch.column(0).slice(t.rows.start, len(t))
-                size = [len(shared.value.words[i]) for _, i, _ in found]
+                size = [len(index.words[i]) for _, i, _ in found]
                 total = [sum(x) for *_, x in found]
-                yield {"doc_id": ids.take(pa.array([r for r, *_ in found], pa.int64())), "item_id": pa.array([shared.value.ids[i] for _, i, _ in found], pa.int64()),
+                yield {"doc_id": ids.take(pa.array([r for r, *_ in found], pa.int64())), "item_id": pa.array([index.ids[i] for _, i, _ in found], pa.int64()),
                        "item_words": pa.array(size, pa.int32()), "covered": pa.array(total, pa.int32()), "tiles": pa.array([len(x) for *_, x in found], pa.int32()),
                        "longest": pa.array([max(x) for *_, x in found], pa.int32()), "coverage": pa.array([n / s for n, s in zip(total, size, strict=True)], pa.float64())}
 
-        out = out.unionByName(arrow_map(texts, _PAIRS, fn))
+        # Each block's pairs are saved before the next block is sent, so that one index is in memory at a time.
+        out = out.unionByName(saved(arrow_map(texts, _PAIRS, fn), "pairs"))
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no test item; see `contaminated_pairs`. Nothing is shuffled."""
-    place = docs.columns.index("text")
-    for index in indexes(benchmark, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for k, index in enumerate(indexes(benchmark, block_words)):
+        get = shared(docs.sparkSession, index)
 
-        def fn(batches, shared=shared):
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for t in tb.slices(batch.column(place)):
-                    clean[[t.rows.start + r for r, *_ in shared.value.found(t, covered)]] = False
-                yield batch.filter(pa.array(clean))
+        def clean(t, get=get):
+            out = np.ones(len(t), bool)
+            out[[r for r, *_ in get().found(t, covered)]] = False
+            return out
 
-        docs = docs.mapInArrow(fn, docs.schema)
+        docs = where_text(saved(docs, "undecided") if k else docs, clean)
     return docs

@@ -118,7 +118,7 @@ def pack(parts: DataFrame, size: int = 2048) -> DataFrame:
     ranked = ranked.join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_in"))
     # A length has at most as many places as there are patterns; their starts in order find a row's place without a range join.
     by_place = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "first", "offset"))).alias("_places"))
-    found = ranked.join(by_place, "length").withColumn("_place", F.expr(
+    found = ranked.join(F.broadcast(by_place), "length").withColumn("_place", F.expr(
         "element_at(filter(_places, p -> p.low <= _rank and _rank < p.high), 1)"))
     return found.select(*[F.col(f"`{c}`") for c in parts.columns], (F.col("_place.first") + F.col("_rank") - F.col("_place.low")).alias("sequence_id"),
                         F.col("_place.offset").alias("offset"))

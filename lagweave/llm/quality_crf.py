@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import arrow_map
+from .common import arrow_map, shared, where_text
 from .fitting import is_held_out, labelled_sample, logistic, sample_texts
 
-#: Documents of each label that the field is fitted on, and lines that each of them lends.
-FIT_DOCS, FIT_LINES = 2_000, 200
+#: Labelled documents of each class that the model is fitted on, with their whole texts.
+FIT_DOCS = 2000
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -172,20 +172,20 @@ def fit_field(rows: list[tuple[int, np.ndarray, np.ndarray]], counts: dict[int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, fold: int = 2, per_class: int = FIT_DOCS) -> Field:
-    """Fit on at most `per_class` labelled documents of each class outside the held-out fold, and FIT_LINES lines of each."""
+    """Fit on at most `per_class` labelled documents of each class outside the held-out fold, with their whole texts: a few bytes a line reach the driver."""
     sample, counts = labelled_sample(labels, label, folds, fold, per_class)
 
     def fn(batch):
         for t in tb.slices(batch.column(1)):
             features, length, first = line_features(t)
-            ends = np.minimum(first[1:], first[:-1] + FIT_LINES)
-            yield {"label": batch.column(2).slice(t.rows.start, len(t)), "lines": pa.array((ends - first[:-1]), pa.int64()),
-                   "features": [features[a:b].astype(np.uint8).tobytes() for a, b in zip(first[:-1], ends, strict=True)],
-                   "length": [length[a:b].tobytes() for a, b in zip(first[:-1], ends, strict=True)]}
+            bits = np.packbits(features.astype(bool), axis=1)
+            spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+            yield {"label": batch.column(2).slice(t.rows.start, len(t)), "features": [bits[a:b].tobytes() for a, b in spans], "length": [length[a:b].astype(np.float32).tobytes() for a, b in spans]}
 
-    rows = arrow_map(sample_texts(docs, sample), "label int, lines long, features binary, length binary", fn).collect()
+    rows = arrow_map(sample_texts(docs, sample), "label int, features binary, length binary", fn).collect()
     rows = sorted((r["label"], bytes(r["features"]), bytes(r["length"])) for r in rows)
-    return fit_field([(y, np.frombuffer(f, np.uint8).reshape(-1, WIDTH).astype(np.float32), np.frombuffer(n)) for y, f, n in rows], counts)
+    wide = -(-WIDTH // 8)
+    return fit_field([(y, np.unpackbits(np.frombuffer(f, np.uint8).reshape(-1, wide), axis=1)[:, :WIDTH].astype(np.float32), np.frombuffer(n, np.float32).astype(float)) for y, f, n in rows], counts)
 
 
 def classify(docs: DataFrame, model: Field, folds: int = 4, fold: int = 2, limit: float = 0.7) -> DataFrame:
@@ -194,11 +194,11 @@ def classify(docs: DataFrame, model: Field, folds: int = 4, fold: int = 2, limit
     Lines are cut at newlines; those without a word are passed over. A text without words (null and empty ones too) gets the smoothed share of
     label 1. Null ids are not held out. Equal texts get equal scores; an empty table gives an empty result. Other columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    field = shared(docs.sparkSession, model)
 
     def fn(batch):
         for t in tb.slices(batch.column(1)):
-            yield {"doc_id": batch.column(0).slice(t.rows.start, len(t)), "score": shared.value.score(t)}
+            yield {"doc_id": batch.column(0).slice(t.rows.start, len(t)), "score": field().score(t)}
 
     scored = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, score double", fn)
     return scored.select("doc_id", is_held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
@@ -206,13 +206,5 @@ def classify(docs: DataFrame, model: Field, folds: int = 4, fold: int = 2, limit
 
 def accepted(docs: DataFrame, model: Field, limit: float = 0.7) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text scores `limit` or more; see `classify`. Nothing is shuffled."""
-    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-
-    def fn(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for t in tb.slices(batch.column(place)):
-                keep[t.rows] = shared.value.score(t) >= limit
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(fn, docs.schema)
+    field = shared(docs.sparkSession, model)
+    return where_text(docs, lambda t: field().score(t) >= limit)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import arrow_map
+from .common import arrow_map, shared
 from .fitting import is_held_out, labelled_sample, logistic, sample_texts
 
 #: Documents of each label that lexicon and weights are fitted on; entries of the lexicon.
@@ -268,11 +268,11 @@ def score_documents(docs: DataFrame, model: Grammar, folds: int = 5, fold: int =
     Texts in which no clause matches (null and empty ones too) all get the score of no match. Null ids are not held out. Equal
     texts get equal scores; an empty table gives an empty result. Other columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    grammar = shared(docs.sparkSession, model)
 
     def fn(batch):
         for t in tb.slices(batch.column(1)):
-            yield {"doc_id": batch.column(0).slice(t.rows.start, len(t)), "score": shared.value.score(t)}
+            yield {"doc_id": batch.column(0).slice(t.rows.start, len(t)), "score": grammar().score(t)}
 
     scored = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, score double", fn)
     return scored.select("doc_id", is_held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))

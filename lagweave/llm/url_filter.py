@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that one broadcast trie may hold (about 100 MB); a longer list has to be split and matched in turns.
+from .common import saved, shared
+
+#: Rules that one broadcast trie holds (about 100 MB); a longer list is matched in turns.
 MAX_RULES = 1_000_000
 Rule = tuple[str, str, str]
 
@@ -44,7 +47,7 @@ class Trie:
                 ends[last] = (verdict, host + path)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """Verdict and text of the longest rule that fits: the more host labels first, then the longer path."""
+        """Verdict and text of the longest rule that fits, counted over host and path; of equally long ones that of the most host labels."""
         nodes = [self.root]
         for label in reversed(host.split(".")) if host else []:
             if (node := nodes[-1].get(label)) is None:
@@ -69,24 +72,37 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
 
     `rules` are (verdict, host, path). The longest rule wins, counted over host and path; of equal rules block wins. A null or empty
     url, or one without `://`, has an empty host and path and gets the default verdict; so do hosts with empty labels that no rule
-    names. Repeated pages get equal verdicts. The trie is built once and sent to every worker; its size is bounded by MAX_RULES.
+    names. Repeated pages get equal verdicts. Tries of MAX_RULES rules are sent to the workers one after the other; the longest rule of all wins.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; one trie holds at most {MAX_RULES}")
     if bad := [r for r in rules if r[0] not in ("allow", "block")]:
         raise ValueError(f"verdicts are allow and block: {bad[:3]}")
-    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
     host, path = url_parts(F.col(f"`{url}`"))
-
-    @F.pandas_udf("struct<verdict string, rule string>")
-    def judged(hosts, paths):
-        import pandas as pd
-
-        match = trie.value.match
-        found = [match(h, p) or (default, None) for h, p in zip(hosts, paths, strict=True)]
-        return pd.DataFrame(found, columns=["verdict", "rule"])
-
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    split = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
-    hit = split.withColumn("_hit", judged("host", "path"))
-    return hit.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("_hit.rule").alias("rule"), F.col("_hit.verdict").alias("verdict"))
+    now = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    # Equal rules meet in one trie, where block wins.
+    rules = sorted(rules, key=lambda r: r[1:])
+    step, at = MAX_RULES, 0
+    while at < len(rules):
+        to = min(len(rules), at + step)
+        while to < len(rules) and rules[to][1:] == rules[to - 1][1:]:
+            to += 1
+        now = _judged(now if not at else saved(now, "verdicts"), rules[at:to])
+        at = to
+    return now.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+
+
+def _judged(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """`rule` and `verdict`, replaced where a rule of these is longer than the one found before."""
+    trie = shared(pages.sparkSession, Trie(rules))
+
+    @F.arrow_udf("struct<verdict string, rule string>")
+    def judged(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        match = trie().match
+        found = [match(h, p) or (None, None) for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([v for v, _ in found], pa.string()), pa.array([r for _, r in found], pa.string())], ["verdict", "rule"])
+
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("rule", "verdict")]
+    hit = pages.select(*rest, F.struct("rule", "verdict").alias("rule"), judged("host", "path").alias("verdict"))
+    better = F.coalesce(F.length("verdict.rule") > F.length("rule.rule"), F.col("verdict.rule").isNotNull())
+    return hit.select(*rest, F.when(better, F.col("verdict.rule")).otherwise(F.col("rule.rule")).alias("rule"),
+                      F.when(better, F.col("verdict.verdict")).otherwise(F.col("rule.verdict")).alias("verdict"))

@@ -82,3 +82,15 @@ def test_empty_tables(spark):
     assert dc.contaminated_pairs(docs.limit(0), bench).count() == dc.contaminated_pairs(docs, bench.limit(0)).count() == 0
     assert dc.contaminated_pairs(docs.union(docs), bench).count() == 2
     assert dc.decontaminated(docs, bench.limit(0)).count() == 1
+
+
+def test_short_items_punctuation_and_scripts_without_spaces(spark):
+    items = spark.createDataFrame([(1, "four words stand here"), (2, "Well, it’s “done” — she said so at last"), (3, "今天天气很好我们去公园"), (4, "..."), (5, "é")], "item_id long, text string")
+    rows = [(1, "x four WORDS, stand here y"), (2, "four words stand"), (3, 'well it\'s "done" - she said so at last!'), (4, "前今天天气很好我们去公园了"), (5, "今天天气"),
+            (6, "É"), (7, "été"), (8, None), (9, "four words\nstand here four words stand here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated_pairs(docs, items).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (6, 5), (9, 1)}
+    for block in (1, 10 ** 6):
+        assert {r["doc_id"] for r in dc.decontaminated(docs, items, block_words=block).collect()} == {2, 5, 7, 8}
+        assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated_pairs(docs, items, block_words=block).collect()} == got
