@@ -6,6 +6,8 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as driver
+from lagweave.checks import oracle
+from lagweave.checks import queries as catalog
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
@@ -31,7 +33,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(catalog.QUERIES) == set(oracle.all_sql())
 
 
 @needs_data
