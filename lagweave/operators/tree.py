@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.orders import check_variables, text_array
+from . import forest
 from .boost import chain_f_test
 from .graph import cause_tests, significant
-from .panel import SALTS, attach_by_panel, lag_name, lag_panel
+from .panel import SALTS, attach_by_panel, lag_name, lag_names, lag_panel, null_safe_join
 from .staging import cut, saved
 
 # About 6 MB of split rows; beyond it the join is a salted shuffle.
@@ -176,6 +177,14 @@ def tree_round(panel: DataFrame, label: str, variable: str, maxlag: int, depth:
     Returns (rows with label, prediction and residual; metrics; importances per lag).
     """
     lagged = lag_panel(panel, [variable], maxlag, keys, fill, idx, whole=True)
+    if forest.fits(maxlag, max_bins):
+        cuts = saved(split_points(lagged, lag_names(variable, maxlag), max_bins, keys), "thresholds")
+        chunks = forest.packed_chunks(lagged, cuts, [variable], maxlag, keys, idx, [label])
+        state = forest.grow_round(chunks, None, [[variable]], [variable], maxlag, max_bins, [], depth, min_leaf, keys, label)
+        metrics = state.selectExpr(*_cols(keys), "element_at(prefix, -1) as x_name", "n", "mse", "1 - try_divide(mse, var) as r2")
+        shares = state.selectExpr(*_cols(keys), "aggregate(gains, 0D, (a, x) -> a + x) as _all", "posexplode(gains) as (_at, _gain)").where("_gain > 0")
+        shares = shares.selectExpr(*_cols(keys), "_at + 1 as lag", "_gain / _all as importance")
+        return forest.predicted_rows(chunks, state, label, variable, maxlag, max_bins, keys, idx), metrics, shares
     base = saved(binned_rows(lagged, [variable], maxlag, max_bins, keys, idx, [label]), "binned")
     started = start_round(base, [0], maxlag, [f"`{label}`"])
     rows, levels = grow_trees(started, maxlag, depth, min_leaf, keys, idx)
@@ -249,14 +258,42 @@ def _base(panel, variables, maxlag, max_bins, keys, fill, idx):
     return saved(binned_rows(lagged, variables, maxlag, max_bins, keys, idx), "binned")
 
 
+def _lagged(panel, variables, maxlag, keys, fill, idx):
+    return lag_panel(panel.select(*keys, idx, *variables), variables, maxlag, keys, fill, idx, whole=True)
+
+
+def _cuts(lagged, variables, maxlag, max_bins, keys):
+    return saved(split_points(lagged, [n for v in variables for n in lag_names(v, maxlag)], max_bins, keys), "thresholds")
+
+
+def _stored_chains(state: DataFrame, orders: Sequence[Sequence[str]], maxlag: int, dropped: int, keys: Sequence[str]) -> DataFrame:
+    """The trees of a state, joined to the orders that use them: the same table as the linear chains."""
+    k = _cols(keys)
+    plan = state.sparkSession.createDataFrame([(i, list(o)) for i, o in enumerate(orders)], "test_id long, order array<string>")
+    steps = plan.selectExpr("test_id", "order", "explode(sequence(1, size(order))) as round").selectExpr("*", "slice(order, 1, round) as prefix")
+    rows = state.join(steps, ["round", "prefix"]).selectExpr(*k, "test_id", "order", "n", "struct(round, element_at(prefix, -1) as x_name, mse, 1 - try_divide(mse, var) as r2) as r")
+    rounds = rows.groupBy(*keys, "test_id", "order").agg(F.sort_array(F.collect_list("r")).alias("rounds"), F.max("n").alias("n"))
+    return rounds.selectExpr(*k, "test_id", "order[0] as effect", "element_at(order, -1) as cause", "order", f"{maxlag} as p", "n", f"n + {dropped} as n_rows", "rounds")
+
+
 def tree_chains(panel: DataFrame, variables: Sequence[str], maxlag: int, v: float = 0.1, keys: Sequence[str] = (),
                 fill: float | None = None, orders: Sequence[Sequence[str]] | None = None, depth: int = 6, min_leaf: int = 10,
-                max_bins: int = 32, idx: str = "idx") -> DataFrame:
-    """Tree boosting chains, one row per panel and order, with the MSE and R² of each round."""
+                max_bins: int = 32, idx: str = "idx", state_path: str | None = None) -> DataFrame:
+    """Tree boosting chains, one row per panel and order, with the MSE and R² of each round. ``state_path`` keeps the trees for increments."""
     names, plan = list(variables), [list(o) for o in orders] if orders else all_orders(variables)
+    dropped = maxlag if fill is None else 0
+    if forest.fits(maxlag, max_bins):
+        lagged = _lagged(panel, names, maxlag, keys, fill, idx)
+        cuts = _cuts(lagged, names, maxlag, max_bins, keys)
+        state = forest.grow_chains(forest.packed_chunks(lagged, cuts, names, maxlag, keys, idx), plan, names, maxlag, max_bins, v, depth, min_leaf, keys)
+        if state_path:
+            forest.write_state(state, cuts, names, maxlag, max_bins, state_path)
+        return _stored_chains(state, plan, maxlag, dropped, keys)
+    if state_path:
+        raise ValueError(f"states are kept up to {forest.MOST_CELLS} cells: fewer lags or bins")
     base = _base(panel, names, maxlag, max_bins, keys, fill, idx)
     stats, _, trie = _run_chains(base, names, plan, maxlag, v, depth, min_leaf, keys, idx)
-    return _chains(stats, trie, plan, maxlag, maxlag if fill is None else 0, keys)
+    return _chains(stats, trie, plan, maxlag, dropped, keys)
 
 
 def tree_chain_tests(panel: DataFrame, variables: Sequence[str], maxlag: int, v: float = 0.1, keys: Sequence[str] = (),
@@ -273,6 +310,11 @@ def incremental_tree_tests(panel: DataFrame, old: Sequence[str], new_var: str, m
     if mode not in ("replace", "condition"):
         raise ValueError("mode must be 'replace' or 'condition'")
     names, k, dropped = [*old, new_var], len(old) + 1, maxlag if fill is None else 0
+    if forest.fits(maxlag, max_bins):
+        lagged = _lagged(panel, names, maxlag, keys, fill, idx)
+        chunks = forest.packed_chunks(lagged, _cuts(lagged, names, maxlag, max_bins, keys), names, maxlag, keys, idx)
+        state = forest.grow_chains(chunks, all_orders(old), names, maxlag, max_bins, v, depth, min_leaf, keys)
+        return _increment(chunks, state, old, new_var, maxlag, alpha, k_cause, v, keys, dropped, mode, all_tests, n, depth, min_leaf, max_bins)
     base, plan = _base(panel, names, maxlag, max_bins, keys, fill, idx), all_orders(old)
     stats, rows, trie = _run_chains(base, names, plan, maxlag, v, depth, min_leaf, keys, idx)
     tests = cut(chain_f_test(_chains(stats, trie, plan, maxlag, dropped, keys), k, keys, n))
@@ -299,3 +341,46 @@ def incremental_tree_tests(panel: DataFrame, old: Sequence[str], new_var: str, m
     joined = fits.select(*keys, "test_id", F.lit(maxlag).alias("p"), "n", (F.col("n") + dropped).alias("n_rows"),
                          F.col("mse").alias("mse_all"), *([] if mode == "replace" else ["mse_prev"])).join(before, [*keys, "test_id"])
     return existing, effect, cause_tests(joined, new_var, k_cause, keys, n)
+
+
+def _increment(chunks, state, old, new_var, maxlag, alpha, k_cause, v, keys, dropped, mode, all_tests, n, depth, min_leaf, max_bins):
+    """The three parts of an increment from packed chunks of all variables and the trees of the old ones, which stay as they are."""
+    names, k, plan = [*old, new_var], len(old) + 1, all_orders(old)
+    tests = cut(chain_f_test(_stored_chains(state, plan, maxlag, dropped, keys), k, keys, n))
+    existing = significant(tests, alpha)
+    longer = [[new_var, *o] for o in plan]
+    grown = forest.grow_chains(chunks, longer, names, maxlag, max_bins, v, depth, min_leaf, keys)
+    effect = chain_f_test(_stored_chains(grown, longer, maxlag, dropped, keys), k, keys, n)
+
+    # At most one id per order of the plan comes to the driver; only those chains are grown one round further.
+    wanted = list(range(len(plan))) if all_tests else sorted(r[0] for r in existing.select("test_id").distinct().collect())
+    if not wanted:
+        return existing, effect, existing.limit(0)
+    last = 0.0 if mode == "replace" else v if len(old) > 1 else 1.0
+    shrinks = [*[1.0, *[v] * len(old)][:len(old) - 1], last]
+    fits = forest.grow_round(chunks, state, [[*plan[t], new_var] for t in wanted], names, maxlag, max_bins, shrinks, depth, min_leaf, keys)
+    ids = state.sparkSession.createDataFrame([(t, [*plan[t], new_var]) for t in wanted], "test_id long, prefix array<string>")
+    fits = fits.join(ids, "prefix").selectExpr(*_cols(keys), "test_id", f"{maxlag} as p", "n", f"n + {dropped} as n_rows", "mse as mse_all", "var as label_mse")
+    before = (tests if all_tests else existing).select(*keys, "test_id", "effect", "order", F.col("mse_all").alias("mse_prev"))
+    joined = null_safe_join(fits, before, keys, also=["test_id"])
+    # Conditioned on what the old last round left, the error to beat is that of its label about its own mean.
+    joined = joined.drop("label_mse") if mode == "replace" else joined.drop("mse_prev").withColumnRenamed("label_mse", "mse_prev")
+    return existing, effect, cause_tests(joined, new_var, k_cause, keys, n)
+
+
+def incremental_tree_from_state(panel: DataFrame, path: str, old: Sequence[str], new_var: str, maxlag: int, alpha: float, k_cause: int,
+                                v: float = 0.1, keys: Sequence[str] = (), fill: float | None = None, mode: str = "replace",
+                                all_tests: bool = False, n: str = "all", depth: int = 7, min_leaf: int = 10, max_bins: int = 32, idx: str = "idx"):
+    """As `incremental_tree_tests`, with the old variables' trees read from ``path`` (see ``tree_chains``): none of them is grown again.
+
+    ``panel`` holds the old variables as they were and the new one. Bins of the old variables are those of the stored trees.
+    """
+    if mode not in ("replace", "condition"):
+        raise ValueError("mode must be 'replace' or 'condition'")
+    names = [*old, new_var]
+    state, cuts = forest.read_state(panel.sparkSession, path, old, maxlag, max_bins)
+    lagged = _lagged(panel, names, maxlag, keys, fill, idx)
+    own = _cuts(lagged, [new_var], maxlag, max_bins, keys).withColumnRenamed("thresholds", "_new")
+    cuts = null_safe_join(own, cuts, keys).selectExpr(*_cols(keys), "concat(thresholds, _new) as thresholds")
+    chunks = forest.packed_chunks(lagged, cuts, names, maxlag, keys, idx)
+    return _increment(chunks, state, old, new_var, maxlag, alpha, k_cause, v, keys, maxlag if fill is None else 0, mode, all_tests, n, depth, min_leaf, max_bins)
