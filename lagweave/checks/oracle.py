@@ -347,9 +347,15 @@ def tree_chain(orders: Sequence[Sequence[str]], v: float, depth: int, tag: str =
     return parts
 
 
-def _tree_graph() -> str:
-    orders = _orders(THREE)
-    return with_([*eh(), *tree_chain(orders, 0.1, 2), *tested(orders, 3)], test_view(where="where p_value < 0.5"))
+def _tree_graph(names: Sequence[str], depth: int) -> str:
+    orders = _orders(names)
+    return with_([*eh(), *tree_chain(orders, 0.1, depth), *tested(orders, len(names))], test_view(where="where p_value < 0.5"))
+
+
+def _ar_trees(depth: int) -> str:
+    each = [with_(_one_tree(v, v, depth, lags=3, min_leaf=1), f"select '{v}' as variable, count(*) as n, {r('avg(pow(label - pred, 2))', 'mse')}, "
+                  f"{r('1 - avg(pow(label - pred, 2)) / var_pop(label)', 'r2')} from tr") for v in EVENTS]
+    return " union all ".join(f"select * from ({x})" for x in each)
 
 
 def _tree_incremental() -> str:
@@ -691,7 +697,10 @@ def all_sql() -> dict[str, str]:
         "tree_importances": _importances(),
         "ar_tree": with_(_one_tree("click", "click", 4, lags=3, min_leaf=1),
                          f"select count(*) as n, {r('avg(pow(label - pred, 2))', 'mse')}, {r('1 - avg(pow(label - pred, 2)) / var_pop(label)', 'r2')} from tr"),
-        "causality_graph_tree": _tree_graph(),
+        "causality_graph_tree": _tree_graph(THREE, 2),
+        "causality_graph_tree_five": _tree_graph(EVENTS, 6),
+        "ar_tree_five": _ar_trees(5),
+        "incremental_tree_from_state": _tree_incremental(),
         "incremental_tree": _tree_incremental(),
         "var_dims": with_(eh(), " union all ".join(
             f"select {p}::bigint as p, 5::bigint as k, count(*) - {p} as nobs, {1 + 5 * p}::bigint as df_model, count(*) - {p + 1 + 5 * p} as df_resid from p"

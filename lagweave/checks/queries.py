@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,17 +165,17 @@ def calendar_daily(spark, sf):
 
 @query
 def lag_zero_fill(spark, sf):
-    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, fill=0.0, whole=True)
+    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, fill=0.0)
 
 
 @query
 def lag_drop(spark, sf):
-    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 3, whole=True)
+    return pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 3)
 
 
 @query
 def lag_features(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, whole=True)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
     out = lagged.select("idx", pn.feature_array("view", 2).alias("features"))
     return out.select("idx", F.element_at("features", 1).alias("f1"), F.element_at("features", 2).alias("f2"))
 
@@ -182,13 +183,13 @@ def lag_features(spark, sf):
 @query
 def lag_grouped(spark, sf):
     days = daily_shipments(spark, sf, ["l_linenumber"], ["af", "no"]).select("l_linenumber", "idx", "af", "no")
-    return pn.lag_panel(days, ["af", "no"], 2, ["l_linenumber"], whole=True)
+    return pn.lag_panel(days, ["af", "no"], 2, ["l_linenumber"])
 
 
 @query
 def lag_chunked(spark, sf):
     days = daily_shipments(spark, sf, names=["af", "no"]).select("idx", "af", "no")
-    return pn.lag_panel(days, ["af", "no"], 3, chunk_rows=100, whole=True)
+    return pn.lag_panel(days, ["af", "no"], 3, chunk_rows=100)
 
 
 @query
@@ -213,7 +214,7 @@ def _middle(spark, sf) -> DataFrame:
 
 @query
 def lag_of_slice(spark, sf):
-    return pn.lag_panel(_middle(spark, sf).select("idx", *EVENTS), EVENTS, 2, chunk_rows=64, whole=True)
+    return pn.lag_panel(_middle(spark, sf).select("idx", *EVENTS), EVENTS, 2, chunk_rows=64)
 
 
 @query
@@ -251,13 +252,13 @@ QUERIES["structural_mean_nonlinear2"] = _structural("nonlinear2")
 
 
 def _click_round(spark, sf) -> DataFrame:
-    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, whole=True)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
     return boost.boost_round(lagged, "click", "click", 2)
 
 
 @query
 def ols_fit_lag2(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, whole=True)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
     fit = boost.ols_fit(lagged, "click", pn.lag_names("view", 2))
     return rounded(fit.select("n", "intercept", F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2"), "mse", "r2"))
 
@@ -269,7 +270,7 @@ def ols_residual_lag2(spark, sf):
 
 @query
 def shrunk_residual(spark, sf):
-    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2, whole=True)
+    lagged = pn.lag_panel(event_counts(spark, sf, TWO).select("idx", *TWO), TWO, 2)
     fit = boost.boost_round(lagged, "click", "view", 2, v=0.1)
     return rounded(fit.select("idx", metrics.residual("click", "predicted", 0.1).alias("by_rule"), "residual"))
 
@@ -283,7 +284,7 @@ def fit_metrics(spark, sf):
 def cumulative_prediction(spark, sf):
     panel = event_counts(spark, sf, THREE).select("idx", *THREE)
     chains = boost.boost_chains(moments(panel, THREE, 2), THREE, 0.1, orders=[["click", "view", "error"]])
-    rows = boost.chain_predictions(pn.lag_panel(panel, THREE, 2, whole=True), chains, ["click", "view", "error"], 2)
+    rows = boost.chain_predictions(pn.lag_panel(panel, THREE, 2), chains, ["click", "view", "error"], 2)
     preds = ["predicted_1", "predicted_2", "predicted_3"]
     return rounded(metrics.cumulative_prediction(rows, preds).select("idx", *preds, "pred_y", "last_step"))
 
@@ -505,6 +506,29 @@ def incremental_tree(spark, sf):
     return _edge_view(_incremental(spark, sf, learner="tree", depth=2))
 
 
+@query
+def causality_graph_tree_five(spark, sf):
+    """All five event types at the depth and leaf size of production."""
+    edges = graph.causality_graph(event_counts(spark, sf), EVENTS, 2, alpha=0.5, v=0.1, learner="tree", depth=6)
+    return rounded(joined_order(edges.select(*_TEST_COLS)))
+
+
+@query
+def ar_tree_five(spark, sf):
+    """Autoregressive trees of all event types at depth 5."""
+    panel = event_counts(spark, sf)
+    fits = [tree.ar_tree(panel, v, 3, depth=5)[1].select(F.lit(v).alias("variable"), "n", "mse", "r2") for v in EVENTS]
+    return rounded(reduce(DataFrame.unionByName, fits))
+
+
+@query
+def incremental_tree_from_state(spark, sf):
+    """The trees of two variables are written; the third is added to what is read back."""
+    panel, path = event_counts(spark, sf, THREE), scratch_path(spark, "tree-state")
+    tree.tree_chains(panel.select("idx", *TWO), TWO, 2, 0.1, depth=2, state_path=path)
+    return _edge_view(_incremental(spark, sf, learner="tree", depth=2, state_path=path))
+
+
 # --- vector autoregressions -------------------------------------------------
 
 

@@ -136,21 +136,24 @@ def causality_state(moment_table: DataFrame, old: Sequence[str], v: float = 0.1,
 def incremental_graph(panel: DataFrame, old: Sequence[str], new_var: str, maxlag: int, alpha: float = 0.05, v: float = 0.1,
                       keys: Sequence[str] = (), fill: float | None = None, mode: str = "replace", all_tests: bool = False,
                       k_override: int | None = None, n: str = "all", learner: str = "linear", idx: str = "idx",
-                      **tree) -> DataFrame:
+                      state_path: str | None = None, **tree) -> DataFrame:
     """Graph of the old variables plus the edges a new variable adds.
 
     New-as-cause is tested on the old tests that were significant (``all_tests``
     lifts that). In the cause pass the count of variables is one above the
-    panel's in ``mode='replace'``; ``k_override`` sets it.
+    panel's in ``mode='replace'``; ``k_override`` sets it. With the tree learner, ``state_path`` names the folder in which ``tree_chains``
+    kept the old variables' trees; they are read from there instead of grown again.
     """
+    if state_path and learner != "tree":
+        raise ValueError("only trees are kept in a folder")
     k = len(old) + 1
     k_cause = k_override or (k + 1 if mode == "replace" else k)
     if learner == "tree":
-        from .tree import incremental_tree_tests
+        from .tree import incremental_tree_from_state, incremental_tree_tests
 
-        existing, effect, cause = incremental_tree_tests(
-            panel, old, new_var, maxlag, alpha, k_cause, v=v, keys=keys, fill=fill, mode=mode, all_tests=all_tests, n=n,
-            idx=idx, **tree)
+        how = {"v": v, "keys": keys, "fill": fill, "mode": mode, "all_tests": all_tests, "n": n, "idx": idx, **tree}
+        existing, effect, cause = incremental_tree_from_state(panel, state_path, old, new_var, maxlag, alpha, k_cause, **how) if state_path else \
+            incremental_tree_tests(panel, old, new_var, maxlag, alpha, k_cause, **how)
     else:
         table = cut(moments(panel, [*old, new_var], maxlag, keys, fill, idx=idx))
         state = causality_state(table, old, v, keys)

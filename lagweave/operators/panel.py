@@ -150,7 +150,7 @@ def densify(panel: DataFrame, time_col: str, step: str, keys: Sequence[str] = ()
     values = [c for c in panel.columns if c not in (*keys, time_col)]
     # Free of nulls, so that the join below adds no null check to one use of the panel only.
     missing = f"cast(raise_error('a row of the panel has no {time_col}') as bigint)"
-    at = panel.selectExpr(*k, f"coalesce({_seconds(kind, time_col)}, {missing}) as _at", *_quoted(values))
+    at = panel.selectExpr(*k, f"coalesce({_seconds(kind, time_col)}, {missing}, 0L) as _at", *_quoted(values))
     # The bounds drag the values along so that both uses of the panel share one shuffle, and its input is scanned once.
     whole = f"struct(_at, {', '.join(_quoted(values))})" if values else "struct(_at)"
     off = f"pmod(_at, {seconds})"
@@ -164,7 +164,7 @@ def densify(panel: DataFrame, time_col: str, step: str, keys: Sequence[str] = ()
         *k, f"_lo + idx * {seconds} as _at", "idx")
     joined = null_safe_join(grid, at, keys, "left", ["_at"])
     filled = [f"`{v}`" if fill is None else f"coalesce(`{v}`, {float(fill)}D) as `{v}`" for v in values]
-    return joined.selectExpr(*k, f"{_from_seconds(kind, '_at')} as `{time_col}`", "idx", *filled)
+    return beginning_at(joined.selectExpr(*k, f"{_from_seconds(kind, '_at')} as `{time_col}`", "idx", *filled), 0)
 
 
 #: Rows of all panels together that one bucket of the row index is planned to hold.
@@ -201,7 +201,7 @@ def with_index(df: DataFrame, time_col: str, keys: Sequence[str] = (), idx: str
     over = f"over (partition by {within} order by {order})"
     ranked = rows.selectExpr("*", f"row_number() {over} as _rank", f"lag(struct({order})) {over} <=> struct({order}) as _tie")
     at = f"case when _tie then cast(raise_error('rows of equal {time_col}: name columns that order them') as bigint) else cast(_offset + _rank - 1 as long) end as `{idx}`"
-    return null_safe_join(ranked, offsets, keys, also=["_bucket"]).selectExpr(*_quoted(df.columns), at)
+    return beginning_at(null_safe_join(ranked, offsets, keys, also=["_bucket"]).selectExpr(*_quoted(df.columns), at), 0, idx)
 
 
 def with_calendar(df: DataFrame, start: str, freq: str, idx: str = "idx", name: str = "date") -> DataFrame:
@@ -230,34 +230,49 @@ def with_halo(df: DataFrame, width: int, idx: str = "idx", chunk_rows: int = CHU
 
 
 def lag_panel(df: DataFrame, variables: Sequence[str], maxlag: int, keys: Sequence[str] = (), fill: float | None = None,
-              idx: str = "idx", lags: Sequence[int] | None = None, chunk_rows: int = CHUNK_ROWS, whole: bool = False) -> DataFrame:
+              idx: str = "idx", lags: Sequence[int] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``<var>__lag<L>`` for L in 1..maxlag (or ``lags``).
 
-    A lag is the row so many positions before; a panel may begin at any position. ``fill=None`` drops the rows that
+    A lag is the row so many positions before. ``fill=None`` drops the rows that
     have fewer than the deepest lag's rows before them, so nulls of the data stay visible; a number keeps all rows and fills with
-    it. A gap between positions of a chunk raises. One of ``maxlag`` rows or more that ends with a chunk is seen only if ``whole``:
-    each panel's rows are then counted against its first and last position, as ``moments`` does, and any gap raises; without it
-    the panel begins anew there. All operators and queries of this package ask for it.
+    it. Any gap between positions raises. Where `densify`, `with_index` or `slice_panel` made the positions, the column says at which one
+    panels begin, and the check needs no second pass: in later chunks every first row has one before it. Other panels may begin
+    anywhere; their rows are counted against their first and last position.
     """
     wanted = list(lags or range(1, maxlag + 1))
     depth = max(wanted)
     over = f"over (partition by {', '.join([*_quoted(keys), '_chunk'])} order by `{idx}`)"
     default = "null" if fill is None else f"{float(fill)}D"
     feats = [f"lag(`{v}`, {lag}, {default}) {over} as `{lag_name(v, lag)}`" for v in variables for lag in wanted]
-    if whole:
+    begins = first_position(df, idx)
+    if begins is None:
         full = df.groupBy(*keys).agg(F.expr(f"count(1) = max(`{idx}`) - min(`{idx}`) + 1 as _full"))
         df = attach_by_panel(df, full, keys)
     rows = with_halo(df, depth, idx, chunk_rows).selectExpr("*", f"lag(`{idx}`, 1) {over} as _before", f"lag(`{idx}`, {depth}) {over} as _deepest", *feats)
     own = f"_chunk = floor(`{idx}` / {chunk_rows})"
-    gap = f"_before <> `{idx}` - 1" + (" or not _full" if whole else "")
+    gap = f"_before <> `{idx}` - 1 or " + ("not _full" if begins is None else f"_before is null and _chunk > floor({begins} / {chunk_rows}) and {own}")
     rows = rows.where(f"case when {gap} then cast(raise_error('{_GAP}') as boolean) else {own} end")
     return (rows.where("_deepest is not null") if fill is None else rows).drop("_chunk", "_before", "_deepest", "_full")
 
 
+_FIRST = "lagweave.first"
+
+
+def beginning_at(df: DataFrame, first: int, idx: str = "idx") -> DataFrame:
+    """Note on the position column that panels begin at ``first`` or within its chunk. Selections keep the note."""
+    return df.withMetadata(idx, {_FIRST: int(first)})
+
+
+def first_position(df: DataFrame, idx: str = "idx") -> int | None:
+    return df.schema[idx].metadata.get(_FIRST)
+
+
 def slice_panel(df: DataFrame, lo: int | None = None, hi: int | None = None, idx: str = "idx") -> DataFrame:
     """Rows at positions lo..hi, both included."""
     if lo is not None:
+        begins = first_position(df, idx)
         df = df.where(F.col(idx) >= lo)
+        df = df if begins is None else beginning_at(df, max(lo, begins), idx)
     return df if hi is None else df.where(F.col(idx) <= hi)
 
 
@@ -309,7 +324,7 @@ def structural_mean(df: DataFrame, model: str, keys: Sequence[str] = (), idx: st
     if model not in _MODELS:
         raise ValueError(f"unknown model {model!r}")
     names = list(_MODELS[model])
-    lagged = lag_panel(df, names, 2, keys, idx=idx, whole=True)
+    lagged = lag_panel(df, names, 2, keys, idx=idx)
     out = lagged.select("*", *[F.expr(e).alias(f"mean_{s}") for s, e in _MODELS[model].items()])
     return out.select(
         *df.columns, *[f"mean_{s}" for s in names], *[(F.col(s) - F.col(f"mean_{s}")).alias(f"eps_{s}") for s in names]

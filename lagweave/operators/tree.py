@@ -176,7 +176,7 @@ def tree_round(panel: DataFrame, label: str, variable: str, maxlag: int, depth:
 
     Returns (rows with label, prediction and residual; metrics; importances per lag).
     """
-    lagged = lag_panel(panel, [variable], maxlag, keys, fill, idx, whole=True)
+    lagged = lag_panel(panel, [variable], maxlag, keys, fill, idx)
     if forest.fits(maxlag, max_bins):
         cuts = saved(split_points(lagged, lag_names(variable, maxlag), max_bins, keys), "thresholds")
         chunks = forest.packed_chunks(lagged, cuts, [variable], maxlag, keys, idx, [label])
@@ -254,12 +254,12 @@ def _chains(stats: DataFrame, trie, orders, maxlag: int, dropped: int, keys: Seq
 
 
 def _base(panel, variables, maxlag, max_bins, keys, fill, idx):
-    lagged = lag_panel(panel.select(*keys, idx, *variables), variables, maxlag, keys, fill, idx, whole=True)
+    lagged = lag_panel(panel.select(*keys, idx, *variables), variables, maxlag, keys, fill, idx)
     return saved(binned_rows(lagged, variables, maxlag, max_bins, keys, idx), "binned")
 
 
 def _lagged(panel, variables, maxlag, keys, fill, idx):
-    return lag_panel(panel.select(*keys, idx, *variables), variables, maxlag, keys, fill, idx, whole=True)
+    return lag_panel(panel.select(*keys, idx, *variables), variables, maxlag, keys, fill, idx)
 
 
 def _cuts(lagged, variables, maxlag, max_bins, keys):

@@ -87,3 +87,26 @@ def test_autoregressive_tree(spark):
     _, fit, _ = tree.ar_tree(panel, "s1", 3, depth=3)
     rows, _ = ml_tree(pn.lag_panel(panel, ["s1"], 3), "s1", pn.lag_names("s1", 3), 3, "p", min_leaf=1)
     assert fit.first().mse == pytest.approx(rows.agg(F.avg((F.col("s1") - F.col("p")) ** 2)).first()[0])
+
+
+def test_increment_from_stored_trees_equals_one_session(spark, tmp_path):
+    parts = [rounded_panel("linear", 300, i).assign(k=None if i else 1) for i in range(2)]
+    panel = spark.createDataFrame(pd.concat(parts).astype({"k": "object"}), "idx long, s1 double, s2 double, s3 double, s4 double, k long" if "t" not in parts[0] else None)
+    old, path = ["s1", "s3"], str(tmp_path / "state")
+    tree.tree_chains(panel, old, 2, keys=["k"], depth=3, state_path=path)
+    for mode in ("replace", "condition"):
+        def edges(**how):
+            return graph.incremental_graph(panel, old, "s4", 2, alpha=1.1, keys=["k"], learner="tree", depth=3, mode=mode, **how)
+
+        a, b = (x.toPandas().astype({"order": str}).sort_values(["k", "source", "test_id"]).reset_index(drop=True) for x in (edges(), edges(state_path=path)))
+        pd.testing.assert_frame_equal(a, b)
+        assert len(a) == 2 * 6
+    with pytest.raises(ValueError, match="made for"):
+        graph.incremental_graph(panel, ["s3", "s1"], "s4", 2, keys=["k"], learner="tree", depth=3, state_path=path)
+
+
+def test_deep_trees_equal_ml(spark):
+    panel = spark.createDataFrame(rounded_panel("nonlinear", 2000))
+    _, fit, _ = tree.tree_round(panel, "s3", "s1", 2, depth=7)
+    exact, _ = ml_tree(pn.lag_panel(panel, ["s1", "s3"], 2), "s3", pn.lag_names("s1", 2), 7, "p")
+    assert fit.first().mse == pytest.approx(exact.agg(F.avg((F.col("s3") - F.col("p")) ** 2)).first()[0], rel=1e-9)
