@@ -8,8 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one slice holds at most, unless a single text is longer; bounds the arrays below to some 100 MB.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that one slice holds at most, unless a single text is longer; bounds the arrays below to some 50 MB.
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)

@@ -11,8 +11,8 @@ import numpy as np
 
 from . import textbytes as tb
 
-#: Chunks that a Python worker keeps encoded; beyond it the store starts anew. About 200 MB.
-CACHED_CHUNKS = 1_500_000
+#: Chunks that a Python worker keeps encoded; beyond it the store starts anew. About 50 MB, held as long as the worker lives.
+CACHED_CHUNKS = 400_000
 #: Longer chunks are encoded each time.
 KEPT_BYTES = 64
 #: Bytes that begin a character which is surely no white space.
