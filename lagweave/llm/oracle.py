@@ -97,3 +97,4 @@ FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT
 
 
 SQL["op10_quality_rules_tails"] = _tails_sql()
+SQL["op10_quality_rules_slack"], SQL["op10_quality_rules"] = SQL["op10_quality_rules"], SQL["op10_quality_rules_tails"]

@@ -36,14 +36,20 @@ def op8_best_two_fit(spark, sf):
 
 @query
 def op10_quality_rules(spark, sf):
-    """Base counts and verdict of every document."""
+    """Base counts and verdict of every document, by limits from the tails of the sketches of its language and source."""
+    return quality_rules.adaptive_rules(documents(spark, sf))
+
+
+@query
+def op10_quality_rules_slack(spark, sf):
+    """Base counts and verdict of every document, by limits that lie a fixed slack from the median at least."""
     return quality_rules.quality_rules(documents(spark, sf))
 
 
 @query
 def op10_quality_rules_tails(spark, sf):
-    """Base counts and verdict of every document, by limits from the tails of the sketches."""
-    return quality_rules.adaptive_rules(documents(spark, sf))
+    """The same as `op10_quality_rules`, under its earlier name."""
+    return op10_quality_rules(spark, sf)
 
 
 @query
