@@ -1,8 +1,11 @@
 """Exact Jaccard join of word-shingle sets by T-occurrence search on inverted lists.
 
 A set of n shingles can only be linked with one that shares enough of its shingles; so the p = n - least overlap + 1 lowest in
-hash order must meet. Their inverted lists are merged where they are short. Long lists are skipped, as DivideSkip does: a set goes on to as many
-further shingles as it has skipped, and the skipped ones count only in the final probe of candidates, set against set.
+hash order must meet. Their inverted lists are merged where they are short, and occurrences counted. Long lists are skipped, as DivideSkip does:
+a set goes on to m further shingles, of which and the first p any partner has m + 1; so a partner occurs in m + 1 less the skipped ones of the short
+lists at least. What is long is looked up for these candidates only, by binary search in the other's shingles.
+A set that has skipped more than it could make up for is searched by joint shingles instead: of the parts into which hashes are cut, more
+than linked sets can differ in, one at least is the same in both (`joint_keys`). No long list is ever paired with itself.
 Near copies are gathered under pivots first, so that a group of thousands is one entry in every list.
 """
 
@@ -25,6 +28,7 @@ MINIMA = 4
 #: Shingles from which on a set is sketched with four bytes each.
 LARGE = 4096
 HELD = 2_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: tb.Texts, size: int) -> list[np.ndarray]:
@@ -48,8 +52,48 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _key(shingles: np.ndarray) -> np.ndarray:
-    return tb.Hasher(shingles.view(np.uint8))(np.array([0]), np.array([8 * len(shingles)]))
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each whole set."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    cuts = np.concatenate(([0], np.cumsum(n)))
+    total = _running(np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64))
+    return tb.mixed(total[cuts[1:]] - total[cuts[:-1]] + n.astype(np.uint64) * _ODD).view(np.int64)
+
+
+def _running(shingles: np.ndarray) -> np.ndarray:
+    """Running sums of remixed shingles, from 0: differences are hashes of what lies between."""
+    total = np.zeros(len(shingles) + 1, np.uint64)
+    np.cumsum(tb.mixed(shingles + _ODD), out=total[1:])
+    return total
+
+
+def size_class(n: int, percent: int) -> tuple[int, list[int]]:
+    """The class of sets of n shingles, and the largest sizes of classes 0 to the next: linked sets are of one class or of neighbouring ones."""
+    tops = [1]
+    while tops[-1] < n:
+        tops.append(100 * (tops[-1] + 1) // percent)
+    return len(tops) - 1, [*tops, 100 * (tops[-1] + 1) // percent]
+
+
+def joint_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of which any two linked sets have one in common, and that other sets rarely share.
+
+    Linked sets of a class and the next differ in `apart` shingles at most, so of more parts, cut at fixed hashes, one is the same in
+    both. Empty parts are left out, as there are some more parts than need be; a set with too many gives its prefix as well, and two such sets meet there.
+    """
+    n = len(shingles)
+    here, tops = size_class(n, percent)
+    total, out = _running(shingles), []
+    for low in {max(0, here - 1), here}:
+        apart = (100 - percent) * 2 * tops[low + 1] // (100 + percent)
+        k = apart + 3 + apart // 32
+        edge = np.arange(1, k, dtype=np.uint64) * np.uint64((1 << 64) // k)
+        cuts = np.concatenate(([0], np.searchsorted(shingles, edge), [n]))
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        out.append(tb.mixed(total[cuts[full + 1]] - total[cuts[full]] + full.astype(np.uint64) * _ODD + np.uint64(low)))
+        if len(full) <= apart:
+            out.append(tb.mixed(shingles[:n - least_overlap(n, percent) + 1] + np.uint64(low)))
+    return np.unique(np.concatenate(out))
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
@@ -58,10 +102,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
         for t in tb.slices(batch.column(1)):
             sets = shingle_sets(t, size)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            whole = tb.Hasher(np.concatenate(sets).view(np.uint8)) if n.sum() else None
-            cuts = 8 * np.concatenate(([0], np.cumsum(n)))
-            key = whole(cuts[:-1], cuts[1:]).view(np.int64) if whole else np.zeros(len(sets), np.int64)
-            yield {"doc_id": batch.column(0).slice(t.rows.start, len(t)), "n_shingles": n, "key": key,
+            yield {"doc_id": batch.column(0).slice(t.rows.start, len(t)), "n_shingles": n, "key": set_keys(sets),
                    "minima": pa.array([s[:MINIMA].view(np.int64) for s in sets], pa.list_(pa.int64()))}
 
     return arrow_map(docs, "doc_id long, n_shingles long, key long, minima array<long>", fn)
@@ -92,10 +133,11 @@ def prefixes(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
         held, count = [], 0
         for batch in batches:
             for t in tb.slices(batch.column(1)):
-                for s in shingle_sets(t, size):
+                sets = shingle_sets(t, size)
+                for s, key in zip(sets, set_keys(sets).view(np.uint64), strict=True):
                     if len(s):
                         p = len(s) - least_overlap(len(s), percent) + 1
-                        held.append((s[:p], np.repeat(_key(s), p)))
+                        held.append((s[:p], np.full(p, key)))
                         count += p
             if count >= HELD:
                 yield _posted(held, bits)
@@ -208,7 +250,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, size: int, unique: bool) -> Dat
         for t in tb.slices(batch.column(1)):
             sets = shingle_sets(t, size)
             node = batch.column(2).slice(t.rows.start, len(t))
-            same = pa.array([len(s) > 0 and int(_key(s).view(np.int64)[0]) == n for s, n in zip(sets, node.to_pylist(), strict=True)], pa.bool_())
+            same = pa.array((set_keys(sets) == node.to_numpy()) & (np.fromiter(map(len, sets), np.int64, len(sets)) > 0))
             sketch = pa.array([_sketch(s).tobytes() for s in sets], pa.binary())
             yield {"node": node.filter(same), "text": batch.column(1).slice(t.rows.start, len(t)).filter(same), "sketch": sketch.filter(same)}
 
@@ -260,11 +302,16 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
         return held.join(count.where(F.col("k") <= LONG), "shingle").drop("k"), count.where(F.col("k") > LONG).select("shingle"), held
 
     def paired(short: DataFrame) -> DataFrame:
+        """a, b, met: in how many of the lists both occur."""
         other = short.withColumnRenamed("star", "b")
-        return short.withColumnRenamed("star", "a").join(other, "shingle").where("a < b").select("a", "b").distinct()
+        return short.withColumnRenamed("star", "a").join(other, "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
+
+    def read_too(near: DataFrame, nodes: DataFrame) -> DataFrame:
+        late = saved(nodes.join(near.select("node"), "node", "left_anti"), "late")
+        return near.unionByName(texts_of(docs, firsts.join(late, "node"), size, unique)) if late.limit(1).count() else near
 
     short, long, held = lists(live)
-    long, pairs = saved(long, "long"), paired(short)
+    long, pairs = saved(long, "long"), paired(short).select("a", "b")
     if long.limit(1).count():
         # A set that met long lists goes on until as many short ones are to be expected, and some more, at the rate at which it has
         # met long ones so far; whom it meets there is read from all prefixes.
@@ -284,25 +331,34 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
         live = saved(live.unionByName(more).unionByName(entries_of(posts, more, bits)).distinct(), "live")
         discard(posts, *done)
         short, long, held = lists(live)
-        # Sets that still lack shingles with short lists: their long lists are searched after all, for whoever is in them.
+        # Of its p + m shingles a set shares m + 1 with a partner; so many of them, less the skipped ones, are in short lists.
         gone = saved(live.join(long, "shingle"), "gone")
-        lack = gone.groupBy("node").agg(F.count("*").alias("gone")).join(more.groupBy("node").agg(F.count("*").alias("more")), "node", "left")
-        lack = lack.where(F.col("gone") > F.coalesce("more", F.lit(0))).select("node")
-        of = names.join(member.select("node", "a"), "node", "left").select("node", F.coalesce("a", "node").alias("star"), "n")
-        asks = gone.join(lack, "node").join(of, "node").select("shingle", F.col("star").alias("a"), "n").distinct()
-        ranges = of.groupBy(F.col("star").alias("b")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-        told = held.join(long, "shingle").withColumnRenamed("star", "b").join(ranges, "b")
-        found = asks.join(told, "shingle").where(f"a <> b and 100 * high >= {percent} * n and 100 * n >= {percent} * low")
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = paired(short).unionByName(found).distinct()
+        skips = gone.groupBy("node").agg(F.count("*").alias("gone")).join(more.groupBy("node").agg(F.count("*").alias("more")), "node", "outer")
+        skips = skips.select("node", F.expr("coalesce(more, 0) + 1 - coalesce(gone, 0)").alias("least"))
+        lone = skips.join(radius.select("node"), "node", "left_anti").where("least > 1")
+        pairs = paired(short).join(lone.withColumnsRenamed({"node": "a", "least": "la"}), "a", "left").join(
+            lone.withColumnsRenamed({"node": "b", "least": "lb"}), "b", "left").where("met >= least(coalesce(la, 1), coalesce(lb, 1))").select("a", "b")
+        # Sets for which that is nothing, and whoever is in a long list with one of them, are searched by joint shingles.
+        lack = gone.join(skips.where("least < 1").select("node"), "node")
+        asked = saved(gone.join(lack.select("shingle").distinct(), "shingle", "left_semi").select("node").distinct(), "asked")
+        if asked.limit(1).count():
+            near = read_too(near, asked)
+
+            def joint(batch):
+                for t in tb.slices(batch.column(1)):
+                    keys = [joint_keys(s, percent) for s in shingle_sets(t, size)]
+                    yield {"shingle": np.concatenate(keys).view(np.int64), "node": np.repeat(batch.column(0).to_numpy()[t.rows], [len(k) for k in keys])}
+
+            keys = arrow_map(near.join(asked, "node").select("node", "text"), "shingle long, node long", joint)
+            keys = saved(starred(keys).distinct(), "joint")
+            many = keys.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+            pairs = pairs.unionByName(paired(keys.join(many, "shingle")).select("a", "b")).distinct()
     # A pair of lone sets has to fit by size; pivots may have members that do.
     reach = pairs.join(radius.withColumnsRenamed({"node": "a", "radius": "ra"}), "a", "left").join(radius.withColumnsRenamed({"node": "b", "radius": "rb"}), "b", "left")
     reach = reach.select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("reach"))
     wide = sized(reach, "reach")
     wide = saved(wide, "pairs")
-    late = wide.select(F.col("a").alias("node")).unionByName(wide.select(F.col("b").alias("node"))).distinct().join(near.select("node"), "node", "left_anti")
-    if late.limit(1).count():
-        near = near.unionByName(texts_of(docs, firsts.join(late, "node"), size, unique))
+    near = read_too(near, wide.select(F.col("a").alias("node")).unionByName(wide.select(F.col("b").alias("node"))).distinct())
     discard(live, held)
     wide = saved(shortlisted(wide, near, percent), "shortlist")
     measured = saved(probed(wide, near, size).withColumn("apart", apart), "measured")

@@ -78,3 +78,45 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i != 30] + [(100, int(x)) for x in rng.permutation(np.arange(101, 140))] + [(7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(31)}, **{i: 31 for i in range(31, 61)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_joint_keys_meet():
+    """Linked sets of every size share a joint key, and a part that is empty in both is none."""
+    rng = np.random.default_rng(5)
+    for trial in range(1500):
+        percent = (85, 80, 60, 50)[trial % 4]
+        n = int(rng.integers(1, 40 if trial % 3 else 800))
+        pool = np.unique(rng.integers(0, 1 << 64, 3 * n, dtype=np.uint64))
+        one = pool[np.sort(rng.permutation(len(pool))[:n])]
+        gone = int(rng.integers(0, n - jaccard_join.least_overlap(n, percent) + 1))
+        left = one[np.sort(rng.permutation(n)[gone:])]
+        room = 100 * len(left) // percent - n  # the most that may be added
+        two = np.union1d(left, pool[rng.permutation(len(pool))[:int(rng.integers(0, max(0, room) + 1))]])
+        both = len(np.intersect1d(one, two))
+        if both and 100 * both >= percent * (len(one) + len(two) - both):
+            assert len(np.intersect1d(jaccard_join.joint_keys(one, percent), jaccard_join.joint_keys(two, percent)))
+    far = [jaccard_join.joint_keys(np.unique(rng.integers(0, 1 << 64, 100, dtype=np.uint64)), 85) for _ in range(200)]
+    assert len(np.unique(np.concatenate(far))) == sum(map(len, far))
+
+
+def test_drifting_groups_and_large_sets(spark, monkeypatch):
+    """Two groups that drift from copy to copy, documents made of common lines alone, sets sketched with four bytes."""
+    monkeypatch.setattr(jaccard_join, "LONG", 8)
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    draw = lambda n: rng.choice(vocabulary, n).tolist()
+    texts, lines = [], [draw(20) for _ in range(8)]
+    for _ in range(2):
+        base = draw(60)
+        for _ in range(70):
+            base = [draw(1)[0] if rng.random() < 0.03 else w for w in base]
+            texts.append(base)
+    texts += [sum((lines[i] for i in rng.permutation(8)[:int(rng.integers(1, 6))]), draw(int(rng.integers(0, 3)))) for _ in range(90)]
+    long = draw(5200)
+    for share in (0.005, 0.02, 0.06, 0.2):
+        texts.append([draw(1)[0] if rng.random() < share else w for w in long])
+    texts += [long, long[:4600], long[:4400], long[900:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], DOCS).repartition(4)
+    got = jaccard_join.join_documents(docs).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows)
