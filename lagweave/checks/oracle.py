@@ -691,6 +691,8 @@ def all_sql() -> dict[str, str]:
         "incremental_cause": _incremental("replace"),
         "incremental_cause_conditioned": _incremental("condition"),
         "incremental_merged": _incremental("merged"),
+        "incremental_from_state": _incremental("merged"),
+        "incremental_stored": _incremental("merged"),
         "tree_stump_round": with_(_one_tree("click", "click", 1), f"select idx, {r('pred', 'prediction')}, {r('label - pred', 'residual')} from tr"),
         "tree_round": with_(_one_tree("click", "view", 3), f"select idx, {r('pred', 'prediction')}, {r('label - pred', 'residual')} from tr"),
         "tree_round_grouped": with_(_one_tree("click", "view", 2, ["grp"]), f"select grp, idx, {r('pred', 'prediction')} from tr"),

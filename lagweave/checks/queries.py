@@ -501,6 +501,22 @@ def causality_graph_tree(spark, sf):
     return rounded(joined_order(edges.select(*_TEST_COLS)))
 
 
+@query
+def incremental_from_state(spark, sf):
+    path, panel = scratch_path(spark, "chains"), event_counts(spark, sf, THREE)
+    graph.keep_state(panel, path, TWO, 2, 0.1)
+    return _edge_view(_incremental(spark, sf, state_path=path))
+
+
+@query
+def incremental_stored(spark, sf):
+    """The merged increment kept by source, its new causes written anew, and all of it read back."""
+    path, merged = scratch_path(spark, "edges"), _incremental(spark, sf)
+    io.store_edges(merged, path)
+    io.store_edges(merged.where("source = 'cause'"), path)
+    return _edge_view(spark.read.schema(merged.schema).parquet(path))
+
+
 @query
 def incremental_tree(spark, sf):
     return _edge_view(_incremental(spark, sf, learner="tree", depth=2))

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.orders import text_array
 from .boost import _arrow_type, _moment_rows, _round, boost_chains, chain_f_test, with_f_test
-from .moments import moments
+from .moments import bordered_moments, moments
 from .staging import cut
 
 _EDGE = ("test_id", "effect", "cause", "order", "maxlag", "n", "mse_prev", "mse_all", "f_score", "p_value")
@@ -133,6 +133,24 @@ def causality_state(moment_table: DataFrame, old: Sequence[str], v: float = 0.1,
     return cut(boost_chains(moment_table, old, v, keys, state=True))
 
 
+def keep_state(panel: DataFrame, path: str, old: Sequence[str], maxlag: int, v: float = 0.1, keys: Sequence[str] = (),
+               fill: float | None = None, idx: str = "idx") -> None:
+    """Write what increments of a linear graph start from: the old variables' moments and chains, in two folders under ``path``."""
+    where = f"{path}/moments"
+    moments(panel, old, maxlag, keys, fill, idx=idx).write.parquet(where)
+    table = panel.sparkSession.read.parquet(where)
+    boost_chains(table, old, v, keys, state=True).withColumn("_v", F.lit(float(v))).write.parquet(f"{path}/chains")
+
+
+def kept_state(spark: SparkSession, path: str, v: float) -> tuple[DataFrame, DataFrame]:
+    """Moments and chains that `keep_state` wrote; raises where they were fitted with another ``v``."""
+    chains = spark.read.parquet(f"{path}/chains")
+    other = chains.where(F.col("_v") != float(v)).select("_v").limit(1).collect()
+    if other:
+        raise ValueError(f"the stored chains were fitted with v={other[0]._v}, not {v}")
+    return spark.read.parquet(f"{path}/moments"), chains.drop("_v")
+
+
 def incremental_graph(panel: DataFrame, old: Sequence[str], new_var: str, maxlag: int, alpha: float = 0.05, v: float = 0.1,
                       keys: Sequence[str] = (), fill: float | None = None, mode: str = "replace", all_tests: bool = False,
                       k_override: int | None = None, n: str = "all", learner: str = "linear", idx: str = "idx",
@@ -141,11 +159,9 @@ def incremental_graph(panel: DataFrame, old: Sequence[str], new_var: str, maxlag
 
     New-as-cause is tested on the old tests that were significant (``all_tests``
     lifts that). In the cause pass the count of variables is one above the
-    panel's in ``mode='replace'``; ``k_override`` sets it. With the tree learner, ``state_path`` names the folder in which ``tree_chains``
-    kept the old variables' trees; they are read from there instead of grown again.
+    panel's in ``mode='replace'``; ``k_override`` sets it. ``state_path`` names the folder in which `keep_state`, or ``tree_chains`` for the
+    tree learner, kept the old variables' fits: they are read instead of fitted again, and only products with the new variable are summed.
     """
-    if state_path and learner != "tree":
-        raise ValueError("only trees are kept in a folder")
     k = len(old) + 1
     k_cause = k_override or (k + 1 if mode == "replace" else k)
     if learner == "tree":
@@ -155,8 +171,12 @@ def incremental_graph(panel: DataFrame, old: Sequence[str], new_var: str, maxlag
         existing, effect, cause = incremental_tree_from_state(panel, state_path, old, new_var, maxlag, alpha, k_cause, **how) if state_path else \
             incremental_tree_tests(panel, old, new_var, maxlag, alpha, k_cause, **how)
     else:
-        table = cut(moments(panel, [*old, new_var], maxlag, keys, fill, idx=idx))
-        state = causality_state(table, old, v, keys)
+        if state_path:
+            stored, state = kept_state(panel.sparkSession, state_path, v)
+            table = cut(bordered_moments(stored, panel, old, [new_var], maxlag, keys, fill, idx=idx))
+        else:
+            table = cut(moments(panel, [*old, new_var], maxlag, keys, fill, idx=idx))
+            state = causality_state(table, old, v, keys)
         tests = chain_f_test(state, k, keys, n)
         existing = significant(tests, alpha)
         kept = state if all_tests else state.join(existing.select(*keys, "test_id"), [*keys, "test_id"], "left_semi")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.orders import text_array
 from .panel import _GAP, CHUNK_ROWS, lag_name, with_halo
@@ -88,19 +89,20 @@ def _lagged_matrix(x: np.ndarray, halo: int, depth: int) -> np.ndarray:
     return np.stack([x[depth - lag : depth - lag + m] for lag in range(depth + 1)], axis=2).reshape(m, x.shape[1] * (depth + 1))
 
 
-def _stats(z: np.ndarray):
+def _stats(z: np.ndarray, last: int):
     mean = z.mean(axis=0) if len(z) else np.zeros(z.shape[1])
     d = z - mean
-    return len(z), mean, (d.T @ d).ravel()
+    return len(z), mean, (d[:, -last:].T @ d).ravel()
 
 
 def _merged(n, mean, g):
     """Count, mean and centred cross-products of the union of disjoint row sets."""
     q = mean.shape[1]
+    last = g.shape[1] // q
     total = n.sum()
     centre = n @ mean / max(total, 1)
     d = mean - centre
-    return total, centre, (g.sum(axis=0).reshape(q, q) + (d * n[:, None]).T @ d).ravel()
+    return total, centre, (g.sum(axis=0).reshape(last, q) + (d[:, -last:] * n[:, None]).T @ d).ravel()
 
 
 def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Sequence[str] = (), fill: float | None = None,
@@ -113,6 +115,11 @@ def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Seque
     A panel may begin at any position; rows with fewer than p rows of it before them lack a lag and are left out
     (or filled). ``idx`` must number each panel's rows without gaps; a gap, or a null or NaN in a variable, raises.
     """
+    return _moments(panel, variables, maxlag, keys, fill, lags, idx, chunk_rows, len(variables))
+
+
+def _moments(panel, variables, maxlag, keys, fill, lags, idx, chunk_rows, last: int) -> DataFrame:
+    """As `moments`, with the rows of ``g`` that belong to the ``last`` variables only."""
     if fill not in (None, 0):
         raise ValueError("moments support fill=None or fill=0")
     names, keys, depth, drop = list(variables), list(keys), maxlag, fill is None
@@ -136,7 +143,7 @@ def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Seque
         for p in orders if len(z) else []:
             skip = min(len(z), max(0, p - halo)) if drop else 0
             if skip not in done:
-                done[skip] = _stats(z[skip:])
+                done[skip] = _stats(z[skip:], last * (depth + 1))
             n, mean, g = done[skip]
             for c, v in zip(out, (p, n, len(z), at[0], at[-1], mean, g)):
                 out[c].append(v)
@@ -163,3 +170,27 @@ def moments(panel: DataFrame, variables: Sequence[str], maxlag: int, keys: Seque
     total = _per_group(parts, level2, [], merge(level2, True), f"{key_ddl}{stat_ddl}")
     cols = text_array(moment_columns(names, depth))
     return total.selectExpr(*quoted, "p", "n", "n_rows", f"{cols} as cols", "means", "g")
+
+
+def bordered_moments(stored: DataFrame, panel: DataFrame, old: Sequence[str], new: Sequence[str], maxlag: int, keys: Sequence[str] = (),
+                     fill: float | None = None, lags: Sequence[int] | None = None, idx: str = "idx",
+                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The moment table of ``[*old, *new]``, from a stored one of ``old`` and one pass that forms only products with ``new``.
+
+    ``stored`` must come from the same rows, lag orders and fill; panels or orders that only one side has, other counts of rows or
+    other means of the old variables raise.
+    """
+    border = _moments(panel, [*old, *new], maxlag, keys, fill, lags, idx, chunk_rows, len(new))
+    before, b = len(old) * (maxlag + 1), len(new) * (maxlag + 1)
+    q = before + b
+    names = [*keys, "p"]
+    s = stored.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)], F.struct("n", "n_rows", "cols", "means", "g").alias("_s"))
+    on = [F.col(f"_{i}").eqNullSafe(border[c]) for i, c in enumerate(names)]
+    both = border.select("*", F.struct("n", "n_rows").alias("_b")).join(s, on, "full")
+    same = ("_s.n <=> _b.n and _s.n_rows <=> _b.n_rows and _s.cols <=> slice(cols, 1, {0}) and "
+            "forall(zip_with(_s.means, slice(means, 1, {0}), (x, y) -> abs(x - y) <= 1e-9 * (1 + abs(x))), ok -> ok)").format(before)
+    whole = (f"flatten(concat(transform(sequence(0, {before - 1}), i -> concat(slice(_s.g, i * {before} + 1, {before}), "
+             f"transform(sequence(0, {b - 1}), j -> g[j * {q} + i]))), transform(sequence(0, {b - 1}), j -> slice(g, j * {q} + 1, {q}))))")
+    fault = "the stored moments belong to other rows, lags or variables"
+    return both.select(*[F.col(f"`{c}`") for c in names], "n", "n_rows", "cols", "means",
+                       F.expr(f"case when {same} then {whole} else raise_error('{fault}') end").alias("g"))

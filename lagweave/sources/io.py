@@ -42,6 +42,14 @@ def write_edges(df: DataFrame, path: str, fmt: str = "csv", header: bool = True,
     (writer.option("header", header) if fmt == "csv" else writer).save(path)
 
 
+def store_edges(df: DataFrame, path: str, by: str = "source") -> None:
+    """Keep an edge table as Parquet in folders by ``by``; a rerun replaces the folders it has rows for and leaves the others.
+
+    Rows of one folder come from several tasks. Nulls in ``by`` have a folder of their own; a table without rows changes nothing.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def write_matrix(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write all columns as numbers with six decimals and no header."""
     fixed = df.select(*[F.format_string("%.6f", F.col(c).cast("double")).alias(c) for c in df.columns])

@@ -21,7 +21,7 @@ def con():
 # At this scale some panels have odd degrees of freedom (no finite sum for the tail) or other row counts than the SQL's.
 SMALL = ["panel_wide_events", "panel_wide_shipments", "time_index", "time_index_grouped", "calendar_month_end", "lag_chunked", "lag_grouped",
          "slice_last_p", "structural_mean_nonlinear2", "csv_header_roundtrip", "moment_matrix", "boost_chain_shrunk", "chain_f_test",
-         "test_plan", "incremental_merged", "tree_round", "causality_graph_tree", "var_summary", "forecast_bands", "granger_pairs_grouped"]
+         "test_plan", "incremental_merged", "incremental_from_state", "incremental_stored", "tree_round", "causality_graph_tree", "var_summary", "forecast_bands", "granger_pairs_grouped"]
 
 
 @needs_data
