@@ -577,7 +577,7 @@ def var_residual_correlation(spark, sf):
 
 def _forecast(spark, sf, steps: int, alpha=None) -> DataFrame:
     panel = event_counts(spark, sf, TWO)
-    fc = var.var_forecast(var.var_fit(panel, TWO, 1), pn.last_rows(panel, 1), TWO, steps, alpha=alpha)
+    fc = var.var_forecast(var.var_fit(panel, TWO, 1), panel, TWO, steps, alpha=alpha, p=1)
     return fc.withColumn("step", F.col("step").cast("long"))
 
 

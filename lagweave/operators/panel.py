@@ -277,9 +277,13 @@ def slice_panel(df: DataFrame, lo: int | None = None, hi: int | None = None, idx
 
 
 def last_rows(df: DataFrame, p: int, keys: Sequence[str] = (), idx: str = "idx") -> DataFrame:
-    """The last p rows of each panel."""
-    ends = df.groupBy(*keys).agg(F.max(idx).alias("_last"))
-    return attach_by_panel(df, ends, keys).where(F.col(idx) > F.col("_last") - p).drop("_last").select(*df.columns)
+    """The rows at the last p positions of each panel; where positions have gaps, these may be fewer than p rows.
+
+    Each task passes on the p last rows of a panel that it has (up to Spark's limit for that, 1000 unless set), whatever the panel's length.
+    """
+    panel = Window.partitionBy(*keys)
+    late = df.withColumn("_rank", F.rank().over(panel.orderBy(F.col(idx).desc_nulls_last()))).where(F.col("_rank") <= p)
+    return late.withColumn("_last", F.max(idx).over(panel)).where(F.col(idx) > F.col("_last") - p).select(*df.columns)
 
 
 def running_min(edges: DataFrame, keys: Sequence[str] = (), lag: str = "lag", p: str = "p_value") -> DataFrame:

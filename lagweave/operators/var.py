@@ -18,7 +18,7 @@ from ..plans.orders import explode_pairs
 from .boost import _arrow_type, _moment_rows, in_batches
 from .graph import edge_list, significant
 from .moments import moments
-from .panel import running_min
+from .panel import last_rows, running_min
 
 
 def term_names(variables: Sequence[str], p: int) -> list[str]:
@@ -131,13 +131,15 @@ def _forecast_one(row: dict, steps: int, z: float | None):
 
 
 def var_forecast(fit: DataFrame, recent: DataFrame, variables: Sequence[str], steps: int, keys: Sequence[str] = (),
-                 alpha: float | None = None, idx: str = "idx") -> DataFrame:
+                 alpha: float | None = None, idx: str = "idx", p: int | None = None) -> DataFrame:
     """Iterate the fitted VAR ``steps`` ahead from each panel's last rows: step, variable, mean, lower, upper.
 
-    ``recent`` holds at least the last p rows of each panel (see ``last_rows``).
+    ``recent`` holds at least the last p rows of each panel (see ``last_rows``), and is gathered by panel; with ``p``, the largest
+    order fitted, it may be the whole panel, of which only the last p rows are.
     With ``alpha`` the bands hold 1 - alpha of the forecast distribution.
     """
     keys, names = list(keys), list(variables)
+    recent = recent if p is None else last_rows(recent, p, keys, idx)
     tail = recent.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         F.col(idx).alias("at"), F.array(*[F.col(v).cast("double") for v in names]).alias("x")))).alias("_tail"))
     tail = tail.select(*keys, F.transform("_tail", lambda r: r["x"]).alias("last"))

@@ -104,3 +104,14 @@ def test_csv_sources_and_sinks(spark, tmp_path):
     edges = spark.createDataFrame([("b", "a", 0.5, ["b", "a"]), ("a", "b", 0.1, ["a", "b"])], "effect string, cause string, p double, ord array<string>")
     io.write_edges(edges, str(tmp_path / "e"), header=False, sort_by=["p"])
     assert [r[0] for r in spark.read.text(str(tmp_path / "e")).collect()][0].startswith("a,b,0.1")
+
+
+def test_last_rows_are_cut_before_the_shuffle(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("if(id % 3 = 0, null, id % 3) as k", "id div 3 as idx", "id * 0.5 as x")
+    rows = rows.where("not (k is null and idx = 1331)")
+    last = pn.last_rows(rows, 3, ["k"])
+    got = sorted(((r.k, r.idx) for r in last.collect()), key=str)
+    assert got == sorted([(None, 1332), (None, 1333), (1, 1330), (1, 1331), (1, 1332), (2, 1330), (2, 1331), (2, 1332)], key=str)
+    plan = last._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "WindowGroupLimit" in plan and "Join" not in plan and plan.count("Exchange hash") == 1
+    assert sorted(r.idx for r in pn.last_rows(rows, 2).select("idx").collect()) == [1332, 1332, 1332, 1333]
