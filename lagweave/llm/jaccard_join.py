@@ -4,8 +4,9 @@ A set of n shingles can only be linked with one that shares enough of its shingl
 hash order must meet. Their inverted lists are merged where they are short, and occurrences counted. Long lists are skipped, as DivideSkip does:
 a set goes on to m further shingles, of which and the first p any partner has m + 1; so a partner occurs in m + 1 less the skipped ones of the short
 lists at least. What is long is looked up for these candidates only, by binary search in the other's shingles.
-A set that has skipped more than it could make up for is searched by joint shingles instead: of the parts into which hashes are cut, more
-than linked sets can differ in, one at least is the same in both (`joint_keys`). No long list is ever paired with itself.
+A set that has skipped more than it could make up for tells all its shingles; whoever shares a short list with it is a candidate. Two such sets that share
+none differ in all their rare shingles; where these are so few that the sets may be linked, they are searched by joint shingles: of the parts into which
+hashes are cut, more than linked sets can differ in, one at least is the same in both (`joint_keys`). No long list is ever paired with itself.
 Near copies are gathered under pivots first, so that a group of thousands is one entry in every list.
 """
 
@@ -28,6 +29,8 @@ MINIMA = 4
 #: Shingles from which on a set is sketched with four bytes each.
 LARGE = 4096
 HELD = 2_000_000
+#: Skipped lists of a set that goes on to its end: more than any prefix has.
+FULL = 2 ** 31 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -270,6 +273,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     linked = F.expr(f"100 * both >= {percent} * (na + nb - both)")
     apart = F.expr("1 - both / (na + nb - both)")
     names = sets.select("node", "n")
+    prefix = f"(n - ({percent} * n + 99) div 100 + 1)"
 
     def sized(pairs: DataFrame, slack: str = "0") -> DataFrame:
         both = pairs.join(names.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(names.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
@@ -315,44 +319,66 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     if long.limit(1).count():
         # A set that met long lists goes on until as many short ones are to be expected, and some more, at the rate at which it has
         # met long ones so far; whom it meets there is read from all prefixes.
-        met = saved(live.join(long, "shingle").groupBy("node").agg(F.collect_set("shingle").alias("skipped")), "skipped")
+        met = saved(live.join(long, "shingle").groupBy("node").agg(F.countDistinct("shingle").cast("int").alias("skipped")), "skipped")
 
         def further(batch):
             node, text, skipped = batch.columns
             for t in tb.slices(text):
                 for i, s in enumerate(shingle_sets(t, size)):
                     p = len(s) - least_overlap(len(s), percent) + 1
-                    m = len(skipped[t.rows.start + i])
+                    m = skipped[t.rows.start + i].as_py()
                     more = s[p:p + 8 + (13 * m * p) // (10 * max(1, p - m))] if m < p else s[p:]
                     yield {"shingle": more.view(np.int64), "node": np.repeat(np.int64(node[t.rows.start + i].as_py()), len(more))}
 
-        more = saved(arrow_map(near.join(met, "node").select("node", "text", "skipped"), "shingle long, node long", further), "further")
-        done = live, held, met
-        live = saved(live.unionByName(more).unionByName(entries_of(posts, more, bits)).distinct(), "live")
-        discard(posts, *done)
-        short, long, held = lists(live)
-        # Of its p + m shingles a set shares m + 1 with a partner; so many of them, less the skipped ones, are in short lists.
-        gone = saved(live.join(long, "shingle"), "gone")
-        skips = gone.groupBy("node").agg(F.count("*").alias("gone")).join(more.groupBy("node").agg(F.count("*").alias("more")), "node", "outer")
-        skips = skips.select("node", F.expr("coalesce(more, 0) + 1 - coalesce(gone, 0)").alias("least"))
+        def extended(live: DataFrame, more: DataFrame) -> DataFrame:
+            return saved(live.unionByName(more).unionByName(entries_of(posts, more, bits)).distinct(), "live")
+
+        def rest(met: DataFrame) -> DataFrame:
+            return saved(arrow_map(near.join(met, "node").select("node", "text", "skipped"), "shingle long, node long", further), "further")
+
+        more = rest(met)
+        done = [live, held, met]
+        while True:
+            live = extended(live, more)
+            discard(*done)
+            short, long, held = lists(live)
+            # Of its p + m shingles a set shares m + 1 with a partner; so many of them, less the skipped ones, are in short lists.
+            gone = saved(live.join(long, "shingle"), "gone")
+            skips = gone.groupBy("node").agg(F.count("*").alias("gone")).join(more.groupBy("node").agg(F.count("*").alias("more")), "node", "outer")
+            skips = skips.na.fill(0).join(names, "node").selectExpr("node", "n", "n - gone as rare", "more + 1 - gone as least", f"more >= n - {prefix} as whole")
+            # A set for which that is nothing goes on to its end, and lists are counted anew.
+            next_met = saved(skips.where("least < 1 and not whole").select("node", F.lit(FULL).alias("skipped")), "skipped")
+            if not next_met.limit(1).count():
+                break
+            near = read_too(near, next_met.select("node"))
+            done = [live, held, gone, more, next_met]
+            more = saved(more.join(next_met.select("node"), "node", "left_anti").select("shingle", "node").unionByName(rest(next_met)), "further")
+        discard(posts)
         lone = skips.join(radius.select("node"), "node", "left_anti").where("least > 1")
-        pairs = paired(short).join(lone.withColumnsRenamed({"node": "a", "least": "la"}), "a", "left").join(
-            lone.withColumnsRenamed({"node": "b", "least": "lb"}), "b", "left").where("met >= least(coalesce(la, 1), coalesce(lb, 1))").select("a", "b")
-        # Sets for which that is nothing, and whoever is in a long list with one of them, are searched by joint shingles.
-        lack = gone.join(skips.where("least < 1").select("node"), "node")
-        asked = saved(gone.join(lack.select("shingle").distinct(), "shingle", "left_semi").select("node").distinct(), "asked")
+        pairs = paired(short).join(lone.withColumnsRenamed({"node": "a", "least": "la"}).select("a", "la"), "a", "left").join(
+            lone.withColumnsRenamed({"node": "b", "least": "lb"}).select("b", "lb"), "b", "left").where("met >= least(coalesce(la, 1), coalesce(lb, 1))").select("a", "b")
+        # What is left are sets whose shingles, all of them told, are mostly in long lists. Whoever of the others is linked with one shares a
+        # short list with it, as by the count above. Two of them without a short list in common differ in all their rare shingles: linked they
+        # are at most where there are few of these, and such pairs are searched by joint shingles.
+        asked = saved(skips.where("least < 1").select("node", "n", "rare"), "asked")
         if asked.limit(1).count():
-            near = read_too(near, asked)
+            near = read_too(near, asked.select("node"))
 
             def joint(batch):
                 for t in tb.slices(batch.column(1)):
                     keys = [joint_keys(s, percent) for s in shingle_sets(t, size)]
                     yield {"shingle": np.concatenate(keys).view(np.int64), "node": np.repeat(batch.column(0).to_numpy()[t.rows], [len(k) for k in keys])}
 
-            keys = arrow_map(near.join(asked, "node").select("node", "text"), "shingle long, node long", joint)
-            keys = saved(starred(keys).distinct(), "joint")
+            differ = (100 - percent) / (100 + percent)  # of the sizes' sum, in linked sets
+            keys = arrow_map(near.join(asked.select("node"), "node").select("node", "text"), "shingle long, node long", joint)
+            over = asked.join(member.select("node", "a"), "node", "left").groupBy(F.coalesce("a", "node").alias("star")).agg(
+                F.max("n").alias("n"), F.min("rare").alias("rare")).selectExpr("star", f"rare - n * {differ} as over")
+            keys = saved(starred(keys).distinct().join(over, "star"), "joint")
             many = keys.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
-            pairs = pairs.unionByName(paired(keys.join(many, "shingle")).select("a", "b")).distinct()
+            one = keys.where("over <= 1e-6").join(many, "shingle").withColumnsRenamed({"star": "a", "over": "_oa"})
+            two = keys.withColumnsRenamed({"star": "b", "over": "_ob"})
+            fits = "a <> b and _oa + _ob <= 1e-6 and (a < b or _ob > 1e-6)"
+            pairs = pairs.unionByName(one.join(two, "shingle").where(fits).selectExpr("least(a, b) as a", "greatest(a, b) as b")).distinct()
     # A pair of lone sets has to fit by size; pivots may have members that do.
     reach = pairs.join(radius.withColumnsRenamed({"node": "a", "radius": "ra"}), "a", "left").join(radius.withColumnsRenamed({"node": "b", "radius": "rb"}), "b", "left")
     reach = reach.select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("reach"))
