@@ -392,11 +392,6 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
 
     # Pivots that are not linked themselves, but near enough for members that are.
     close = measured.where(~linked & (F.col("reach") > 0) & (F.col("apart") <= far + F.col("reach") + 1e-9)).select("a", "b", "apart")
-    # Those that other links connect already are left out: their members are connected, too.
-    joined = saved(components(spokes.select("a", "b").unionByName(direct), "a", "b"), "joined")
-    for side in "ab":
-        close = close.join(joined.withColumnsRenamed({"node": side, "component": f"c{side}"}), side, "left")
-    close = saved(close.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "apart"), "close")
     of = member.select("node", F.col("a").alias("pivot"), F.col("apart").alias("off"))
     of = of.unionByName(member.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("off")))
 
