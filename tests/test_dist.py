@@ -23,6 +23,21 @@ def test_f_tail_equals_closed_form(d2, m):
         assert dist.f_tail(f, 2 * m, d2) == pytest.approx(even_tail(f, m, d2), rel=1e-8)
 
 
+@pytest.mark.parametrize("df", [9_999, 10_001, 100_000, 300_001])
+def test_chi2_tail_of_many_degrees_equals_the_recurrence(df):
+    """Each two degrees more add one term; from 0 or 1 degree on, where the tail is 0 at such x."""
+    a = np.arange(df % 2 / 2, df / 2)
+    lgamma = np.array([math.lgamma(v + 1) for v in a])
+    for z in (df / 2 + d * math.sqrt(df / 2) for d in (-6, -1, -0.01, 0, 0.3, 2, 7, 20)):
+        tail = math.fsum(np.exp(a * math.log(z) - z - lgamma))
+        assert dist.chi2_tail(2 * z, df) == pytest.approx(tail, rel=2e-8)
+
+
+def test_unsettled_fraction_has_no_value(monkeypatch):
+    monkeypatch.setattr(dist, "_STEPS", 4)
+    assert np.isnan(dist.f_tail(1.0, 500, 600))
+
+
 def test_edges_of_the_f_tail():
     assert dist.f_tail(np.array([-1.0, 0.0, np.inf, np.nan]), 3, 10).tolist()[:3] == [1.0, 1.0, 0.0]
     assert np.isnan(dist.f_tail(np.nan, 3, 10))
