@@ -157,7 +157,7 @@ def _entries(table: pa.Table) -> list[np.ndarray]:
 
 
 def shared_entries(posts: DataFrame) -> DataFrame:
-    """shingle, node: the entries of lists that hold two sets or more."""
+    """shingle, node, k: the entries of lists that hold two sets or more, and how many."""
     def fn(table: pa.Table) -> pa.Table:
         shingle, key = _entries(table)
         order = np.lexsort((key, shingle))
@@ -167,9 +167,11 @@ def shared_entries(posts: DataFrame) -> DataFrame:
         shingle, key = shingle[new], key[new]
         same = shingle[1:] == shingle[:-1]
         many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        return pa.table({"shingle": shingle[many].view(np.int64), "node": key[many].view(np.int64)})
+        edge = np.flatnonzero(np.concatenate(([True], ~same, [True]))) if len(shingle) else np.zeros(1, np.int64)
+        k = np.repeat(np.diff(edge), np.diff(edge))
+        return pa.table({"shingle": shingle[many].view(np.int64), "node": key[many].view(np.int64), "k": k[many[:len(k)]]})
 
-    return posts.groupBy("bucket").applyInArrow(fn, "shingle long, node long")
+    return posts.groupBy("bucket").applyInArrow(fn, "shingle long, node long, k long")
 
 
 def entries_of(posts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
@@ -218,16 +220,20 @@ def shortlisted(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return arrow_map(joined, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields), fn)
 
 
-def probed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Add `both`, the size of the intersection, to pairs (a, b, ...) of node ids; texts: node, text."""
+def _with_sets(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Add the shingles `_x` and `_y` to pairs (a, b, ...) of node ids; texts: node, text."""
     def sets(batch):
         for t in tb.slices(batch.column(1)):
             yield {"node": batch.column(0).slice(t.rows.start, len(t)), "shingles": pa.array([s.tobytes() for s in shingle_sets(t, size)], pa.binary())}
 
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = arrow_map(texts.join(used, "node").select("node", "text"), "node long, shingles binary", sets)
+    return pairs.join(held.withColumnsRenamed({"node": "a", "shingles": "_x"}), "a").join(held.withColumnsRenamed({"node": "b", "shingles": "_y"}), "b")
+
+
+def probed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Add `both`, the size of the intersection, to pairs (a, b, ...) of node ids; texts: node, text."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    joined = pairs.join(held.withColumnsRenamed({"node": "a", "shingles": "_x"}), "a").join(held.withColumnsRenamed({"node": "b", "shingles": "_y"}), "b")
 
     def probe(batch):
         x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_x", "_y"))
@@ -239,7 +245,41 @@ def probed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         return {c: batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", *rest)} | {"both": pa.array(both, pa.int64())}
 
     schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b", *rest)) + ", both long"
-    return arrow_map(joined, schema, probe)
+    return arrow_map(_with_sets(pairs, texts, size), schema, probe)
+
+
+def telling(apart: int, pivot: int, own: int, percent: int) -> int:
+    """How many of the `apart` shingles in which a member of `own` shingles differs from its pivot tell it: any set that is linked with the
+    member, but not with the pivot, differs from the pivot in one of these too, whichever they are.
+
+    Sets are linked that differ in (100 - percent) / (100 + percent) of their sizes' sum at most. Two that differ from the pivot in s and d
+    shingles, c of them the same, differ in s + d - 2c; as s is too much for a link, c is over half of d, give or take the sizes.
+    """
+    least = ((100 + percent) * apart + (100 - percent) * (pivot - own)) // (2 * (100 + percent)) + 1
+    return max(0, apart - least + 1)
+
+
+def differing(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b, member, linked, tell, shingle: from pairs (a, b, member) of a pivot and a set, all shingles in which they differ.
+
+    `tell` is how many of a member's are telling. Others that are linked with the pivot come with `linked` instead, in one row.
+    """
+    def fn(batch):
+        out = {"a": [], "b": [], "member": [], "linked": [], "tell": [], "shingle": []}
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "member", "_x", "_y"))
+        for a, b, member, x, y in zip(*columns, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            rows = np.setxor1d(x, y, assume_unique=True)
+            linked = not member and (100 + percent) * len(rows) <= (100 - percent) * (len(x) + len(y))
+            tell = telling(len(rows), len(x), len(y), percent) if member else 0
+            rows = np.zeros(1, np.uint64) if linked else rows
+            for c, v in (("a", a), ("b", b), ("member", member), ("linked", linked), ("tell", tell)):
+                out[c].append(np.full(len(rows), v))
+            out["shingle"].append(rows.view(np.int64))
+        kinds = {"member": bool, "linked": bool}
+        yield {c: np.concatenate([np.zeros(0, kinds.get(c, np.int64)), *v]) for c, v in out.items()}
+
+    return arrow_map(_with_sets(pairs, texts, size), "a long, b long, member boolean, linked boolean, tell long, shingle long", fn)
 
 
 def _sketch(shingles: np.ndarray) -> np.ndarray:
@@ -284,17 +324,42 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     bits = max(3, int(total * (100 - percent) // 100 // 500_000).bit_length())
     posts = saved(prefixes(docs.select("doc_id", "text"), size, percent, bits), "posts")
     live = saved(shared_entries(posts), "live")
+    weight = live.groupBy("node").agg(F.sum("k").alias("weight")).join(names, "node").select("node", (F.col("weight") / F.col("n")).alias("weight"))
+    live = live.drop("k")
     firsts = sets.select("node", "first")
     near = texts_of(docs, firsts.join(live.select("node").distinct(), "node"), size, unique)
 
-    # Pivots: sets that share a low shingle are measured against the first of them.
-    low = sets.join(live.select("node").distinct(), "node").select("node", F.explode("minima").alias("shingle"))
-    lead = low.groupBy("shingle").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    spokes = sized(low.join(lead, "shingle").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    # Pivots: sets that share a low shingle are measured against the one among them whose shingles most others have. Where many share it,
+    # those that come near by their prefixes are weighed by all their shingles: the middle of a large group is linked with more of it.
+    low = sets.join(weight, "node").select("node", "weight", F.explode("minima").alias("shingle"))
+    top = low.groupBy("shingle").agg(F.max("weight").alias("top"), F.count("*").alias("k")).where("k > 1")
+    high = saved(low.join(top, "shingle").where("weight >= 0.9 * top").select("shingle", "node", "weight", "k"), "high")
+
+    def whole(batch):
+        for t in tb.slices(batch.column(1)):
+            told = shingle_sets(t, size)
+            yield {"shingle": np.concatenate(told).view(np.int64), "node": np.repeat(batch.column(0).to_numpy()[t.rows], [len(s) for s in told])}
+
+    crowd = near.join(high.where(F.col("k") > LONG).select("node").distinct(), "node").select("node", "text")
+    crowd = saved(arrow_map(crowd, "shingle long, node long", whole), "crowd")
+    finer = crowd.join(crowd.groupBy("shingle").agg(F.count("*").alias("k")), "shingle").groupBy("node").agg(F.avg("k").alias("finer"))
+    lead = high.join(finer, "node", "left").groupBy("shingle").agg(F.max(F.struct(F.coalesce("finer", F.lit(0.0)).alias("finer"), "weight", "node")).alias("m"))
+    lead = lead.select("shingle", F.col("m.node").alias("a"), F.struct("m.finer", "m.weight").alias("weight"))
+    spokes = sized(low.drop("weight").join(lead, "shingle").where("node <> a").select("a", "weight", F.col("node").alias("b")).distinct())
     spokes = saved(probed(spokes, near, size).where(linked).withColumn("apart", apart), "spokes")
     own = spokes.join(spokes.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-    member = saved(own.groupBy("b").agg(F.min_by(F.struct("a", "apart"), "a").alias("m")).select(F.col("b").alias("node"), "m.a", "m.apart"), "members")
+    member = saved(own.groupBy("b").agg(F.max_by(F.struct("a", "apart"), F.struct("weight", "a")).alias("m")).select(F.col("b").alias("node"), "m.a", "m.apart"), "members")
     radius = member.groupBy("a").agg(F.max("apart").alias("radius")).withColumnRenamed("a", "node")
+    # What is known to hang together: pivots, their members, and what is linked with a member.
+    tied = member.select("node", F.col("a").alias("tie")).unionByName(radius.select("node", F.col("node").alias("tie")))
+    hung = spokes.join(tied.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("tie").alias("tie")).withColumnRenamed("b", "node")
+    tied = saved(tied.unionByName(hung.join(tied.select("node"), "node", "left_anti")), "tied")
+
+    def apart_yet(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) that are not known to hang together."""
+        for side in ("a", "b"):
+            pairs = pairs.join(tied.withColumnsRenamed({"node": side, "tie": f"_t{side}"}), side, "left")
+        return pairs.where("coalesce(_ta, a) <> coalesce(_tb, b)").drop("_ta", "_tb")
 
     def starred(entries: DataFrame) -> DataFrame:
         return entries.join(member.select("node", "a"), "node", "left").select("shingle", F.coalesce("a", "node").alias("star"))
@@ -371,16 +436,19 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
 
             differ = (100 - percent) / (100 + percent)  # of the sizes' sum, in linked sets
             keys = arrow_map(near.join(asked.select("node"), "node").select("node", "text"), "shingle long, node long", joint)
+            # All that two may share are their shingles in long lists; that has to do for the size of the other.
             over = asked.join(member.select("node", "a"), "node", "left").groupBy(F.coalesce("a", "node").alias("star")).agg(
-                F.max("n").alias("n"), F.min("rare").alias("rare")).selectExpr("star", f"rare - n * {differ} as over")
+                F.max("n").alias("n"), F.min("rare").alias("rare"), F.min("n").alias("least"), F.expr(f"max({100 + percent} * (n - rare) - {percent} * n)").alias("room"))
+            over = over.join(tied.withColumnRenamed("node", "star"), "star", "left").select(
+                "star", F.expr(f"rare - n * {differ}").alias("over"), (percent * F.col("least")).alias("least"), "room", F.coalesce("tie", "star").alias("tie"))
             keys = saved(starred(keys).distinct().join(over, "star"), "joint")
             many = keys.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
-            one = keys.where("over <= 1e-6").join(many, "shingle").withColumnsRenamed({"star": "a", "over": "_oa"})
-            two = keys.withColumnsRenamed({"star": "b", "over": "_ob"})
-            fits = "a <> b and _oa + _ob <= 1e-6 and (a < b or _ob > 1e-6)"
+            one, two = (keys.withColumnsRenamed({"star": x, "over": f"_o{x}", "least": f"_l{x}", "room": f"_r{x}", "tie": f"_t{x}"}) for x in "ab")
+            one = one.where("_oa <= 1e-6").join(many, "shingle")
+            fits = "a <> b and _ta <> _tb and _la <= _rb and _lb <= _ra and _oa + _ob <= 1e-6 and (a < b or _ob > 1e-6)"
             pairs = pairs.unionByName(one.join(two, "shingle").where(fits).selectExpr("least(a, b) as a", "greatest(a, b) as b")).distinct()
     # A pair of lone sets has to fit by size; pivots may have members that do.
-    reach = pairs.join(radius.withColumnsRenamed({"node": "a", "radius": "ra"}), "a", "left").join(radius.withColumnsRenamed({"node": "b", "radius": "rb"}), "b", "left")
+    reach = apart_yet(pairs).join(radius.withColumnsRenamed({"node": "a", "radius": "ra"}), "a", "left").join(radius.withColumnsRenamed({"node": "b", "radius": "rb"}), "b", "left")
     reach = reach.select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("reach"))
     wide = sized(reach, "reach")
     wide = saved(wide, "pairs")
@@ -390,18 +458,28 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     measured = saved(probed(wide, near, size).withColumn("apart", apart), "measured")
     direct = measured.where(linked).select("a", "b")
 
-    # Pivots that are not linked themselves, but near enough for members that are.
+    # Pivots that are not linked themselves, but near enough for members that are. Those of the smaller one are measured against the other: what
+    # is linked with a member, but not with the pivot, differs from it in some of the shingles in which that member does.
     close = measured.where(~linked & (F.col("reach") > 0) & (F.col("apart") <= far + F.col("reach") + 1e-9)).select("a", "b", "apart")
+    star = member.groupBy("a").agg(F.max("apart").alias("radius"), F.count("*").alias("many"))
+    for side in ("a", "b"):
+        close = close.join(star.withColumnsRenamed({"a": side, "radius": f"r{side}", "many": f"k{side}"}), side, "left")
+    turned = F.expr("coalesce(kb, 0) > coalesce(ka, 0)")
+    close = close.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("pivot"),
+                         F.when(turned, F.col("rb")).otherwise(F.col("ra")).alias("radius"), "apart")
     of = member.select("node", F.col("a").alias("pivot"), F.col("apart").alias("off"))
-    of = of.unionByName(member.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("pivot"), F.lit(0.0).alias("off")))
-
-    def expanded(df: DataFrame, side: str) -> DataFrame:
-        j = df.join(of.withColumnsRenamed({"pivot": side, "node": f"m{side}", "off": f"o{side}"}), side, "left")
-        return j.withColumns({f"m{side}": F.coalesce(f"m{side}", side), f"o{side}": F.coalesce(f"o{side}", F.lit(0.0))})
-
-    inner = expanded(expanded(close, "a"), "b").where(f"oa + ob >= apart - {far} - 1e-9 and oa + ob > 0")
-    inner = saved(sized(inner.select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct()), "inner")
-    more_links = probed(inner, near, size).where(linked).select("a", "b")
+    others = close.join(of, "pivot").where(f"off >= apart - {far} - radius - 1e-9").select("a", F.col("node").alias("b"))
+    others = saved(others.unionByName(close.select("a", F.col("pivot").alias("b"))).distinct(), "others")
+    near = read_too(near, others.select(F.col("b").alias("node")).distinct())
+    own = member.join(others.select("a").distinct(), "a", "left_semi").select("a", F.col("node").alias("b"))
+    told = saved(differing(own.withColumn("member", F.lit(True)).unionByName(others.withColumn("member", F.lit(False))), near, size, percent), "told")
+    often = told.where("not linked").groupBy("a", "shingle").agg(F.count("*").alias("k"))
+    rarest = F.row_number().over(Window.partitionBy("a", "b").orderBy("k", "shingle"))
+    one = told.where("member").join(often, ["a", "shingle"]).withColumn("at", rarest).where("at <= tell").select("a", F.col("b").alias("m"), "shingle")
+    two = told.where("not member and not linked").select("a", "b", "shingle")
+    inner = one.join(two, ["a", "shingle"]).where("m <> b").select(F.least("m", "b").alias("a"), F.greatest("m", "b").alias("b")).distinct()
+    inner = saved(apart_yet(sized(inner)), "inner")
+    more_links = probed(inner, near, size).where(linked).select("a", "b").unionByName(told.where("linked").select("a", "b"))
     return spokes.select("a", "b").unionByName(direct).unionByName(more_links)
 
 
