@@ -28,7 +28,7 @@ LONG = 32
 MINIMA = 4
 #: Shingles from which on a set is sketched with four bytes each.
 LARGE = 4096
-HELD = 2_000_000
+HELD = 500_000
 #: Skipped lists of a set that goes on to its end: more than any prefix has.
 FULL = 2 ** 31 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -236,10 +236,10 @@ def probed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     rest = [c for c in pairs.columns if c not in ("a", "b")]
 
     def probe(batch):
-        x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_x", "_y"))
+        x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("_x", "_y"))
         both = []
         for raw, other in zip(x, y, strict=True):
-            short, long = sorted((np.frombuffer(raw, np.uint64), np.frombuffer(other, np.uint64)), key=len)
+            short, long = sorted((np.frombuffer(v.as_buffer(), np.uint64) for v in (raw, other)), key=len)
             at = np.minimum(np.searchsorted(long, short), len(long) - 1)
             both.append(int((long[at] == short).sum()))
         return {c: batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", *rest)} | {"both": pa.array(both, pa.int64())}
@@ -266,9 +266,9 @@ def differing(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """
     def fn(batch):
         out = {"a": [], "b": [], "member": [], "linked": [], "tell": [], "shingle": []}
-        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "member", "_x", "_y"))
-        for a, b, member, x, y in zip(*columns, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        a, b, member, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "member", "_x", "_y"))
+        for a, b, member, x, y in zip(a.to_pylist(), b.to_pylist(), member.to_pylist(), x, y, strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             rows = np.setxor1d(x, y, assume_unique=True)
             linked = not member and (100 + percent) * len(rows) <= (100 - percent) * (len(x) + len(y))
             tell = telling(len(rows), len(x), len(y), percent) if member else 0

@@ -120,3 +120,24 @@ def test_drifting_groups_and_large_sets(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], DOCS).repartition(4)
     got = jaccard_join.join_documents(docs).collect()
     assert sorted([tuple(r) for r in got], key=str) == brute(rows)
+
+
+def test_linked_sets_meet_in_telling_shingles():
+    """What is linked with a pivot's member, but not with the pivot, differs from it in any so many of the member's shingles; a middle pivot leaves few."""
+    rng = np.random.default_rng(3)
+    met = 0
+    for trial in range(4000):
+        percent = (85, 80, 60)[trial % 3]
+        n = int(rng.integers(20, 90))
+        pivot = rng.choice(400, n, replace=False)
+        change = lambda s, most: np.union1d(rng.permutation(s)[int(rng.integers(0, most)):], rng.choice(400, int(rng.integers(0, most))))
+        member = change(pivot, 1 + n // 10)
+        other = change(member, 1 + n // 10)
+        linked = lambda x, y: 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+        if linked(pivot, member) and linked(member, other) and not linked(pivot, other):
+            apart = rng.permutation(np.setxor1d(pivot, member))
+            tell = apart[:jaccard_join.telling(len(apart), len(pivot), len(member), percent)]
+            assert len(np.intersect1d(tell, np.setxor1d(pivot, other)))
+            met += 1
+    assert met > 100
+    assert jaccard_join.telling(8, 147, 147, 85) == 4  # one word of 147 replaced: only what the member alone has
