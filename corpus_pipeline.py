@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lagweave.llm import decontaminate, jaccard_join, packing, quality_crf, suffix_dedup, tokens
@@ -39,12 +41,29 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: Bytes in a row that an earlier document has to hold for them to go: 50 short words; longer than a licence line.
 PASSAGE_BYTES = 150
 
+#: Bytes of rows after which Spark hands a batch to Python. Its own 64 MB are held four times a task: as the writer's vectors grow, and by
+#: the worker, with the batch before.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(stage):
+    """The stage under `BATCH_BYTES`, unless the session's limit is lower. The session keeps the limit: what a stage returns is not run yet."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+            spark.conf.set(_BATCH, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("n-gram Jaccard join", near_duplicates),
-    ("suffix-array dedup", repeated_passages),
-    ("benchmark decontamination", benchmark_leaks),
-    ("best-fit packing", packed),
+    ("quality classifier", bounded(quality)),
+    ("n-gram Jaccard join", bounded(near_duplicates)),
+    ("suffix-array dedup", bounded(repeated_passages)),
+    ("benchmark decontamination", bounded(benchmark_leaks)),
+    ("best-fit packing", bounded(packed)),
 ]
 
 

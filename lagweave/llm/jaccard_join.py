@@ -114,7 +114,9 @@ def described(docs: DataFrame, size: int) -> DataFrame:
 # -- inverted lists ----------------------------------------------------------------------------------------------------
 
 def _posted(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
+    """The entries held, by bucket; empties `held`."""
     shingle, key = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.lexsort((key, shingle))
     shingle, key = shingle[order], key[order]
     new = np.ones(len(shingle), bool)
@@ -140,11 +142,11 @@ def prefixes(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
                 for s, key in zip(sets, set_keys(sets).view(np.uint64), strict=True):
                     if len(s):
                         p = len(s) - least_overlap(len(s), percent) + 1
-                        held.append((s[:p], np.full(p, key)))
+                        held.append((s[:p].copy(), np.full(p, key)))  # a view would hold the whole set
                         count += p
             if count >= HELD:
                 yield _posted(held, bits)
-                held, count = [], 0
+                count = 0
         if held:
             yield _posted(held, bits)
 

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lagweave.llm import components, jaccard_join
@@ -141,3 +142,27 @@ def test_linked_sets_meet_in_telling_shingles():
             met += 1
     assert met > 100
     assert jaccard_join.telling(8, 147, 147, 85) == 4  # one word of 147 replaced: only what the member alone has
+
+
+def test_prefixes_hold_no_whole_sets(monkeypatch):
+    """Entries that wait in a task are copies: views would keep every set in memory; and they go when they are sent."""
+    seen, posted = [], jaccard_join._posted
+
+    def watched(held, bits):
+        seen.extend(s.base is None for s, _ in held)
+        out = posted(held, bits)
+        assert not held
+        return out
+
+    class Rows:
+        def mapInArrow(self, fn, schema):
+            texts = [" ".join(f"w{i}" for i in range(d, d + 100)) for d in range(30)]
+            return list(fn([pa.RecordBatch.from_pydict({"doc_id": range(30), "text": texts})] * 2))
+
+    monkeypatch.setattr(jaccard_join, "_posted", watched)
+    monkeypatch.setattr(jaccard_join, "HELD", 100)
+    out = jaccard_join.prefixes(Rows(), 4, 85, 3)
+    assert len(seen) == 60
+    assert all(seen)
+    assert len(out) == 2
+    assert sum(sum(b.column("n").to_pylist()) for b in out) == 2 * 30 * (97 - jaccard_join.least_overlap(97, 85) + 1)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_decontaminate import tiled, words
@@ -151,3 +152,29 @@ def test_grammar_reads_clauses():
     random.seed(0)
     noise = " ".join(random.choice(["a", "not", "you", "said", "kill", "zorg", ".", "x!"]) for _ in range(3000))
     assert sum(paths(noise).values()) == pytest.approx(sum(sum(paths(c).values()) for c in __import__("re").split(r"[.!]", noise)))
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    rows = 3000
+    docs = spark.range(0, rows, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+
+    def sizes(spark, docs, sf_dir):
+        def count(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.get_total_buffer_size()]})
+
+        return docs.mapInArrow(count, "rows long, bytes long")
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 64 << 20)
+        found = corpus_pipeline.bounded(sizes)(spark, docs, SF).toPandas()
+        assert found.rows.sum() == rows
+        assert found.bytes.max() < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        corpus_pipeline.bounded(sizes)(spark, docs, SF)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, held)
+    assert [s.__wrapped__.__name__ for _, s in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "benchmark_leaks", "packed"]
