@@ -41,8 +41,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: Bytes in a row that an earlier document has to hold for them to go: 50 short words; longer than a licence line.
 PASSAGE_BYTES = 150
 
-#: Bytes of rows after which Spark hands a batch to Python. Its own 64 MB are held four times a task: as the writer's vectors grow, and by
-#: the worker, with the batch before.
+#: Bytes of rows after which Spark hands a batch to Python. A batch lies in both the JVM's direct memory and the worker's, in each running
+#: task; Spark's own limit is 64 MB.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
