@@ -20,9 +20,14 @@ from . import textbytes as tb
 __all__ = ["arrow_map", "compressed", "discard", "documents", "remove", "saved", "shared", "table", "tidy", "where_text"]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; shuffle files that no plan refers to any more go."""
-    spark, out = df.sparkSession, staging.saved(df, name)
+def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; shuffle files that no plan refers to any more go.
+
+    With `files`, into so many at most, or one a core if these are more, by tasks that read several partitions in turn. On local disks,
+    without Hadoop's native library, each file costs its executor two processes that set modes.
+    """
+    spark = df.sparkSession
+    out = staging.saved(df if files is None else df.coalesce(max(files, spark.sparkContext.defaultParallelism)), name)
     del df
     tidy(spark)
     return out

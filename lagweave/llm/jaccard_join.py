@@ -29,6 +29,8 @@ MINIMA = 4
 #: Shingles from which on a set is sketched with four bytes each.
 LARGE = 4096
 HELD = 500_000
+#: Sets to a file of a table that grows with their number.
+FILE_SETS = 50_000
 #: Skipped lists of a set that goes on to its end: more than any prefix has.
 FULL = 2 ** 31 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -289,7 +291,7 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
     return np.sort(shingles.astype("<u2" if len(shingles) < LARGE else "<u4"))
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, size: int, unique: bool) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame, size: int, unique: bool, files: int) -> DataFrame:
     """node, text, sketch of the wanted sets (node, first), read from a document that has the set."""
     def fn(batch):
         for t in tb.slices(batch.column(1)):
@@ -301,7 +303,12 @@ def texts_of(docs: DataFrame, wanted: DataFrame, size: int, unique: bool) -> Dat
 
     found = docs.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id").select("doc_id", "text", "node")
     found = arrow_map(found, "node long, text string, sketch binary", fn)
-    return saved(found if unique else found.dropDuplicates(["node"]), "texts")
+    return saved(found if unique else found.dropDuplicates(["node"]), "texts", files)
+
+
+def file_count(sets: int) -> int:
+    """Files of a table that grows with the number of sets."""
+    return 1 + sets // FILE_SETS
 
 
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: bool) -> DataFrame:
@@ -317,25 +324,30 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     names = sets.select("node", "n")
     prefix = f"(n - ({percent} * n + 99) div 100 + 1)"
 
+    def few(df: DataFrame, name: str) -> DataFrame:
+        """As `saved`, for results far smaller than what they are made of: all tasks make them, a shuffle brings them into `files` files."""
+        return saved(df.repartition(files), name)
+
     def sized(pairs: DataFrame, slack: str = "0") -> DataFrame:
         both = pairs.join(names.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(names.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
         return both.where(f"100 * least(na, nb) >= ({percent} - 100 * {slack} - 1e-6) * greatest(na, nb)")
 
     # Sets that share a prefix shingle with another. Most of what follows reads only their texts.
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    total, distinct = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    files = file_count(distinct)
     bits = max(3, int(total * (100 - percent) // 100 // 500_000).bit_length())
     posts = saved(prefixes(docs.select("doc_id", "text"), size, percent, bits), "posts")
-    live = saved(shared_entries(posts), "live")
+    live = saved(shared_entries(posts), "live", files)
     weight = live.groupBy("node").agg(F.sum("k").alias("weight")).join(names, "node").select("node", (F.col("weight") / F.col("n")).alias("weight"))
     live = live.drop("k")
     firsts = sets.select("node", "first")
-    near = texts_of(docs, firsts.join(live.select("node").distinct(), "node"), size, unique)
+    near = texts_of(docs, firsts.join(live.select("node").distinct(), "node"), size, unique, files)
 
     # Pivots: sets that share a low shingle are measured against the one among them whose shingles most others have. Where many share it,
     # those that come near by their prefixes are weighed by all their shingles: the middle of a large group is linked with more of it.
     low = sets.join(weight, "node").select("node", "weight", F.explode("minima").alias("shingle"))
     top = low.groupBy("shingle").agg(F.max("weight").alias("top"), F.count("*").alias("k")).where("k > 1")
-    high = saved(low.join(top, "shingle").where("weight >= 0.9 * top").select("shingle", "node", "weight", "k"), "high")
+    high = few(low.join(top, "shingle").where("weight >= 0.9 * top").select("shingle", "node", "weight", "k"), "high")
 
     def whole(batch):
         for t in tb.slices(batch.column(1)):
@@ -343,19 +355,19 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
             yield {"shingle": np.concatenate(told).view(np.int64), "node": np.repeat(batch.column(0).to_numpy()[t.rows], [len(s) for s in told])}
 
     crowd = near.join(high.where(F.col("k") > LONG).select("node").distinct(), "node").select("node", "text")
-    crowd = saved(arrow_map(crowd, "shingle long, node long", whole), "crowd")
+    crowd = saved(arrow_map(crowd, "shingle long, node long", whole), "crowd", files)
     finer = crowd.join(crowd.groupBy("shingle").agg(F.count("*").alias("k")), "shingle").groupBy("node").agg(F.avg("k").alias("finer"))
     lead = high.join(finer, "node", "left").groupBy("shingle").agg(F.max(F.struct(F.coalesce("finer", F.lit(0.0)).alias("finer"), "weight", "node")).alias("m"))
     lead = lead.select("shingle", F.col("m.node").alias("a"), F.struct("m.finer", "m.weight").alias("weight"))
     spokes = sized(low.drop("weight").join(lead, "shingle").where("node <> a").select("a", "weight", F.col("node").alias("b")).distinct())
-    spokes = saved(probed(spokes, near, size).where(linked).withColumn("apart", apart), "spokes")
+    spokes = few(probed(spokes, near, size).where(linked).withColumn("apart", apart), "spokes")
     own = spokes.join(spokes.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-    member = saved(own.groupBy("b").agg(F.max_by(F.struct("a", "apart"), F.struct("weight", "a")).alias("m")).select(F.col("b").alias("node"), "m.a", "m.apart"), "members")
+    member = few(own.groupBy("b").agg(F.max_by(F.struct("a", "apart"), F.struct("weight", "a")).alias("m")).select(F.col("b").alias("node"), "m.a", "m.apart"), "members")
     radius = member.groupBy("a").agg(F.max("apart").alias("radius")).withColumnRenamed("a", "node")
     # What is known to hang together: pivots, their members, and what is linked with a member.
     tied = member.select("node", F.col("a").alias("tie")).unionByName(radius.select("node", F.col("node").alias("tie")))
     hung = spokes.join(tied.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("tie").alias("tie")).withColumnRenamed("b", "node")
-    tied = saved(tied.unionByName(hung.join(tied.select("node"), "node", "left_anti")), "tied")
+    tied = few(tied.unionByName(hung.join(tied.select("node"), "node", "left_anti")), "tied")
 
     def apart_yet(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, ...) that are not known to hang together."""
@@ -368,7 +380,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
 
     def lists(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Entries of short lists, shingles of long ones, and all entries, by star."""
-        held = saved(starred(entries).distinct(), "lists")
+        held = saved(starred(entries).distinct(), "lists", files)
         count = held.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
         return held.join(count.where(F.col("k") <= LONG), "shingle").drop("k"), count.where(F.col("k") > LONG).select("shingle"), held
 
@@ -378,15 +390,15 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
         return short.withColumnRenamed("star", "a").join(other, "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
 
     def read_too(near: DataFrame, nodes: DataFrame) -> DataFrame:
-        late = saved(nodes.join(near.select("node"), "node", "left_anti"), "late")
-        return near.unionByName(texts_of(docs, firsts.join(late, "node"), size, unique)) if late.limit(1).count() else near
+        late = few(nodes.join(near.select("node"), "node", "left_anti"), "late")
+        return near.unionByName(texts_of(docs, firsts.join(late, "node"), size, unique, files)) if late.limit(1).count() else near
 
     short, long, held = lists(live)
-    long, pairs = saved(long, "long"), paired(short).select("a", "b")
+    long, pairs = few(long, "long"), paired(short).select("a", "b")
     if long.limit(1).count():
         # A set that met long lists goes on until as many short ones are to be expected, and some more, at the rate at which it has
         # met long ones so far; whom it meets there is read from all prefixes.
-        met = saved(live.join(long, "shingle").groupBy("node").agg(F.countDistinct("shingle").cast("int").alias("skipped")), "skipped")
+        met = few(live.join(long, "shingle").groupBy("node").agg(F.countDistinct("shingle").cast("int").alias("skipped")), "skipped")
 
         def further(batch):
             node, text, skipped = batch.columns
@@ -398,10 +410,10 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
                     yield {"shingle": more.view(np.int64), "node": np.repeat(np.int64(node[t.rows.start + i].as_py()), len(more))}
 
         def extended(live: DataFrame, more: DataFrame) -> DataFrame:
-            return saved(live.unionByName(more).unionByName(entries_of(posts, more, bits)).distinct(), "live")
+            return saved(live.unionByName(more).unionByName(entries_of(posts, more, bits)).distinct(), "live", files)
 
         def rest(met: DataFrame) -> DataFrame:
-            return saved(arrow_map(near.join(met, "node").select("node", "text", "skipped"), "shingle long, node long", further), "further")
+            return saved(arrow_map(near.join(met, "node").select("node", "text", "skipped"), "shingle long, node long", further), "further", files)
 
         more = rest(met)
         done = [live, held, met]
@@ -410,16 +422,16 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
             discard(*done)
             short, long, held = lists(live)
             # Of its p + m shingles a set shares m + 1 with a partner; so many of them, less the skipped ones, are in short lists.
-            gone = saved(live.join(long, "shingle"), "gone")
+            gone = saved(live.join(long, "shingle"), "gone", files)
             skips = gone.groupBy("node").agg(F.count("*").alias("gone")).join(more.groupBy("node").agg(F.count("*").alias("more")), "node", "outer")
             skips = skips.na.fill(0).join(names, "node").selectExpr("node", "n", "n - gone as rare", "more + 1 - gone as least", f"more >= n - {prefix} as whole")
             # A set for which that is nothing goes on to its end, and lists are counted anew.
-            next_met = saved(skips.where("least < 1 and not whole").select("node", F.lit(FULL).alias("skipped")), "skipped")
+            next_met = few(skips.where("least < 1 and not whole").select("node", F.lit(FULL).alias("skipped")), "skipped")
             if not next_met.limit(1).count():
                 break
             near = read_too(near, next_met.select("node"))
             done = [live, held, gone, more, next_met]
-            more = saved(more.join(next_met.select("node"), "node", "left_anti").select("shingle", "node").unionByName(rest(next_met)), "further")
+            more = saved(more.join(next_met.select("node"), "node", "left_anti").select("shingle", "node").unionByName(rest(next_met)), "further", files)
         discard(posts)
         lone = skips.join(radius.select("node"), "node", "left_anti").where("least > 1")
         pairs = paired(short).join(lone.withColumnsRenamed({"node": "a", "least": "la"}).select("a", "la"), "a", "left").join(
@@ -427,7 +439,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
         # What is left are sets whose shingles, all of them told, are mostly in long lists. Whoever of the others is linked with one shares a
         # short list with it, as by the count above. Two of them without a short list in common differ in all their rare shingles: linked they
         # are at most where there are few of these, and such pairs are searched by joint shingles.
-        asked = saved(skips.where("least < 1").select("node", "n", "rare"), "asked")
+        asked = few(skips.where("least < 1").select("node", "n", "rare"), "asked")
         if asked.limit(1).count():
             near = read_too(near, asked.select("node"))
 
@@ -443,7 +455,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
                 F.max("n").alias("n"), F.min("rare").alias("rare"), F.min("n").alias("least"), F.expr(f"max({100 + percent} * (n - rare) - {percent} * n)").alias("room"))
             over = over.join(tied.withColumnRenamed("node", "star"), "star", "left").select(
                 "star", F.expr(f"rare - n * {differ}").alias("over"), (percent * F.col("least")).alias("least"), "room", F.coalesce("tie", "star").alias("tie"))
-            keys = saved(starred(keys).distinct().join(over, "star"), "joint")
+            keys = saved(starred(keys).distinct().join(over, "star"), "joint", files)
             many = keys.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
             one, two = (keys.withColumnsRenamed({"star": x, "over": f"_o{x}", "least": f"_l{x}", "room": f"_r{x}", "tie": f"_t{x}"}) for x in "ab")
             one = one.where("_oa <= 1e-6").join(many, "shingle")
@@ -453,11 +465,11 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
     reach = apart_yet(pairs).join(radius.withColumnsRenamed({"node": "a", "radius": "ra"}), "a", "left").join(radius.withColumnsRenamed({"node": "b", "radius": "rb"}), "b", "left")
     reach = reach.select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("reach"))
     wide = sized(reach, "reach")
-    wide = saved(wide, "pairs")
+    wide = few(wide, "pairs")
     near = read_too(near, wide.select(F.col("a").alias("node")).unionByName(wide.select(F.col("b").alias("node"))).distinct())
     discard(live, held)
-    wide = saved(shortlisted(wide, near, percent), "shortlist")
-    measured = saved(probed(wide, near, size).withColumn("apart", apart), "measured")
+    wide = few(shortlisted(wide, near, percent), "shortlist")
+    measured = few(probed(wide, near, size).withColumn("apart", apart), "measured")
     direct = measured.where(linked).select("a", "b")
 
     # Pivots that are not linked themselves, but near enough for members that are. Those of the smaller one are measured against the other: what
@@ -471,16 +483,16 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
                          F.when(turned, F.col("rb")).otherwise(F.col("ra")).alias("radius"), "apart")
     of = member.select("node", F.col("a").alias("pivot"), F.col("apart").alias("off"))
     others = close.join(of, "pivot").where(f"off >= apart - {far} - radius - 1e-9").select("a", F.col("node").alias("b"))
-    others = saved(others.unionByName(close.select("a", F.col("pivot").alias("b"))).distinct(), "others")
+    others = few(others.unionByName(close.select("a", F.col("pivot").alias("b"))).distinct(), "others")
     near = read_too(near, others.select(F.col("b").alias("node")).distinct())
     own = member.join(others.select("a").distinct(), "a", "left_semi").select("a", F.col("node").alias("b"))
-    told = saved(differing(own.withColumn("member", F.lit(True)).unionByName(others.withColumn("member", F.lit(False))), near, size, percent), "told")
+    told = saved(differing(own.withColumn("member", F.lit(True)).unionByName(others.withColumn("member", F.lit(False))), near, size, percent), "told", files)
     often = told.where("not linked").groupBy("a", "shingle").agg(F.count("*").alias("k"))
     rarest = F.row_number().over(Window.partitionBy("a", "b").orderBy("k", "shingle"))
     one = told.where("member").join(often, ["a", "shingle"]).withColumn("at", rarest).where("at <= tell").select("a", F.col("b").alias("m"), "shingle")
     two = told.where("not member and not linked").select("a", "b", "shingle")
     inner = one.join(two, ["a", "shingle"]).where("m <> b").select(F.least("m", "b").alias("a"), F.greatest("m", "b").alias("b")).distinct()
-    inner = saved(apart_yet(sized(inner)), "inner")
+    inner = few(apart_yet(sized(inner)), "inner")
     more_links = probed(inner, near, size).where(linked).select("a", "b").unionByName(told.where("linked").select("a", "b"))
     return spokes.select("a", "b").unionByName(direct).unionByName(more_links)
 
@@ -498,13 +510,14 @@ def join_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     rows = saved(described(docs, size), "sets")
     full = rows.where("n_shingles > 0 and doc_id is not null")
     sets = full.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.first("minima").alias("minima"))
-    sets = saved(sets, "classes")
+    files = file_count(rows.count())
+    sets = saved(sets, "classes", files)
     unique = full.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count() == 0
     found = links(docs.where("doc_id is not null"), sets, size, percent, unique)
     firsts = sets.select("node", "first")
     edges = found.join(firsts.withColumnsRenamed({"node": "a", "first": "u"}), "a").join(firsts.withColumnsRenamed({"node": "b", "first": "v"}), "b")
     copies = full.select("doc_id", F.col("key").alias("node")).join(firsts, "node").where("doc_id <> first").select("doc_id", "first")
-    found = components(edges.select("u", "v").unionByName(copies.withColumnsRenamed({"doc_id": "u", "first": "v"})), "u", "v").withColumnRenamed("node", "doc_id")
+    found = components(edges.select("u", "v").unionByName(copies.withColumnsRenamed({"doc_id": "u", "first": "v"})), "u", "v", files=files).withColumnRenamed("node", "doc_id")
     return rows.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -166,3 +166,29 @@ def test_prefixes_hold_no_whole_sets(monkeypatch):
     assert all(seen)
     assert len(out) == 2
     assert sum(sum(b.column("n").to_pylist()) for b in out) == 2 * 30 * (97 - jaccard_join.least_overlap(97, 85) + 1)
+
+
+def test_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, tables of a few sets are not cut into as many files."""
+    files, parts = [], "spark.sql.shuffle.partitions"
+
+    def counted(df, name, *more, saved=jaccard_join.saved):
+        out = saved(df, name, *more)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "saved", counted)
+    monkeypatch.setattr(components, "saved", counted)
+    rows = [(d, t) for d, t in mixture(3) if d is not None]
+    kept = {k: spark.conf.get(k) for k in (parts, "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set(parts, 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert {"live", "lists", "texts", "spokes", "edges"} <= {n for n, _ in files}
+    assert max(k for _, k in files) <= spark.sparkContext.defaultParallelism
+    assert not jaccard_join.file_count(0) < 1 < jaccard_join.file_count(10 * jaccard_join.FILE_SETS)
