@@ -4,8 +4,9 @@ A set of n shingles can only be linked with one that shares enough of its shingl
 hash order must meet. Their inverted lists are merged where they are short, and occurrences counted. Long lists are skipped, as DivideSkip does:
 a set goes on to m further shingles, of which and the first p any partner has m + 1; so a partner occurs in m + 1 less the skipped ones of the short
 lists at least. What is long is looked up for these candidates only, by binary search in the other's shingles.
-A set that has skipped more than it could make up for tells all its shingles; whoever shares a short list with it is a candidate. Two such sets that share
-none differ in all their rare shingles; where these are so few that the sets may be linked, they are searched by joint shingles: of the parts into which
+A set that has skipped more than it could make up for tells all its shingles, beside the lists, which stay as short or long as they are. Any other set has
+a short list in common with it if they are linked. Sets that tell all have lists of their own. Two of them that share no short one of these
+differ in all their rare shingles; where these are so few that the sets may be linked, they are searched by joint shingles: of the parts into which
 hashes are cut, more than linked sets can differ in, one at least is the same in both (`joint_keys`). No long list is ever paired with itself.
 Near copies are gathered under pivots first, so that a group of thousands is one entry in every list.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import arrow_map, discard, saved
+from .common import arrow_map, discard, saved, shared
 from .components import components
 from .suffix_dedup import _packed, _unpacked
 
@@ -31,8 +32,10 @@ LARGE = 4096
 HELD = 500_000
 #: Sets to a file of a table that grows with their number.
 FILE_SETS = 50_000
-#: Skipped lists of a set that goes on to its end: more than any prefix has.
-FULL = 2 ** 31 - 1
+#: Rows of ids that are sent to all tasks, instead of shuffling the texts they pick.
+SENT = 300_000
+#: Rows of shingles that are sent to all tasks, instead of shuffling the prefixes in which they are looked up.
+SOUGHT = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,18 +43,26 @@ def shingle_sets(texts: tb.Texts, size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each row's shingles of `size` words, A-Z lower-cased; of all its words if they are fewer."""
     low = tb.Texts(texts.rows, tb.lowered(texts.data), texts.cuts)
     start, end, first = tb.words(low)
-    word = tb.Hasher(low.data)(start, end)
+    word = tb.word_hashes(low.data, start, end)
     gram = tb.gram_hashes(word, size)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(gram[a:b - size + 1]))
+            out.append(_distinct(gram[a:b - size + 1]))
         else:
             short = tb.gram_hashes(word[a:b], b - a) if b > a else gram[:0]
             out.append(tb.mixed(short + np.uint64(b - a)) if b > a else short)
     return out
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: `np.unique` hashes them first, which takes four times as long on sets of some hundreds."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x if new.all() else x[new]
+
+
 def least_overlap(n: int, percent: int) -> int:
     """Shingles that a set of n shares with any set it is linked with, at least."""
     return -(-percent * n // 100)
@@ -189,10 +200,26 @@ def entries_of(posts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
         s = batch.column(0).to_numpy()
         return {"bucket": (tb.mixed(s.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64), "shingle": s}
 
+    if wanted.limit(SOUGHT + 1).count() <= SOUGHT:
+        get = shared(posts.sparkSession, np.unique(wanted.select("shingle").distinct().toArrow()["shingle"].to_numpy().view(np.uint64)))
+
+        def pick(batch):
+            asked = get()
+            for raw, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingle, key = _unpacked(raw, n, 2)
+                hit = asked[np.minimum(np.searchsorted(asked, shingle), len(asked) - 1)] == shingle if len(asked) else np.zeros(len(shingle), bool)
+                yield {"shingle": shingle[hit].view(np.int64), "node": key[hit].view(np.int64)}
+
+        return arrow_map(posts.select("bucket", "n", "entries"), "shingle long, node long", pick)
     asked = arrow_map(wanted.select("shingle").distinct(), "bucket long, shingle long", place)
     return posts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(fn, "shingle long, node long")
 
 
+def picked(df: DataFrame, ids: DataFrame, on: str = "node") -> DataFrame:
+    """The rows of `df` with one of the ids, and the ids' other columns. Ids are counted; up to `SENT` go to all tasks and `df` stays where it is."""
+    return df.join(F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids, on)
+
+
 # -- probing sets --------------------------------------------------------------------------------------------------------
 
 def shortlisted(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -231,7 +258,7 @@ def _with_sets(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             yield {"node": batch.column(0).slice(t.rows.start, len(t)), "shingles": pa.array([s.tobytes() for s in shingle_sets(t, size)], pa.binary())}
 
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = arrow_map(texts.join(used, "node").select("node", "text"), "node long, shingles binary", sets)
+    held = arrow_map(picked(texts.select("node", "text"), used), "node long, shingles binary", sets)
     return pairs.join(held.withColumnsRenamed({"node": "a", "shingles": "_x"}), "a").join(held.withColumnsRenamed({"node": "b", "shingles": "_y"}), "b")
 
 
@@ -301,7 +328,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, size: int, unique: bool, files:
             sketch = pa.array([_sketch(s).tobytes() for s in sets], pa.binary())
             yield {"node": node.filter(same), "text": batch.column(1).slice(t.rows.start, len(t)).filter(same), "sketch": sketch.filter(same)}
 
-    found = docs.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id").select("doc_id", "text", "node")
+    found = picked(docs, wanted.withColumnRenamed("first", "doc_id"), "doc_id").select("doc_id", "text", "node")
     found = arrow_map(found, "node long, text string, sketch binary", fn)
     return saved(found if unique else found.dropDuplicates(["node"]), "texts", files)
 
@@ -354,12 +381,13 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
             told = shingle_sets(t, size)
             yield {"shingle": np.concatenate(told).view(np.int64), "node": np.repeat(batch.column(0).to_numpy()[t.rows], [len(s) for s in told])}
 
-    crowd = near.join(high.where(F.col("k") > LONG).select("node").distinct(), "node").select("node", "text")
+    crowd = picked(near.select("node", "text"), high.where(F.col("k") > LONG).select("node").distinct())
     crowd = saved(arrow_map(crowd, "shingle long, node long", whole), "crowd", files)
     finer = crowd.join(crowd.groupBy("shingle").agg(F.count("*").alias("k")), "shingle").groupBy("node").agg(F.avg("k").alias("finer"))
     lead = high.join(finer, "node", "left").groupBy("shingle").agg(F.max(F.struct(F.coalesce("finer", F.lit(0.0)).alias("finer"), "weight", "node")).alias("m"))
     lead = lead.select("shingle", F.col("m.node").alias("a"), F.struct("m.finer", "m.weight").alias("weight"))
     spokes = sized(low.drop("weight").join(lead, "shingle").where("node <> a").select("a", "weight", F.col("node").alias("b")).distinct())
+    spokes = few(shortlisted(spokes.withColumn("reach", F.lit(0.0)), near, percent).drop("reach"), "near")
     spokes = few(probed(spokes, near, size).where(linked).withColumn("apart", apart), "spokes")
     own = spokes.join(spokes.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     member = few(own.groupBy("b").agg(F.max_by(F.struct("a", "apart"), F.struct("weight", "a")).alias("m")).select(F.col("b").alias("node"), "m.a", "m.apart"), "members")
@@ -384,18 +412,27 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
         count = held.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
         return held.join(count.where(F.col("k") <= LONG), "shingle").drop("k"), count.where(F.col("k") > LONG).select("shingle"), held
 
-    def paired(short: DataFrame) -> DataFrame:
-        """a, b, met: in how many of the lists both occur."""
-        other = short.withColumnRenamed("star", "b")
-        return short.withColumnRenamed("star", "a").join(other, "shingle").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
+    def paired(short: DataFrame, skips: DataFrame | None = None) -> DataFrame:
+        """a, b: stars that may fit by size and occur together in enough of the lists; in one, where `skips` (node, least) doesn't ask for more."""
+        star = names.join(radius, "node", "left").select(F.col("node").alias("star"), "n", F.coalesce("radius", F.lit(0.0)).alias("r"))
+        if skips is not None:
+            lone = skips.join(radius.select("node"), "node", "left_anti").where("least > 1").select(F.col("node").alias("star"), "least")
+            star = star.join(lone, "star", "left")
+        star = star.withColumn("least", F.coalesce("least", F.lit(1)) if skips is not None else F.lit(1))
+        one, two = (short.join(star, "star").withColumnsRenamed({"star": x, "n": f"_n{x}", "r": f"_r{x}", "least": f"_l{x}"}) for x in "ab")
+        fits = f"a < b and 100 * least(_na, _nb) >= ({percent} - 100 * (_ra + _rb) - 1e-6) * greatest(_na, _nb)"
+        met = one.join(two, "shingle").where(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("_la", "_lb")).alias("least"))
+        return met.where("met >= least").select("a", "b")
 
     def read_too(near: DataFrame, nodes: DataFrame) -> DataFrame:
-        late = few(nodes.join(near.select("node"), "node", "left_anti"), "late")
-        return near.unionByName(texts_of(docs, firsts.join(late, "node"), size, unique, files)) if late.limit(1).count() else near
+        late = few(firsts.join(nodes.join(near.select("node"), "node", "left_anti"), "node"), "late")
+        return near.unionByName(texts_of(docs, late, size, unique, files)) if late.limit(1).count() else near
 
     short, long, held = lists(live)
-    long, pairs = few(long, "long"), paired(short).select("a", "b")
-    if long.limit(1).count():
+    long = few(long, "long")
+    if not long.limit(1).count():
+        pairs = paired(short)
+    else:
         # A set that met long lists goes on until as many short ones are to be expected, and some more, at the rate at which it has
         # met long ones so far; whom it meets there is read from all prefixes.
         met = few(live.join(long, "shingle").groupBy("node").agg(F.countDistinct("shingle").cast("int").alias("skipped")), "skipped")
@@ -409,47 +446,42 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, unique: boo
                     more = s[p:p + 8 + (13 * m * p) // (10 * max(1, p - m))] if m < p else s[p:]
                     yield {"shingle": more.view(np.int64), "node": np.repeat(np.int64(node[t.rows.start + i].as_py()), len(more))}
 
-        def extended(live: DataFrame, more: DataFrame) -> DataFrame:
-            return saved(live.unionByName(more).unionByName(entries_of(posts, more, bits)).distinct(), "live", files)
-
-        def rest(met: DataFrame) -> DataFrame:
-            return saved(arrow_map(near.join(met, "node").select("node", "text", "skipped"), "shingle long, node long", further), "further", files)
-
-        more = rest(met)
+        more = saved(arrow_map(picked(near.select("node", "text"), met).select("node", "text", "skipped"), "shingle long, node long", further), "further", files)
         done = [live, held, met]
-        while True:
-            live = extended(live, more)
-            discard(*done)
-            short, long, held = lists(live)
-            # Of its p + m shingles a set shares m + 1 with a partner; so many of them, less the skipped ones, are in short lists.
-            gone = saved(live.join(long, "shingle"), "gone", files)
-            skips = gone.groupBy("node").agg(F.count("*").alias("gone")).join(more.groupBy("node").agg(F.count("*").alias("more")), "node", "outer")
-            skips = skips.na.fill(0).join(names, "node").selectExpr("node", "n", "n - gone as rare", "more + 1 - gone as least", f"more >= n - {prefix} as whole")
-            # A set for which that is nothing goes on to its end, and lists are counted anew.
-            next_met = few(skips.where("least < 1 and not whole").select("node", F.lit(FULL).alias("skipped")), "skipped")
-            if not next_met.limit(1).count():
-                break
-            near = read_too(near, next_met.select("node"))
-            done = [live, held, gone, more, next_met]
-            more = saved(more.join(next_met.select("node"), "node", "left_anti").select("shingle", "node").unionByName(rest(next_met)), "further", files)
+        live = saved(live.unionByName(more).unionByName(entries_of(posts, more, bits)).distinct(), "live", files)
+        discard(*done)
+        short, long, held = lists(live)
+        long = few(long, "long")
+        # Of its p + m shingles a set shares m + 1 with a partner; so many of them, less the skipped ones, are in short lists.
+        skips = live.join(long, "shingle").groupBy("node").agg(F.count("*").alias("gone")).join(more.groupBy("node").agg(F.count("*").alias("more")), "node", "outer")
+        skips = saved(skips.na.fill(0).selectExpr("node", "more + 1 - gone as least").where("least <> 1"), "skips", files)
+        pairs = paired(short, skips)
+        # A set for which that is nothing tells all its shingles. The count of any other set that is linked with it holds, as the lists stay as they are;
+        # so these two meet in a list that is not long, be it of one set, as prefixes that nobody shares may be.
+        full = few(skips.where("least < 1").select("node"), "full")
+        if full.limit(1).count():
+            near = read_too(near, full)
+            told = saved(arrow_map(picked(near.select("node", "text"), full), "shingle long, node long", whole), "told", files)
+            ends = saved(starred(told).distinct(), "ends", files)
+            open_ends = saved(ends.join(long, "shingle", "left_anti"), "open", files)
+            others = held.unionByName(saved(starred(entries_of(posts, open_ends, bits)), "others", files))
+            meets = open_ends.withColumnRenamed("star", "_x").join(others, "shingle").where("_x <> star")
+            pairs = pairs.unionByName(meets.select(F.least("_x", "star").alias("a"), F.greatest("_x", "star").alias("b")))
+            # Sets that tell all meet one another in lists of their own. Two of them without a short one in common differ in all their rare shingles:
+            # linked they are at most where there are few of these, and such pairs are searched by joint shingles.
+            count = ends.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
+            pairs = pairs.unionByName(paired(ends.join(count.where(F.col("k") <= LONG).select("shingle"), "shingle"))).distinct()
+            gone = told.join(count.where(F.col("k") > LONG).select("shingle"), "shingle").groupBy("node").agg(F.count("*").alias("gone"))
+            asked = few(gone.join(names, "node").selectExpr("node", "n", "n - gone as rare"), "asked")
         discard(posts)
-        lone = skips.join(radius.select("node"), "node", "left_anti").where("least > 1")
-        pairs = paired(short).join(lone.withColumnsRenamed({"node": "a", "least": "la"}).select("a", "la"), "a", "left").join(
-            lone.withColumnsRenamed({"node": "b", "least": "lb"}).select("b", "lb"), "b", "left").where("met >= least(coalesce(la, 1), coalesce(lb, 1))").select("a", "b")
-        # What is left are sets whose shingles, all of them told, are mostly in long lists. Whoever of the others is linked with one shares a
-        # short list with it, as by the count above. Two of them without a short list in common differ in all their rare shingles: linked they
-        # are at most where there are few of these, and such pairs are searched by joint shingles.
-        asked = few(skips.where("least < 1").select("node", "n", "rare"), "asked")
-        if asked.limit(1).count():
-            near = read_too(near, asked.select("node"))
-
+        if full.limit(1).count() and asked.limit(1).count():
             def joint(batch):
                 for t in tb.slices(batch.column(1)):
                     keys = [joint_keys(s, percent) for s in shingle_sets(t, size)]
                     yield {"shingle": np.concatenate(keys).view(np.int64), "node": np.repeat(batch.column(0).to_numpy()[t.rows], [len(k) for k in keys])}
 
             differ = (100 - percent) / (100 + percent)  # of the sizes' sum, in linked sets
-            keys = arrow_map(near.join(asked.select("node"), "node").select("node", "text"), "shingle long, node long", joint)
+            keys = arrow_map(picked(near.select("node", "text"), asked.select("node")), "shingle long, node long", joint)
             # All that two may share are their shingles in long lists; that has to do for the size of the other.
             over = asked.join(member.select("node", "a"), "node", "left").groupBy(F.coalesce("a", "node").alias("star")).agg(
                 F.max("n").alias("n"), F.min("rare").alias("rare"), F.min("n").alias("least"), F.expr(f"max({100 + percent} * (n - rare) - {percent} * n)").alias("room"))

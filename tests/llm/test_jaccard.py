@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lagweave.llm import components, jaccard_join
+from lagweave.llm import textbytes as tb
 
 DOCS = "doc_id long, text string, key long, n_shingles string"
 
@@ -68,6 +69,55 @@ def test_equals_all_pairs(spark, monkeypatch, seed, long, percent):
     assert sorted([tuple(r) for r in got], key=str) == brute(rows, percent=percent)
 
 
+@pytest.mark.parametrize(("seed", "long", "percent"), [(4, 1, 60), (5, 2, 85)])
+def test_lists_are_built_twice(spark, monkeypatch, seed, long, percent):
+    """However many sets have to tell all their shingles, no list is counted again for them; so also where nothing is small enough to be sent to all tasks."""
+    names = []
+
+    def counted(df, name, *more, saved=jaccard_join.saved):
+        names.append(name)
+        return saved(df, name, *more)
+
+    for name, value in (("LONG", long), ("SENT", 0), ("SOUGHT", 0), ("saved", counted)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = mixture(seed)
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], DOCS).repartition(3)
+    got = jaccard_join.join_documents(docs, percent=percent).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows, percent=percent)
+    assert "ends" in names
+    assert names.count("live") == names.count("lists") == 2
+
+
+def test_few_texts_are_read_without_a_shuffle(spark):
+    """Documents stay where they are if few of them are wanted."""
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('w', id) as text")
+    wanted = spark.createDataFrame([(3, 33), (77, 777)], "doc_id long, node long")
+    found = jaccard_join.picked(docs, wanted, "doc_id")
+    assert sorted(map(tuple, found.collect())) == [(3, "w3", 33), (77, "w77", 777)]
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning" not in plan
+
+
+def test_hashes_of_words():
+    """Equal words have equal hashes wherever they lie, other words others; pieces of eight bytes and what is longer than all of them alike."""
+    rng = np.random.default_rng(11)
+    words = {bytes(rng.integers(0, 3, int(n)).astype(np.uint8)) for n in rng.integers(1, 3 * tb.WORD_BYTES, 3000)} | {b"\0", b"\0\0", b"a" * 8, b"a" * 9, b"a" * 64, b"a" * 65}
+    seen = {}
+    for _ in range(2):
+        dealt = [sorted(words)[i] for i in rng.permutation(len(words))]
+        end = np.cumsum([len(w) for w in dealt])
+        start = end - [len(w) for w in dealt]
+        for w, h in zip(dealt, tb.word_hashes(np.frombuffer(b"".join(dealt), np.uint8), start, end).tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(words)
+    every = np.arange(256, dtype=np.uint8)
+    assert bytes(tb.lowered(every)) == bytes(every).lower()
+    text = rng.integers(0, 48, 5000).astype(np.uint8)
+    cuts = np.array([0, 0, 700, 701, 5000, 5000])
+    for one, two in zip(tb.words(tb.Texts(slice(0, 5), text, cuts)), tb.words(tb.Texts(slice(0, 5), text, cuts), tb._SPACE.copy()), strict=True):
+        assert (one == two).all()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, None, 1, "x"), (2, "", 1, "x")], DOCS)
     assert sorted(map(tuple, jaccard_join.join_documents(docs).collect())) == [(1, 0, 1), (2, 0, 2)]
