@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from lagweave.llm import decontaminate, jaccard_join, packing, quality_crf, suffix_dedup, tokens
-from lagweave.llm.common import saved, table
+from lagweave.llm.common import BATCH_BYTES, saved, small_batches, table  # noqa: F401
 
 #: SQL can express none of the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -41,18 +41,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: Bytes in a row that an earlier document has to hold for them to go: 50 short words; longer than a licence line.
 PASSAGE_BYTES = 150
 
-#: Bytes of rows after which Spark hands a batch to Python. A batch lies in both the JVM's direct memory and the worker's, in each running
-#: task; Spark's own limit is 64 MB.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
 
 def bounded(stage):
-    """The stage under `BATCH_BYTES`, unless the session's limit is lower. The session keeps the limit: what a stage returns is not run yet."""
+    """The stage under `small_batches`."""
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
-            spark.conf.set(_BATCH, BATCH_BYTES)
+        small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run

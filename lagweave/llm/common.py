@@ -17,7 +17,18 @@ from pyspark.sql import functions as F
 from ..operators import staging
 from . import textbytes as tb
 
-__all__ = ["arrow_map", "compressed", "discard", "documents", "remove", "saved", "shared", "table", "tidy", "where_text"]
+__all__ = ["arrow_map", "compressed", "discard", "documents", "remove", "saved", "shared", "small_batches", "table", "tidy", "where_text"]
+
+#: Bytes of rows after which Spark hands a batch to Python. A batch lies in both the JVM's direct memory and the worker's, in each running
+#: task; Spark's own limit is 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of `BATCH_BYTES` from now on, unless the session's limit is lower. The session keeps the limit: what an operator returns is not run yet."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:

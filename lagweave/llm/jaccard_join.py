@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import arrow_map, discard, saved, shared
+from .common import arrow_map, discard, saved, shared, small_batches
 from .components import components
 from .suffix_dedup import _packed, _unpacked
 
@@ -33,7 +33,7 @@ HELD = 500_000
 #: Sets to a file of a table that grows with their number.
 FILE_SETS = 50_000
 #: Rows of ids that are sent to all tasks, instead of shuffling the texts they pick.
-SENT = 300_000
+SENT = 100_000
 #: Rows of shingles that are sent to all tasks, instead of shuffling the prefixes in which they are looked up.
 SOUGHT = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -215,9 +215,13 @@ def entries_of(posts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     return posts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(fn, "shingle long, node long")
 
 
-def picked(df: DataFrame, ids: DataFrame, on: str = "node") -> DataFrame:
-    """The rows of `df` with one of the ids, and the ids' other columns. Ids are counted; up to `SENT` go to all tasks and `df` stays where it is."""
-    return df.join(F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids, on)
+def is_few(ids: DataFrame) -> bool:
+    return ids.limit(SENT + 1).count() <= SENT
+
+
+def picked(df: DataFrame, ids: DataFrame, on: str = "node", sent: bool | None = None) -> DataFrame:
+    """The rows of `df` with one of the ids, and the ids' other columns. Few ids (counted, unless `sent` is given) go to all tasks and `df` stays where it is."""
+    return df.join(F.broadcast(ids) if (is_few(ids) if sent is None else sent) else ids, on)
 
 
 # -- probing sets --------------------------------------------------------------------------------------------------------
@@ -258,7 +262,9 @@ def _with_sets(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             yield {"node": batch.column(0).slice(t.rows.start, len(t)), "shingles": pa.array([s.tobytes() for s in shingle_sets(t, size)], pa.binary())}
 
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = arrow_map(picked(texts.select("node", "text"), used), "node long, shingles binary", sets)
+    held = arrow_map(picked(texts.select("node", "text"), used, sent=(small := is_few(used))), "node long, shingles binary", sets)
+    if small:  # both sides of the pairs read them
+        held = saved(held, "held", 1)
     return pairs.join(held.withColumnsRenamed({"node": "a", "shingles": "_x"}), "a").join(held.withColumnsRenamed({"node": "b", "shingles": "_y"}), "b")
 
 
@@ -539,6 +545,7 @@ def join_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     belong together. An empty table gives an empty result. Only components are delivered: neither the links nor how many a row has.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     rows = saved(described(docs, size), "sets")
     full = rows.where("n_shingles > 0 and doc_id is not null")
     sets = full.groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.first("minima").alias("minima"))
